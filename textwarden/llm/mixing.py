@@ -145,7 +145,7 @@ def mix_sources(
         .withColumn("end", F.least(F.col("start") + F.col("size"), F.col("line_words")))
         .withColumn("rank", F.explode_outer(F.when(F.col("start") < F.col("end"), F.sequence(F.floor(F.col("start") / F.col("block_words")), F.floor((F.col("end") - 1) / F.col("block_words"))))))
     )
-    overlap = F.least("end", "slot_end") - F.greatest("start", "slot_start")
+    overlap = F.when(F.col("slot").isNotNull(), F.least("end", "slot_end") - F.greatest("start", "slot_start"))
     taken = (
         stretches.join(slots, ["source_no", "rank"], "left")
         .groupBy("source_no", "at", "doc_id", "source", "size", "source_size", "target")
