@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textwarden.llm import mixing
+from textwarden.llm import mixing, ngram_join, pii
 from textwarden.llm.tables import read_table
 
 
@@ -40,10 +40,48 @@ select doc_id, size, source_size, target,
 from line
 """
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+OP3_SQL = r"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(lower_az, '[^\x20\x09-\x0D]+') as w
+  from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_az from documents)
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [list_aggregate(w, 'string_agg', ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: list_aggregate(w[i:i + 3], 'string_agg', ' '))) end as s
+  from worded
+), members as (
+  select doc_id, len(s) as n, unnest(s) as m from sets
+), shared as (
+  select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as k
+  from members a join members b on a.m = b.m and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  group by all
+), links as (
+  select a, b from shared where 100 * k >= 85 * (na + nb - k)
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reach as (
+  select doc_id as a, doc_id as b from sets
+  union
+  select r.a, l.b from reach r join both_ways l on r.b = l.a
+)
+select s.doc_id, len(s.s)::bigint as n_shingles, r.component_id
+from sets s join (select a, min(b) as component_id from reach group by a) r on s.doc_id = r.a
+"""
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_join": op3_ngram_join,
     "op4_mix_sources": op4_mix_sources,
+    "op10_personal_data": op10_personal_data,
 }
-SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL}
+SQL: dict[str, str] = {"op3_ngram_join": OP3_SQL, "op4_mix_sources": OP4_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
