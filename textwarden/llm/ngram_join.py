@@ -97,7 +97,7 @@ def _counting(n: int, buckets: int):
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             rows = [(b, values[i].tobytes(), counts[i].astype(np.uint32).tobytes()) for b, i in _by_bucket(values, buckets)]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in ([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])], names=["bucket", "members", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "members", "counts"])
 
         for batch in batches:
             for s in ngram_sets(batch.column(0), n):
