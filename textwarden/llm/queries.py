@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textwarden.llm import mixing, ngram_join, pii, quality
+import corpus_pipeline
+from textwarden.llm import mixing, ngram_join, packing, pii, quality
 from textwarden.llm.tables import read_table
 
 
@@ -72,6 +73,10 @@ from sets s join (select a, min(b) as component_id from reach group by a) r on s
 """
 
 
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     return quality.score(documents, quality.train(documents, read_table(spark, sf_dir, "labels")))
@@ -84,8 +89,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_mix_sources": op4_mix_sources,
+    "op5_best_fit": op5_best_fit,
     "op6_quality": op6_quality,
     "op10_personal_data": op10_personal_data,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {"op3_ngram_join": OP3_SQL, "op4_mix_sources": OP4_SQL}
 
