@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from textwarden.llm import mixing, ngram_join, packing, pii, quality, urls
+from textwarden.llm import mixing, ngram_join, packing, pii, quality, topk, urls
 from textwarden.llm.tables import read_table
 
 
@@ -41,6 +41,24 @@ select doc_id, size, source_size, target,
 from line
 """
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+OP1_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+), ranked as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored
+)
+select * from ranked where rank <= 20
+"""
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -91,6 +109,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
     "op3_ngram_join": op3_ngram_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_best_fit": op5_best_fit,
@@ -99,7 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_personal_data": op10_personal_data,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op3_ngram_join": OP3_SQL, "op4_mix_sources": OP4_SQL}
+SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op3_ngram_join": OP3_SQL, "op4_mix_sources": OP4_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
