@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from textwarden.llm import mixing, ngram_join, packing, pii, quality, topk, urls
+from textwarden.llm import mixing, ngram_join, packing, paragraphs, pii, quality, topk, urls
 from textwarden.llm.tables import read_table
 
 
@@ -100,6 +100,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, quality.train(documents, read_table(spark, sf_dir, "labels")))
 
 
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"))
 
@@ -114,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_best_fit": op5_best_fit,
     "op6_quality": op6_quality,
+    "op7_paragraph_dedup": op7_paragraph_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_personal_data": op10_personal_data,
     "pipeline": corpus_pipeline.run,

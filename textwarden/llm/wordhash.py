@@ -93,3 +93,26 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         total = total * STEP + hashes[k : k + len(total)]
     return mix(total + np.uint64(n))
+
+
+def ngram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 63-bit hashes of its word n-grams, A-Z in lower case.
+
+    A text of fewer words has its whole word sequence as the one member, a text
+    without words the empty set.
+    """
+    data, offsets = text_bytes(column)
+    for lo, hi in pieces(offsets):
+        at = offsets[lo : hi + 1] - offsets[lo]
+        part = data[offsets[lo] : offsets[hi]]
+        starts, ends = words(part, at)
+        hashes = word_hashes(part, starts, ends)
+        grams = ngram_hashes(hashes, n) >> np.uint64(1)
+        first = np.searchsorted(starts, at)
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            if b - a >= n:
+                yield np.unique(grams[a : b - n + 1])
+            elif b > a:
+                yield ngram_hashes(hashes[a:b], int(b - a)) >> np.uint64(1)
+            else:
+                yield np.zeros(0, np.uint64)
