@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from textwarden.llm import mixing, ngram_join, packing, paragraphs, pii, quality, topk, urls
+from textwarden.llm import mixing, ngram_join, packing, paragraphs, pii, quality, repeats, topk, urls
 from textwarden.llm.tables import read_table
 
 
@@ -59,6 +59,10 @@ select * from ranked where rank <= 20
 """
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -114,6 +118,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
+    "op2_repeats": op2_repeats,
     "op3_ngram_join": op3_ngram_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_best_fit": op5_best_fit,
