@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from textwarden.llm import mixing, ngram_join, packing, paragraphs, pii, quality, repeats, topk, urls
+from textwarden.llm import mixing, neighbours, ngram_join, packing, paragraphs, pii, quality, repeats, topk, urls
 from textwarden.llm.tables import read_table
 
 
@@ -108,6 +108,10 @@ def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents"))
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"))
 
@@ -124,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit": op5_best_fit,
     "op6_quality": op6_quality,
     "op7_paragraph_dedup": op7_paragraph_dedup,
+    "op8_near_vectors": op8_near_vectors,
     "op9_url_filter": op9_url_filter,
     "op10_personal_data": op10_personal_data,
     "pipeline": corpus_pipeline.run,
