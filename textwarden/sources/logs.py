@@ -26,7 +26,7 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     Files are read whole, for text splits carry no line numbers; a session's
     file fits one task. The id comes from the session's file or folder name.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
     name = F.regexp_replace("_metadata.file_path", r"^.*?([^/]+/[^/]+/subagents/[^/]+|[^/]+/[^/]+)$", "$1")
     sub = F.contains("_metadata.file_path", F.lit("/subagents/"))
     session = F.when(sub, F.regexp_extract("_metadata.file_path", r"([^/]+)/subagents/[^/]+$", 1)).otherwise(F.regexp_extract("_metadata.file_path", r"([^/]+)\.jsonl$", 1))
@@ -40,7 +40,9 @@ def write_ledger(records: DataFrame, path: str) -> None:
 
 def read_ledger(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
     """Records of all months, those from ``since`` (yyyy-MM-dd) on; the month prunes folders. Bad lines are left out."""
-    rows = spark.read.schema(RECORD + ", month string, _corrupt_record string").option("mode", "PERMISSIVE").json(path).where("_corrupt_record is null").drop("_corrupt_record")
+    lines = spark.read.schema("value string, month string").text(path)
+    good = F.col("value").startswith("{") & F.try_parse_json("value").isNotNull()
+    rows = lines.where(good).select(F.from_json("value", RECORD).alias("r"), "month").select("r.*", "month")
     return rows if since is None else rows.where((F.col("month") >= since[:7]) & (F.col("ts") >= F.lit(since).cast("timestamp")))
 
 
