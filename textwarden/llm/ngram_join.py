@@ -3,10 +3,15 @@
 If two sets have a Jaccard similarity of at least t, their prefixes of
 ``n - ceil(t * n) + 1`` members share a member, whatever one order of all
 members the prefixes are taken in. The order here puts the members that many
-documents hold last, and goes by hash within both parts. Documents with the
-same prefix and size are one group, so copies cost one row; groups that share a
-prefix member and may be similar by size are chained into blocks; within a
-block the members of the groups are expanded and verified on their whole sets.
+documents hold last, the most frequent at the very end, and goes by hash where
+that leaves a choice. Documents with the
+same prefix and size are one group, so copies cost one row. Pairs of groups that
+share prefix members are counted and filtered: what two prefixes share, and what
+at most lies behind them, must reach the overlap that their sizes ask for. A
+frequent member comes into a prefix only where nearly all of a set is frequent,
+as in large groups of near copies; there groups are chained in order of size
+instead of paired. What is left makes blocks, within which the members of the
+groups are expanded and verified on their whole sets.
 
 A block of many documents is cut into parts, and each pair of parts is verified
 as a task of its own. Verification works towards components: it stops when the
@@ -33,41 +38,19 @@ from pyspark.sql import functions as F
 
 from textwarden.llm.components import connected_components
 from textwarden.llm.scratch import Scratch
-from textwarden.llm.wordhash import mix, ngram_hashes, pieces, text_bytes, word_hashes, words
-
-#: The most members that the order puts last as frequent ones, which bounds what is broadcast (8 MB).
-MOST_FREQUENT = 1_000_000
-#: Documents that hold a member before it counts as frequent, at least.
-LEAST_FREQUENT = 32
-#: The share of the hash range whose members are counted: more than prefixes reach.
-COUNTED_SHARE = 0.25
-#: Documents of a block that are verified in one task; larger blocks are cut into parts.
-PART_DOCUMENTS = 1000
+from textwarden.llm.verify import verified_components
+from textwarden.llm.wordhash import mix, ngram_sets
+
+#: The most members that the order puts last as frequent ones, which bounds what is broadcast (18 MB).
+MOST_FREQUENT = 2_000_000
+#: Documents that hold a member before it counts as frequent, at least; a power of two.
+LEAST_FREQUENT = 16
 #: Bytes of members that a task holds before it hands them on.
 FLUSH_BYTES = 24_000_000
 
 U64 = np.uint64
 
 
-def ngram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct 63-bit hashes of its word n-grams, A-Z in lower case."""
-    data, offsets = text_bytes(column)
-    for lo, hi in pieces(offsets):
-        at = offsets[lo : hi + 1] - offsets[lo]
-        part = data[offsets[lo] : offsets[hi]]
-        starts, ends = words(part, at)
-        hashes = word_hashes(part, starts, ends)
-        grams = ngram_hashes(hashes, n) >> U64(1)
-        first = np.searchsorted(starts, at)
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            if b - a >= n:
-                yield np.unique(grams[a : b - n + 1])
-            elif b > a:
-                yield ngram_hashes(hashes[a:b], int(b - a)) >> U64(1)
-            else:
-                yield np.zeros(0, U64)
-
-
 def prefix_length(size: int, percent: int) -> int:
     return size + (-size * percent) // 100 + 1
 
@@ -91,20 +74,18 @@ def _by_bucket(values: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarr
 def _counting(n: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        limit = U64(int(COUNTED_SHARE * 2**63))
 
         def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            rows = [(b, values[i].tobytes(), counts[i].astype(np.uint32).tobytes()) for b, i in _by_bucket(values, buckets)]
+            rows = [(b, values[i].tobytes(), np.minimum(counts[i], 255).astype(np.uint8).tobytes()) for b, i in _by_bucket(values, buckets)]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "members", "counts"])
 
         for batch in batches:
             for s in ngram_sets(batch.column(0), n):
-                low = s[: np.searchsorted(s, limit)]
-                if len(low):
-                    held.append(low)
-                    size += low.nbytes
+                if len(s):
+                    held.append(s)
+                    size += s.nbytes
                 if size > FLUSH_BYTES:
                     yield flush()
                     size = 0
@@ -116,15 +97,16 @@ def _counting(n: int, buckets: int):
 
 def _count_bucket(table: pa.Table) -> pa.Table:
     members = np.concatenate([np.frombuffer(x, U64) for x in table.column("members").to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+    # A task counts to 255; the order needs no more than about how frequent a member is.
+    counts = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()])
     values, where = np.unique(members, return_inverse=True)
     total = np.bincount(where, weights=counts).astype(np.int64)
     keep = total >= LEAST_FREQUENT
     return pa.table({"member": pa.array(values[keep].astype(np.int64)), "n_docs": pa.array(total[keep])})
 
 
-def frequent_members(documents: DataFrame, n: int, scratch: Scratch) -> np.ndarray:
-    """The members that most documents hold, at most MOST_FREQUENT of them, counted over all documents."""
+def frequent_members(documents: DataFrame, n: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """The members that most documents hold, at most MOST_FREQUENT, counted over all documents, and the logarithms of their counts."""
     buckets = 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = documents.select("text").mapInArrow(_counting(n, buckets), "bucket int, members binary, counts binary")
     counted = scratch.keep(packed.groupBy("bucket").applyInArrow(_count_bucket, "member long, n_docs long"))
@@ -135,29 +117,39 @@ def frequent_members(documents: DataFrame, n: int, scratch: Scratch) -> np.ndarr
         if total > MOST_FREQUENT:
             break
         least = level
-    chosen = counted.where(F.col("n_docs") >= 2**least).select("member").toArrow()
-    return np.sort(chosen.column(0).to_numpy().astype(U64))
+    chosen = counted.where(F.floor(F.log2("n_docs")) >= least).select("member", F.floor(F.log2("n_docs")).cast("byte").alias("level")).toArrow()
+    members, level = chosen.column(0).to_numpy().astype(U64), chosen.column(1).to_numpy()
+    order = np.argsort(members)
+    return members[order], level[order]
 
 
-FEATURES = "doc_id long, n int, fp1 long, fp2 long, gid long, bucket int, members binary, gids binary, sizes binary"
+FEATURES = "doc_id long, n int, fp1 long, fp2 long, gid long, bucket int, members binary, gids binary, sizes binary, lates binary"
 
 
 def _features(n: int, percent: int, buckets: int, frequent):
-    """A row for each document, and packed rows of (member, group, size) by bucket of the member."""
+    """A row for each document, and packed rows of (member, group, size, frequent members of its prefix) by bucket.
+
+    Frequent members are in buckets of their own, from ``buckets`` on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = frequent.value
-        members, gids, sizes, seen, held = [], [], [], set(), 0
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("gid", pa.int64()), ("bucket", pa.int32()), ("members", pa.binary()), ("gids", pa.binary()), ("sizes", pa.binary())])
+        late, level = frequent.value
+        members, gids, sizes, lates, seen, held = [], [], [], [], set(), 0
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("gid", pa.int64()), ("bucket", pa.int32()), ("members", pa.binary()), ("gids", pa.binary()), ("sizes", pa.binary()), ("lates", pa.binary())])
 
         def flush() -> pa.RecordBatch:
-            m, g = np.concatenate(members), np.repeat(np.array(gids, np.int64), [len(x) for x in members])
-            k = np.repeat(np.array(sizes, np.uint32), [len(x) for x in members])
-            rows = [(b, m[i].tobytes(), g[i].tobytes(), k[i].tobytes()) for b, i in _by_bucket(m, buckets)]
-            for x in (members, gids, sizes, seen):
+            lengths = [len(x) for x in members]
+            m, g = np.concatenate(members), np.repeat(np.array(gids, np.int64), lengths)
+            n_all, n_late = np.repeat(np.array(sizes, np.uint32), lengths), np.repeat(np.array(lates, np.uint32), lengths)
+            is_late = _in_sorted(m, late)
+            rows = []
+            for shift, index in ((0, np.flatnonzero(~is_late)), (buckets, np.flatnonzero(is_late))):
+                for b, i in _by_bucket(m[index], buckets):
+                    rows.append((b + shift, *(x[index[i]].tobytes() for x in (m, g, n_all, n_late))))
+            for x in (members, gids, sizes, lates, seen):
                 x.clear()
             empty = [None] * len(rows)
-            return pa.RecordBatch.from_arrays([pa.array(empty, t) for t in schema.types[:5]] + [pa.array([r[j] for r in rows], schema.types[5 + j]) for j in range(4)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(empty, t) for t in schema.types[:5]] + [pa.array([r[j] for r in rows], schema.types[5 + j]) for j in range(5)], schema=schema)
 
         for batch in batches:
             rows = []
@@ -167,7 +159,9 @@ def _features(n: int, percent: int, buckets: int, frequent):
                         rows.append((0, 0, 0, 0))
                         continue
                     is_late = _in_sorted(s, late)
-                    prefix = np.concatenate([s[~is_late], s[is_late]])[: prefix_length(len(s), percent)]
+                    last = s[is_late]
+                    last = last[np.argsort(level[np.searchsorted(late, last)], kind="stable")]
+                    prefix = np.concatenate([s[~is_late], last])[: prefix_length(len(s), percent)]
                     gid = int((mix(mix(prefix).sum(keepdims=True) + U64(len(s)))[0]).astype(np.int64))
                     rows.append((len(s), int(mix(s).sum().astype(np.int64)), int(np.bitwise_xor.reduce(mix(s ^ U64(0x5851F42D4C957F2D))).astype(np.int64)), gid))
                     if gid not in seen:
@@ -175,7 +169,8 @@ def _features(n: int, percent: int, buckets: int, frequent):
                         members.append(prefix)
                         gids.append(gid)
                         sizes.append(len(s))
-                        held += 20 * len(prefix)
+                        lates.append(max(0, len(prefix) - np.count_nonzero(~is_late)))
+                        held += 24 * len(prefix)
             empty = [None] * len(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64())] + [pa.array([r[j] for r in rows], schema.types[1 + j]) for j in range(4)] + [pa.array(empty, t) for t in schema.types[5:]], schema=schema)
             if held > FLUSH_BYTES:
@@ -187,65 +182,32 @@ def _features(n: int, percent: int, buckets: int, frequent):
     return run
 
 
-def _chain(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        """Group pairs that follow each other, by size, among those that share a member and may be similar by size."""
-        members, gids, sizes = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("members", U64), ("gids", np.int64), ("sizes", np.uint32)))
-        order = np.lexsort((gids, sizes, members))
-        members, gids, sizes = members[order], gids[order], sizes[order].astype(np.int64)
-        near = (members[1:] == members[:-1]) & (gids[1:] != gids[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:])
-        pairs = np.stack([np.minimum(gids[:-1][near], gids[1:][near]), np.maximum(gids[:-1][near], gids[1:][near])], axis=1)
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 2)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return run
+def _pairs(percent: int, buckets: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Pairs of groups that share a member: how many, and how many in all they need to share in their prefixes.
 
-
-def linked_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between sets, as many as join each component; every pair of components has been ruled out."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    members = np.concatenate(sets)
-    order = np.argsort(members, kind="stable")
-    owner = np.repeat(np.arange(m), sizes)[order]
-    members = members[order]
-    label, open_ = np.arange(m), np.ones(m, dtype=bool)
-    links = []
-    while True:
-        counts = np.bincount(label[open_], minlength=m)
-        if np.count_nonzero(counts) <= 1:
-            return links
-        smallest = int(np.argmin(np.where(counts > 0, counts, m + 1)))
-        x = int(np.flatnonzero(open_ & (label == smallest))[0])
-        open_[x] = False
-        lo, hi = np.searchsorted(members, sets[x], "left"), np.searchsorted(members, sets[x], "right")
-        n = hi - lo
-        index = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        shared = np.bincount(owner[index], minlength=m)
-        near = 100 * shared >= percent * (sizes + sizes[x] - shared)
-        for other in np.unique(label[near & (label != label[x])]):
-            links.append((x, int(np.flatnonzero(near & (label == other))[0])))
-            label[label == other] = label[x]
-
-
-def _verify(n: int, percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        block, lo, hi, class_id, fp1 = (table.column(c).to_numpy() for c in ("block", "lo", "hi", "class_id", "fp1"))
-        sets = list(ngram_sets(table.column("text").combine_chunks(), n))
-        parts: dict[tuple[int, int, int], dict[tuple[int, int], int]] = {}
-        with np.errstate(over="ignore"):
-            for i, s in enumerate(sets):
-                # Another text under the same id is not the one that stands for the class.
-                if int(mix(s).sum().astype(np.int64)) == fp1[i]:
-                    parts.setdefault((block[i], lo[i], hi[i]), {})[class_id[i], fp1[i]] = i
-        a, b = [], []
-        for rows in parts.values():
-            index = list(rows.values())
-            if len(index) > 1:
-                for x, y in linked_forest([sets[i] for i in index], percent):
-                    a.append(class_id[index[x]])
-                    b.append(class_id[index[y]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        Of a frequent member only pairs that follow each other by size, which need nothing more.
+        """
+        members, gids, sizes, lates = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("members", U64), ("gids", np.int64), ("sizes", np.uint32), ("lates", np.uint32)))
+        order = np.lexsort((gids, sizes, members))
+        members, gids, sizes, lates = members[order], gids[order], sizes[order].astype(np.int64), lates[order].astype(np.int64)
+        chained = key[0].as_py() >= buckets
+        found = []
+        for step in range(1, len(members)):
+            same = members[step:] == members[:-step]
+            if not same.any():
+                break
+            at = np.flatnonzero(same & (gids[step:] != gids[:-step]) & (100 * sizes[:-step] >= percent * sizes[step:]))
+            small, large = sizes[at], sizes[at + step]
+            behind = np.maximum(-(-percent * small // 100), -(-percent * large // 100)) - 1
+            need = -(-percent * (small + large) // (100 + percent)) - behind - np.minimum(lates[at], lates[at + step])
+            a, b = gids[at], gids[at + step]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.zeros(len(at), np.int64) if chained else need], axis=1))
+            if chained:
+                break
+        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        pairs, shared = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0))
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "shared": pa.array(shared.astype(np.int64)), "need": pa.array(pairs[:, 2])})
 
     return run
 
@@ -263,40 +225,23 @@ def ngram_components(documents: DataFrame, n: int = 5, percent: int = 80) -> Dat
     frequent = spark.sparkContext.broadcast(frequent_members(documents, n, scratch))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     features = scratch.keep(documents.mapInArrow(_features(n, percent, buckets, frequent), FEATURES))
-    packed = features.where("bucket is not null").select("bucket", "members", "gids", "sizes")
-    pairs = packed.groupBy("bucket").applyInArrow(_chain(percent), "a long, b long")
+    packed = features.where("bucket is not null").select("bucket", "members", "gids", "sizes", "lates")
+    counted = packed.groupBy("bucket").applyInArrow(_pairs(percent, buckets), "a long, b long, shared long, need long")
+    pairs = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
     blocks = connected_components(pairs, scratch)
 
     rows = features.where("bucket is null").select("doc_id", "n", "fp1", "fp2", "gid")
     classes = scratch.keep(rows.where("n > 0").groupBy("n", "fp1", "fp2", "gid").agg(F.min("doc_id").alias("class_id")))
     in_block = classes.join(blocks, F.col("gid") == F.col("node"), "left").withColumn("block", F.coalesce("component", "gid"))
-    large = in_block.groupBy("block").agg(F.count("*").alias("n_classes")).where("n_classes > 1")
-    candidates = scratch.keep(
-        in_block.where("class_id is not null")
-        .join(large, "block")
-        .withColumn("n_parts", F.ceil(F.col("n_classes") / PART_DOCUMENTS))
-        .withColumn("part", F.expr("pmod(xxhash64(class_id), n_parts)"))
-        .select("block", "class_id", "fp1", "n_parts", "part")
-    )
-    units = max(1, candidates.count() // (2 * PART_DOCUMENTS))
-    others = F.when(F.col("n_parts") == 1, F.array(F.col("part"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1), lambda x: x != F.col("part")))
-    unit = F.when(F.col("n_parts") == 1, F.expr(f"pmod(xxhash64(block), {units})")).otherwise(F.xxhash64("block", "lo", "hi"))
-    dealt = (
-        documents.join(candidates, documents["doc_id"] == candidates["class_id"])
-        .withColumn("other", F.explode(others))
-        .withColumn("lo", F.least("part", "other"))
-        .withColumn("hi", F.greatest("part", "other"))
-        .select(unit.alias("unit"), "block", "lo", "hi", "class_id", "fp1", "text")
-    )
-    links = dealt.groupBy("unit").applyInArrow(_verify(n, percent), "a long, b long")
-    reached = connected_components(links, scratch)
+    candidates = in_block.where("class_id is not null").select("block", F.col("class_id").alias("key"), F.col("fp1").alias("print"))
+    reached = verified_components(candidates, documents.select(F.col("doc_id").alias("key"), "text"), n, percent, scratch)
     of_class = classes.join(reached, F.col("class_id") == F.col("node"), "left").groupBy("n", "fp1", "fp2").agg(F.min(F.coalesce("component", "class_id")).alias("component_id"))
     return rows.join(of_class, ["n", "fp1", "fp2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def without_near_copies(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``documents`` with one of each component: the one that gives it its id."""
-    firsts = ngram_components(documents, n, percent).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
+    firsts = ngram_components(documents, n, percent).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__id")).distinct()
     same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = documents.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_nth", F.row_number().over(same)).where("_nth = 1 or doc_id is null").select(*documents.columns)
+    kept = documents.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.withColumn("__nth", F.row_number().over(same)).where("__nth = 1 or doc_id is null").select(*documents.columns)
