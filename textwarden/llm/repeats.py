@@ -2,21 +2,20 @@
 
 A corpus can't be sorted by suffix in one place, so the windows of MIN_BYTES
 bytes are dealt over tasks by their content: each goes with the least hash among
-the GRAM-byte grams it holds. Windows that follow each other and have that gram
-in common are a run, kept as one stretch of text; equal windows are in runs of
-the same gram, whatever documents they are in. Runs of a gram that no other run
-has are dropped, equal runs are counted once, and the texts of what is left
-meet in tasks by gram.
+the GRAM-byte grams it holds, its anchor. All windows around an anchor make one
+stretch of text; equal windows have equal anchors in equal places, whatever
+documents they are in. Stretches whose anchor no other has are dropped, equal
+stretches are counted once, and the texts of what is left meet in tasks by anchor.
 
-A task sorts the suffixes of its runs that may start a maximal repeat: those
+A task sorts the suffixes of its stretches that may start a maximal repeat: those
 whose first MIN_BYTES bytes occur again, with differing bytes before them. With
 the lengths of common prefixes of neighbours, a stack scan gives the intervals
 of suffixes with a common prefix; an interval is a maximal repeat if its left
-extensions differ, and all its suffixes are its occurrences. The start of a run
-counts as a difference, so a repeat over several runs comes in pieces that cover
-it together.
+extensions differ, and all its suffixes are its occurrences. The start of a
+stretch counts as a difference, so a repeat around several anchors comes in
+pieces that cover it together.
 
-Grams that very many different runs hold (a common passage in many contexts)
+Anchors that very many different stretches have (a common passage in many contexts)
 don't meet in one task: their windows are compared by 128-bit fingerprints,
 dealt anew by fingerprint, which gives the same bytes.
 
@@ -41,12 +40,10 @@ from textwarden.llm.wordhash import BYTE, mix, pieces, text_bytes
 
 U64 = np.uint64
 MIN_BYTES, GRAM = 400, 64
-#: Grams in a window, and windows of a run at most.
-GRAMS, LONGEST_RUN = MIN_BYTES - GRAM + 1, 2048
-#: Different runs of a gram that still meet in one task; bytes of run texts of a task on average.
+#: Grams in a window.
+GRAMS = MIN_BYTES - GRAM + 1
+#: Different stretches of an anchor that still meet in one task; bytes of texts of a task on average.
 MOST_RUNS, UNIT_BYTES = 2000, 4_000_000
-#: Added to the count of a run that may repeat within itself.
-INNER = 4
 #: Bytes that a task holds before it hands them on.
 FLUSH_BYTES = 24_000_000
 ODD = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
@@ -84,52 +81,45 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:n], before[width - 1 : width - 1 + n])
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray):
-    """``row, start, windows, gram, run, inner`` of all runs of a piece.
+def stretches_of(data: np.ndarray, offsets: np.ndarray):
+    """``row, start, windows, gram, text`` of the stretches around all anchors of a piece.
 
-    Starts are within their rows; ``gram`` and ``run`` are hashes of gram and text;
-    ``inner`` tells runs that may repeat within themselves: their gram comes again in the row.
+    Starts are within their rows; ``gram`` and ``text`` are hashes of the anchor and of the stretch.
     """
-    h = gram_hashes(data)
-    least = window_minima(h, GRAMS)
-    if not len(least):
-        return None
-    change = np.zeros(len(least) + 1, dtype=np.int32)
     lengths = np.diff(offsets)
     long_ = lengths >= MIN_BYTES
     if not long_.any():
         return None
+    h = gram_hashes(data)
+    least = window_minima(h, GRAMS)
+    change = np.zeros(len(least) + 1, dtype=np.int32)
     np.add.at(change, offsets[:-1][long_], 1)
     np.add.at(change, offsets[1:][long_] - MIN_BYTES + 1, -1)
-    inside = np.cumsum(change[:-1]) > 0
-    new = inside.copy()
-    new[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
-    starts = np.flatnonzero(new)
-    stop = np.flatnonzero(inside & ~np.append(inside[1:] & ~new[1:], False)) + 1
-    # Long runs, of text that repeats itself, are cut.
-    parts = -(-(stop - starts) // LONGEST_RUN)
-    nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-    starts, stop = np.repeat(starts, parts) + nth * LONGEST_RUN, np.repeat(stop, parts)
-    windows = np.minimum(stop - starts, LONGEST_RUN)
+    # Windows over two rows choose no anchor.
+    least[np.cumsum(change[:-1]) <= 0] = 0
+    edge = np.zeros(GRAMS - 1, np.uint64)
+    anchor = np.flatnonzero(~window_minima(~np.concatenate([edge, least, edge]), GRAMS) == h)
+    row = np.searchsorted(offsets, anchor, "right") - 1
+    lo = np.maximum(offsets[row], anchor - (GRAMS - 1))
+    hi = np.minimum(offsets[row + 1], anchor + MIN_BYTES)
+    # A window with the same anchor twice goes with the first.
+    order = np.lexsort((anchor, h[anchor], row))
+    same = (h[anchor[order]][1:] == h[anchor[order]][:-1]) & (row[order][1:] == row[order][:-1])
+    later, before = order[1:][same], order[:-1][same]
+    lo[later] = np.maximum(lo[later], anchor[before] + 1)
+    whole = hi - lo >= MIN_BYTES
+    anchor, row, lo, hi = anchor[whole], row[whole], lo[whole], hi[whole]
+    if not len(anchor):
+        return None
     # A text of n grams is known by every GRAM-th of them and the last.
-    last = windows + GRAMS - 2
+    last = hi - lo - GRAM
     n = last // GRAM + 2
     begin = np.cumsum(n) - n
     nth = np.arange(int(n.sum())) - np.repeat(begin, n)
-    place = np.repeat(starts, n) + np.minimum(nth * GRAM, np.repeat(last, n))
-    text = mix(np.add.reduceat(mix(h[place] + nth.astype(np.uint64) * ODD[0]), begin) + windows.astype(np.uint64))
-    row = np.searchsorted(offsets, starts, "right") - 1
-    edge = np.zeros(GRAMS - 1, np.uint64)
-    chosen = np.flatnonzero(~window_minima(~np.concatenate([edge, least, edge]), GRAMS) == h)
-    keys = np.sort(_row_key(np.searchsorted(offsets, chosen, "right") - 1, h[chosen]))
-    twice = keys[1:][keys[1:] == keys[:-1]]
-    mine = _row_key(row, least[starts])
-    inner = twice[np.minimum(np.searchsorted(twice, mine), len(twice) - 1)] == mine if len(twice) else np.zeros(len(row), dtype=bool)
-    return row, starts - offsets[row], windows, least[starts].astype(np.int64), text.astype(np.int64), inner
-
-
-def _row_key(row: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    return mix(gram + row.astype(np.uint64) * ODD[1])
+    place = np.repeat(lo, n) + np.minimum(nth * GRAM, np.repeat(last, n))
+    text = np.add.reduceat(mix(h[place] + nth.astype(np.uint64) * ODD[0]), begin)
+    text = mix(text + (anchor - lo).astype(np.uint64) * ODD[1] + last.astype(np.uint64))
+    return row, lo - offsets[row], hi - lo - MIN_BYTES + 1, h[anchor].astype(np.int64), text.astype(np.int64)
 
 
 def _occurrences(buckets: int):
@@ -137,18 +127,16 @@ def _occurrences(buckets: int):
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            pairs, where, counts = np.unique(np.concatenate([p for p, _ in held]), axis=0, return_inverse=True, return_counts=True)
-            inner = np.bincount(where.ravel(), weights=np.concatenate([i for _, i in held])) > 0
+            pairs, counts = np.unique(np.concatenate(held), axis=0, return_counts=True)
             held.clear()
-            counts = np.minimum(counts, 2) + INNER * inner
             bucket = (mix(pairs[:, 0].astype(np.uint64)) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            rows = [(int(bucket[i[0]]), pairs[i, 0].tobytes(), pairs[i, 1].tobytes(), counts[i].astype(np.uint8).tobytes()) for i in np.split(order, cuts)]
+            rows = [(int(bucket[i[0]]), pairs[i, 0].tobytes(), pairs[i, 1].tobytes(), np.minimum(counts[i], 2).astype(np.uint8).tobytes()) for i in np.split(order, cuts)]
             empty = [None] * len(rows)
             return pa.RecordBatch.from_arrays([pa.array(empty, t) for t in kinds[:6]] + [pa.array([r[j] for r in rows], kinds[6 + j]) for j in range(4)], names=names)
 
@@ -157,13 +145,13 @@ def _occurrences(buckets: int):
             data, offsets = text_bytes(batch.column(2))
             for lo, hi in pieces(offsets):
                 with np.errstate(over="ignore"):
-                    found = runs_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                    found = stretches_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 if found is None:
                     continue
-                row, start, windows, gram, text, inner = found
+                row, start, windows, gram, text = found
                 at, empty = pa.array(lo + row), [None] * len(row)
                 yield pa.RecordBatch.from_arrays([ids.take(at), keys.take(at)] + [pa.array(x).cast(t) for x, t in zip((start, windows, gram, text), kinds[2:6], strict=True)] + [pa.array(empty, t) for t in kinds[6:]], names=names)
-                held.append((np.stack([gram, text], axis=1), inner))
+                held.append(np.stack([gram, text], axis=1))
                 size += 17 * len(gram)
                 if size > FLUSH_BYTES:
                     yield flush()
@@ -175,19 +163,17 @@ def _occurrences(buckets: int):
 
 
 def _met_again(table: pa.Table) -> pa.Table:
-    """Runs of one bucket that occur again or whose gram other runs have: ``gram, run, copies, n_runs``."""
+    """Stretches of one bucket that occur again or whose anchor others have: ``gram, run, copies, n_runs``."""
     pairs = np.stack([np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("grams", "runs")], axis=1)
     counts = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("copies").to_pylist()])
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     pairs, counts = pairs[order], counts[order].astype(np.int64)
     new_gram = np.append(True, pairs[1:, 0] != pairs[:-1, 0])
     new = new_gram | np.append(True, pairs[1:, 1] != pairs[:-1, 1])
-    inner = np.logical_or.reduceat(counts >= INNER, np.flatnonzero(new))
-    copies = np.add.reduceat(counts % INNER, np.flatnonzero(new))
+    copies = np.add.reduceat(counts, np.flatnonzero(new))
     pairs, new_gram = pairs[new], new_gram[new]
     n_runs = np.diff(np.append(np.flatnonzero(new_gram), len(pairs)))
-    # A run that may repeat within itself is looked at like one that has company.
-    n_runs = np.maximum(np.repeat(n_runs, n_runs), 1 + inner)
+    n_runs = np.repeat(n_runs, n_runs)
     keep = (copies > 1) | (n_runs > 1)
     return pa.table({"gram": pa.array(pairs[keep, 0]), "run": pa.array(pairs[keep, 1]), "copies": pa.array(np.minimum(copies[keep], 2).astype(np.int32)), "n_runs": pa.array(n_runs[keep].astype(np.int32))})
 
@@ -223,8 +209,13 @@ def _common(a: bytes, b: bytes) -> int:
     return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
 
 
-def maximal_repeats(texts: list[bytes], least: int = MIN_BYTES) -> list[tuple[int, list[tuple[int, int]]]]:
-    """``(length, occurrences)`` of the maximal repeats within and between texts; an occurrence is (text, start)."""
+def maximal_repeats(texts: list[bytes], least: int = MIN_BYTES, groups: list[int] | None = None) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """``(length, occurrences)`` of the maximal repeats within and between texts; an occurrence is (text, start).
+
+    Of an occurrence the longest repeat comes first. Only texts of one group are
+    compared, if groups are given.
+    """
+    groups = [0] * len(texts) if groups is None else groups
     data = np.frombuffer(b"".join(texts), np.uint8)
     lengths = np.array([len(t) for t in texts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
@@ -232,9 +223,9 @@ def maximal_repeats(texts: list[bytes], least: int = MIN_BYTES) -> list[tuple[in
     text = np.repeat(np.arange(len(texts)), windows)
     start = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
     if not len(text):
-        return []
+        return
     with np.errstate(over="ignore"):
-        prints = gram_hashes(data, least)[offsets[text] + start]
+        prints = mix(gram_hashes(data, least)[offsets[text] + start] + np.array(groups, np.int64).astype(np.uint64)[text] * ODD[2])
     order = np.argsort(prints, kind="stable")
     prints, text, start = prints[order], text[order], start[order]
     # What stands before: a byte, or the start of a text, which differs from all else.
@@ -245,24 +236,52 @@ def maximal_repeats(texts: list[bytes], least: int = MIN_BYTES) -> list[tuple[in
     chosen = np.repeat((size > 1) & differs, size)
     text, start, left = text[chosen].tolist(), start[chosen].tolist(), left[chosen].tolist()
     suffixes = [texts[t][s:] for t, s in zip(text, start, strict=True)]
-    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-    found = lcp_intervals([suffixes[i] for i in order], [left[i] for i in order], least)
-    return [(length, [(text[i], start[i]) for i in order[a : b + 1]]) for length, a, b in found]
+    by_group: dict[int, list[int]] = {}
+    for i, t in enumerate(text):
+        by_group.setdefault(groups[t], []).append(i)
+    for members in by_group.values():
+        members.sort(key=suffixes.__getitem__)
+        for length, a, b in lcp_intervals([suffixes[i] for i in members], [left[i] for i in members], least):
+            yield length, [(text[i], start[i]) for i in members[a : b + 1]]
+
+
+def _once(table: pa.Table) -> pa.Table:
+    """Each stretch once: repeated rows of documents give the same texts again."""
+    first: dict[tuple[int, int], int] = {}
+    for i, key in enumerate(zip(table.column("gram").to_pylist(), table.column("run").to_pylist(), strict=True)):
+        first.setdefault(key, i)
+    return table if len(first) == table.num_rows else table.take(pa.array(list(first.values())))
 
 
 def _repeats(table: pa.Table) -> pa.Table:
-    """Stretches of documents that maximal repeats among the runs of a task cover."""
+    """Bytes of documents that maximal repeats among the stretches of a task cover."""
+    table = _once(table)
     rows: dict[int, list[int]] = {}
     for i, gram in enumerate(table.column("gram").to_pylist()):
         rows.setdefault(gram, []).append(i)
+    grams = table.column("gram").to_pylist()
     texts, start, copies = table.column("text").to_pylist(), table.column("start").to_pylist(), table.column("copies").to_pylist()
     at, spans = [], []
-    # All grams of a task are worked on together: runs of different grams have no window in common.
-    for length, occurrences in maximal_repeats(texts):
-        for t, s in occurrences:
-            if copies[t] == 1:
-                at.append(t)
-                spans.append((start[t] + s, start[t] + s + length))
+
+    def look(chosen: list[int]) -> None:
+        seen = set()
+        for length, occurrences in maximal_repeats([texts[i] for i in chosen], groups=[grams[i] for i in chosen]):
+            for t, s in occurrences:
+                if copies[chosen[t]] == 1 and (t, s) not in seen:
+                    seen.add((t, s))
+                    at.append(chosen[t])
+                    spans.append((start[chosen[t]] + s, start[chosen[t]] + s + length))
+
+    # Anchors are worked on together, about a unit at a time; their stretches may overlap and are not compared.
+    chosen, size = [], 0
+    for indexes in rows.values():
+        chosen += indexes
+        size += sum(len(texts[i]) for i in indexes)
+        if size >= UNIT_BYTES:
+            look(chosen)
+            chosen, size = [], 0
+    if chosen:
+        look(chosen)
     taken = pa.array(at, pa.int64())
     return pa.table({"doc_id": table.column("doc_id").take(taken), "row_key": table.column("row_key").take(taken), "from": pa.array([a for a, _ in spans], pa.int32()), "to": pa.array([b for _, b in spans], pa.int32())})
 
@@ -271,16 +290,19 @@ SPANS = "doc_id long, row_key long, from int, to int"
 PRINTS = "blob long, bucket int, prints binary, seconds binary, places binary, known binary"
 
 
-def _window_prints(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _window_prints(text: bytes, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of each window of a stretch, with its anchor: stretches of others may hold the same place."""
     data = np.frombuffer(text, np.uint8)
     with np.errstate(over="ignore"):
-        return gram_hashes(data, MIN_BYTES), gram_hashes(data, MIN_BYTES, 77)
+        anchor = np.array([gram], np.int64).astype(np.uint64)
+        return mix(gram_hashes(data, MIN_BYTES) + anchor), mix(gram_hashes(data, MIN_BYTES, 77) ^ anchor)
 
 
 def _blob_prints(buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """Fingerprints of all windows of a blob of runs, each different one once, by bucket."""
-        one, two = (np.concatenate(x) for x in zip(*[_window_prints(t) for t in table.column("text").to_pylist()], strict=True))
+        """Fingerprints of all windows of a blob of stretches, each different one once, by bucket."""
+        table = _once(table)
+        one, two = (np.concatenate(x) for x in zip(*map(_window_prints, table.column("text").to_pylist(), table.column("gram").to_pylist()), strict=True))
         copies = np.repeat(table.column("copies").to_numpy(), table.column("windows").to_numpy())
         order = np.lexsort((two, one))
         new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
@@ -316,8 +338,9 @@ def _repeated_prints(table: pa.Table) -> pa.Table:
 def _blob_spans(runs: pa.Table, found: pa.Table) -> pa.Table:
     """Stretches of documents that the repeated windows of a blob cover."""
     at, spans = [], []
+    runs = _once(runs)
     if runs.num_rows and found.num_rows:
-        prints = [_window_prints(t) for t in runs.column("text").to_pylist()]
+        prints = list(map(_window_prints, runs.column("text").to_pylist(), runs.column("gram").to_pylist()))
         one, two = (np.concatenate(x) for x in zip(*prints, strict=True))
         again = np.zeros(len(one), dtype=bool)
         again[np.concatenate([np.frombuffer(x, np.int64) for x in found.column("places").to_pylist()])] = True
@@ -379,8 +402,7 @@ def repeated_spans(documents: DataFrame, scratch: Scratch) -> DataFrame:
     d = documents.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "text")
     fetched = d.join(shown, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("row_key")))
     slice_ = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("windows") + (MIN_BYTES - 1))
-    # Repeated rows give the same text again; one is enough.
-    texts = scratch.keep(fetched.select("gram", "run", "copies", "n_runs", "doc_id", "row_key", "start", "windows", slice_.alias("text")).dropDuplicates(["gram", "run"]))
+    texts = scratch.keep(fetched.select("gram", "run", "copies", "n_runs", "doc_id", "row_key", "start", "windows", slice_.alias("text")))
     unit = F.expr(f"pmod(xxhash64(gram), {units})")
     met = texts.where(F.col("n_runs") <= MOST_RUNS).withColumn("unit", unit).groupBy("unit").applyInArrow(_repeats, SPANS)
     many = texts.where(F.col("n_runs") > MOST_RUNS).withColumn("blob", F.expr(f"pmod(xxhash64(gram, run), {units})"))
