@@ -158,8 +158,8 @@ def mix_sources(
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix as documents: each as often as it was taken, in whole numbers (half up), with its own columns."""
-    plan = mix_sources(documents).groupBy("doc_id").agg(F.sum(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)).alias("copies"), F.count("*").alias("n_rows"))
+    plan = mix_sources(documents).groupBy("doc_id").agg(F.sum(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)).alias("__copies"), F.count("*").alias("__n_rows"))
     same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source"))
-    numbered = documents.withColumn("_row", F.row_number().over(same)).join(plan.withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of")))
-    mine = F.floor(F.col("copies") / F.col("n_rows")) + (F.col("_row") <= F.col("copies") % F.col("n_rows")).cast("int")
-    return numbered.withColumn("_copy", F.explode(F.when(mine > 0, F.sequence(F.lit(1), mine.cast("int"))))).select(*[documents[c] for c in documents.columns])
+    numbered = documents.withColumn("__row", F.row_number().over(same)).join(plan.withColumnRenamed("doc_id", "__of"), F.col("doc_id").eqNullSafe(F.col("__of")))
+    mine = F.floor(F.col("__copies") / F.col("__n_rows")) + (F.col("__row") <= F.col("__copies") % F.col("__n_rows")).cast("int")
+    return numbered.withColumn("__copy", F.explode(F.when(mine > 0, F.sequence(F.lit(1), mine.cast("int"))))).select(*[documents[c] for c in documents.columns])

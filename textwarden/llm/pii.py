@@ -128,11 +128,11 @@ def kind_spans(text: Column, kind: str) -> Column:
 
 
 def find_personal_data(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with the column ``pii``: all confirmed spans, by kind as listed, then start."""
+    """``documents`` with the column ``__pii``: all confirmed spans, by kind as listed, then start."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    by_kind = documents.withColumns({f"_pii_{kind}": kind_spans(whole, kind) for kind in BASE_KINDS + ADDED_KINDS})
-    joined = F.concat(*[F.col(f"_pii_{kind}") for kind in BASE_KINDS + ADDED_KINDS])
-    return by_kind.withColumn("pii", joined).drop(*[f"_pii_{kind}" for kind in BASE_KINDS + ADDED_KINDS])
+    by_kind = documents.withColumns({f"__pii_{kind}": kind_spans(whole, kind) for kind in BASE_KINDS + ADDED_KINDS})
+    joined = F.concat(*[F.col(f"__pii_{kind}") for kind in BASE_KINDS + ADDED_KINDS])
+    return by_kind.withColumn("__pii", joined).drop(*[f"__pii_{kind}" for kind in BASE_KINDS + ADDED_KINDS])
 
 
 def _is_kind(kind: str):
@@ -147,9 +147,9 @@ def spans_text(spans: Column) -> Column:
 def digest(documents: DataFrame) -> DataFrame:
     """One row a document: counts of the base kinds, the digest of base spans, all spans as text."""
     found = find_personal_data(documents.select("doc_id", "text"))
-    base = F.filter("pii", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter("pii", _is_kind(kind))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("pii")).alias("spans"), F.transform("pii", lambda s: s["score"]).alias("scores"))
+    base = F.filter("__pii", lambda s: s["kind"].isin(*BASE_KINDS))
+    counts = [F.size(F.filter("__pii", _is_kind(kind))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("__pii")).alias("spans"), F.transform("__pii", lambda s: s["score"]).alias("scores"))
 
 
 def redacted(documents: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def redacted(documents: DataFrame) -> DataFrame:
     """
     found = find_personal_data(documents)
     spans = F.array_sort(
-        "pii",
+        "__pii",
         lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0),
     )
     text = F.col("text")
@@ -174,7 +174,7 @@ def redacted(documents: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     new_text = F.aggregate(spans, start, cut, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
-    found = found.withColumn("text", F.when(F.size("pii") > 0, new_text).otherwise(text))
+    found = found.withColumn("text", F.when(F.size("__pii") > 0, new_text).otherwise(text))
     if "n_chars" in documents.columns:
-        found = found.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.size("__pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*documents.columns)
