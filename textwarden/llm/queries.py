@@ -63,6 +63,31 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(read_table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = """
+with d as (
+  select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents
+), w as (
+  select r, i, md5(substr(x, 2 * i + 1, 800)) as h from (select r, x, unnest(range(0, len(x) // 2 - 399)) as i from d)
+), again as (
+  select r, i from (select r, i, count(*) over (partition by h) as c from w) where c > 1
+), run as (
+  select r, i, sum(new) over (partition by r order by i rows unbounded preceding) as g
+  from (select r, i, case when i <= lag(i) over (partition by r order by i) + 400 then 0 else 1 end as new from again)
+), span as (
+  select r, min(i) as a, max(i) + 400 as b from run group by r, g
+), gap as (
+  select r, coalesce(lag(b) over (partition by r order by a), 0) as p, a as q from span
+  union all select r, max(b), null from span group by r
+), kept as (
+  select d.r, string_agg(substr(x, (2 * p + 1)::bigint, (2 * (coalesce(q, len(x) // 2) - p))::bigint), '' order by p) as x from gap join d on gap.r = d.r group by d.r
+), sums as (
+  select r, sum(b - a) as n_removed, count(*) as n_spans from span group by r
+)
+select doc_id, (len(d.x) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept.x, d.x))) as kept_sha256
+from d left join sums on d.r = sums.r left join kept on d.r = kept.r
+"""
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -112,6 +137,24 @@ def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+OP8_SQL = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95
+), reach as (
+  select vec_id as a, vec_id as b from embeddings
+  union
+  select r.a, l.b from reach r join links l on r.b = l.a
+), least as (
+  select a, min(b) as component_id from reach group by a
+)
+select e.vec_id, (select count(*) from links where a = e.vec_id)::bigint as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join least on e.vec_id = least.a
+"""
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"))
 
@@ -133,7 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_personal_data": op10_personal_data,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op3_ngram_join": OP3_SQL, "op4_mix_sources": OP4_SQL}
+SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op2_repeats": OP2_SQL, "op8_near_vectors": OP8_SQL, "op3_ngram_join": OP3_SQL, "op4_mix_sources": OP4_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
