@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.functions.detectors import ScanConfig, bare_numbers, find
+from textwarden.functions.detectors import ScanConfig, bare_numbers
+from textwarden.functions.normalization import find_all
 from textwarden.operators.spans import dedupe_spans, merge_spans
 
 #: Longer texts are cut into pieces, at a line's end or else with an overlap.
@@ -50,7 +51,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _find(config: ScanConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key, e, at + a, at + b, score, label) for key, at, piece in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for e, a, b, score, label in find(piece, config)]
+            rows = [(key, e, at + a, at + b, score, label) for key, at, piece in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for e, a, b, score, label in find_all(piece, config)]
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in HITS.split(", ")])
 

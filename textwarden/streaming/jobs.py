@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textwarden.functions.detectors import ScanConfig, find
+from textwarden.functions.detectors import ScanConfig
+from textwarden.functions.normalization import find_all
 from textwarden.operators.records import session_key
 
 LATE = "1 hour"
@@ -24,7 +25,7 @@ def stream_scan(events: DataFrame, text: str, keys: list[str], config: ScanConfi
         for batch in batches:
             at, rows = [], []
             for i, t in enumerate(batch.column(len(keys)).to_pylist()):
-                for hit in find(t or "", config):
+                for hit in find_all(t or "", config):
                     at.append(i)
                     rows.append(hit)
             taken = pa.array(at, pa.int64())
