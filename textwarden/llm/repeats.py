@@ -400,7 +400,8 @@ def repeated_spans(documents: DataFrame, scratch: Scratch) -> DataFrame:
     n_shown = shown.agg(F.count("*"), F.sum(F.col("windows") + MIN_BYTES)).first()
     units = max(1, int(n_shown[1] or 0) // UNIT_BYTES)
     d = documents.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "text")
-    fetched = d.join(shown, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("row_key")))
+    # Stretches and spans grow with the input: they are merged, never broadcast, at every size.
+    fetched = d.join(shown.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("row_key")))
     slice_ = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("windows") + (MIN_BYTES - 1))
     texts = scratch.keep(fetched.select("gram", "run", "copies", "n_runs", "doc_id", "row_key", "start", "windows", slice_.alias("text")))
     unit = F.expr(f"pmod(xxhash64(gram), {units})")
@@ -418,5 +419,5 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
     spans = repeated_spans(keyed, scratch).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "spans")
-    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left").select("doc_id", "text", "spans")
+    joined = keyed.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
