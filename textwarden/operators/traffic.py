@@ -55,6 +55,13 @@ def merge_usage(events: DataFrame, keys: list[str]) -> DataFrame:
     return merged.withColumn("usage_status", known)
 
 
+def usage_totals(usage: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of tokens by key, and the share of prompts that came from the cache."""
+    prompt = F.col("input_tokens") + F.col("cache_write") + F.col("cache_read")
+    sums = [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_write", "cache_read")]
+    return usage.groupBy(*keys).agg(*sums, F.round(F.sum("cache_read") / F.sum(prompt), 6).alias("read_share"))
+
+
 def stop_reason_of(json: Column) -> Column:
     """The first reason of five places that is not empty; long or unprintable ones are unknown."""
     places = ("$.stop_reason", "$.delta.stop_reason", "$.choices[0].finish_reason", "$.response.incomplete_details.reason", "$.message.stop_reason")
