@@ -92,7 +92,8 @@ def verified_components(candidates: DataFrame, texts: DataFrame, n: int, percent
     others = F.when(F.col("n_parts") == 1, F.array(F.col("part"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1), lambda x: x != F.col("part")))
     unit = F.when(F.col("n_parts") == 1, F.expr(f"pmod(xxhash64(block), {units})")).otherwise(F.xxhash64("block", "lo", "hi"))
     dealt = (
-        texts.join(placed, "key")
+        # Candidates grow with the input: they are merged, never broadcast, at every size.
+        texts.join(placed.hint("merge"), "key")
         .withColumn("other", F.explode(others))
         .withColumn("lo", F.least("part", "other"))
         .withColumn("hi", F.greatest("part", "other"))
