@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run. ``keep`` writes and rereads one, ``drop`` removes one that nothing reads any more."""
+    """Tables of one run: ``keep`` writes one and reads it again. They stay, since lazy results still read them."""
 
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
@@ -33,11 +33,4 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return self.spark.read.schema(df.schema).parquet(path)
