@@ -36,20 +36,22 @@ TEN = re.compile(r"(?<![0-9])[0-9]{10}(?![0-9])")
 TAX_WORD = re.compile(r"\b(?:tax|vergi|vkn)\b", re.I)
 PHONE = re.compile(r"(?<![\w+])(?:\+[1-9][0-9]{0,2}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,3}|\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|0?5[0-9]{2}[ ][0-9]{3}[ ][0-9]{2}[ ]?[0-9]{2})(?![\w\-])")
 PLATE = re.compile(r"(?<![A-Z0-9])(?:0[1-9]|[1-7][0-9]|8[01]) ?[A-Z]{1,3} ?[0-9]{2,5}(?![A-Z0-9])")
+ANY_DIGIT = re.compile("[0-9]")
 BARE = re.compile(r"(?<![\w.])[0-9]{9,12}(?![\w.])")
 
+#: Tokens of vendors: label, what a text must hold for one to be there, pattern.
 VENDOR = (
-    ("aws", re.compile(r"(?<![A-Z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Z0-9])")),
-    ("github", re.compile(r"(?<![A-Za-z0-9])(?:gh[oprsu]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{60,90})(?![A-Za-z0-9])")),
-    ("stripe", re.compile(r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[A-Za-z0-9]{16,}")),
-    ("model", re.compile(r"(?<![A-Za-z0-9])sk-[A-Za-z0-9_\-]{20,}")),
-    ("slack", re.compile(r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9\-]{10,}")),
-    ("google", re.compile(r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_\-]{35}")),
-    ("gitlab", re.compile(r"(?<![A-Za-z0-9])glpat-[A-Za-z0-9_\-]{20,}")),
-    ("npm", re.compile(r"(?<![A-Za-z0-9])npm_[A-Za-z0-9]{36}")),
-    ("hub", re.compile(r"(?<![A-Za-z0-9])hf_[A-Za-z0-9]{30,}")),
-    ("mail", re.compile(r"(?<![A-Za-z0-9])SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}")),
-    ("jwt", re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")),
+    ("aws", ("AKIA", "ASIA"), re.compile(r"(?<![A-Z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Z0-9])")),
+    ("github", ("gh", "github_pat_"), re.compile(r"(?<![A-Za-z0-9])(?:gh[oprsu]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{60,90})(?![A-Za-z0-9])")),
+    ("stripe", ("sk_", "rk_"), re.compile(r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[A-Za-z0-9]{16,}")),
+    ("model", ("sk-",), re.compile(r"(?<![A-Za-z0-9])sk-[A-Za-z0-9_\-]{20,}")),
+    ("slack", ("xox",), re.compile(r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9\-]{10,}")),
+    ("google", ("AIza",), re.compile(r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_\-]{35}")),
+    ("gitlab", ("glpat-",), re.compile(r"(?<![A-Za-z0-9])glpat-[A-Za-z0-9_\-]{20,}")),
+    ("npm", ("npm_",), re.compile(r"(?<![A-Za-z0-9])npm_[A-Za-z0-9]{36}")),
+    ("hub", ("hf_",), re.compile(r"(?<![A-Za-z0-9])hf_[A-Za-z0-9]{30,}")),
+    ("mail", ("SG.",), re.compile(r"(?<![A-Za-z0-9])SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}")),
+    ("jwt", ("eyJ",), re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")),
 )
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z]+ ){0,2}PRIVATE KEY(?: BLOCK)?-----(?:(?!-----END).)*(?:-----END (?:[A-Z]+ ){0,2}PRIVATE KEY(?: BLOCK)?-----)?", re.S)
 WEBHOOK = re.compile(r"https://(?:hooks\.slack\.com/services|discord(?:app)?\.com/api/webhooks)/[A-Za-z0-9/_\-]+")
@@ -58,6 +60,8 @@ OPTION = re.compile(r"--(?:password|passwd|token|secret|api-key)[ =]([^\s'\"]{4,
 ACCOUNT_KEY = re.compile(r"\bAccountKey=([A-Za-z0-9+/]{20,}={0,2})")
 ASSIGNED = re.compile(r"(?P<key>[A-Za-z][A-Za-z0-9_.\-]{0,60})(?P<q>['\"]?)\s{0,4}(?::=|=>|[:=])\s{0,4}(?:\"(?P<d>[^\"\n]{4,})\"|'(?P<s>[^'\n]{4,})'|(?P<b>[^\s'\",;(){}\[\]<>]{6,}))")
 SECRET_WORD = re.compile(r"pass(?:word|wd|phrase|code)?$|pwd$|secret|token$|api.?key|access.?key|private.?key|credential|auth.?key|client.?key", re.I)
+#: One of these is in any text with a key that SECRET_WORD knows.
+SECRET_NEEDLES = ("pass", "pwd", "secret", "token", "key", "credential")
 REFERENCE = re.compile(r"^(?:\$|%\(|\{\{|<[^>]*>$|process\.env|os\.environ|env\.|(?:true|false|null|none|undefined|string|str|int|bool|optional)\b|(?:[./~]|https?:))|^[0-9]+$|^[A-Za-z_]\w*(?:\.\w+)+$|^(?:\*+|x+|\.+)$", re.I)
 USERINFO = re.compile(r"\b(?P<scheme>[A-Za-z][A-Za-z0-9+.\-]{1,20})://(?P<info>[^\s/@:\"'<>]{0,64}:(?P<pw>[^\s/@\"'<>]{1,128}))@(?P<host>[^\s/:?#\"'<>]{1,253})")
 DB_SCHEMES = frozenset(("postgres", "postgresql", "mysql", "mariadb", "mongodb", "mongodb+srv", "redis", "rediss", "amqp", "amqps", "mssql", "oracle", "clickhouse"))
@@ -169,7 +173,7 @@ def _email(t: str, c: ScanConfig) -> Iterator[Hit]:
                 continue
             start = m.start() + len(local) - len(local.lstrip(".'-%+"))
             yield "EMAIL", start, m.end(), 1.0, ""
-    if "at" in t.lower():
+    if any(x in t.lower() for x in ("[at", "(at")):
         for m in WRITTEN_EMAIL.finditer(t):
             if registrable(m.group(1), c.suffixes):
                 yield "EMAIL", m.start(), m.end(), 1.0, ""
@@ -215,7 +219,7 @@ def _ip(t: str, c: ScanConfig) -> Iterator[Hit]:
 
 
 def _mac(t: str, c: ScanConfig) -> Iterator[Hit]:
-    for m in MAC.finditer(t):
+    for m in MAC.finditer(t) if t.count(":") > 4 or t.count("-") > 4 or t.count(".") > 1 else ():
         if len(set(re.sub(r"[^0-9A-Fa-f]", "", m.group()).lower()) - {"f"}) and len(set(re.sub(r"[^0-9A-Fa-f]", "", m.group())) - {"0"}):
             yield "MAC_ADDRESS", m.start(), m.end(), 0.6, ""
 
@@ -257,25 +261,28 @@ def _plate(t: str, c: ScanConfig) -> Iterator[Hit]:
 
 
 def _secret(t: str, c: ScanConfig) -> Iterator[Hit]:
-    for label, pattern in VENDOR:
-        for m in pattern.finditer(t):
-            yield "SECRET", m.start(), m.end(), 1.0, label
+    lower = t.lower()
+    for label, needles, pattern in VENDOR:
+        if any(n in t for n in needles):
+            for m in pattern.finditer(t):
+                yield "SECRET", m.start(), m.end(), 1.0, label
     if "PRIVATE KEY" in t:
         for m in PRIVATE_KEY.finditer(t):
             yield "SECRET", m.start(), m.end(), 1.0, "private_key"
-    for label, pattern in (("header", HEADER), ("option", OPTION), ("account_key", ACCOUNT_KEY)):
-        for m in pattern.finditer(t):
-            yield "SECRET", m.start(1), m.end(1), 0.95, label
+    for label, needle, pattern in (("header", "authorization", HEADER), ("option", "--", OPTION), ("account_key", "accountkey=", ACCOUNT_KEY)):
+        if needle in lower:
+            for m in pattern.finditer(t):
+                yield "SECRET", m.start(1), m.end(1), 0.95, label
     for m in WEBHOOK.finditer(t):
         yield "SECRET", m.start(), m.end(), 0.95, "webhook"
-    for m in ASSIGNED.finditer(t):
+    for m in ASSIGNED.finditer(t) if any(w in lower for w in SECRET_NEEDLES) else ():
         if SECRET_WORD.search(m.group("key")):
             group = next(g for g in "dsb" if m.group(g) is not None)
             value = m.group(group)
             bare_word = group == "b" and value.isalpha()
             if not REFERENCE.search(value) and not bare_word and not PLACEHOLDER.fullmatch(value):
                 yield "SECRET", m.start(group), m.end(group), 0.9, "assignment"
-    for m in BASIC.finditer(t):
+    for m in BASIC.finditer(t) if "auth" in lower else ():
         if re.match(r"^[^:\s]+:.+", _decoded(m.group(1))):
             yield "SECRET", m.start(1), m.end(1), 0.9, "basic"
     for m in ENCODED.finditer(t):
@@ -285,7 +292,7 @@ def _secret(t: str, c: ScanConfig) -> Iterator[Hit]:
 
 
 def _plain_secret(t: str) -> Iterator[int]:
-    for _, pattern in VENDOR:
+    for _, _, pattern in VENDOR:
         yield from (m.start() for m in pattern.finditer(t))
     for m in ASSIGNED.finditer(t):
         value = m.group("d") or m.group("s") or m.group("b")
@@ -309,13 +316,18 @@ def _uri(t: str, c: ScanConfig) -> Iterator[Hit]:
             yield entity, m.start("info"), m.end("info"), 0.95, "userinfo"
 
 
+#: Detectors whose hits all hold digits.
+NUMERIC = (_card, _iban, _ssn, _numbers, _phone, _plate)
 DETECTORS = (_email, _card, _iban, _ip, _mac, _ssn, _numbers, _phone, _plate, _secret, _uri)
 
 
 def find(text: str, config: ScanConfig) -> list[Hit]:
     """All hits of the enabled types, those that lie wholly in our own placeholders left out."""
     hits: list[Hit] = []
+    numeric = ANY_DIGIT.search(text) is not None
     for detector in DETECTORS:
+        if detector in NUMERIC and not numeric:
+            continue
         hits += (h for h in detector(text, config) if h[0] in config.entities)
     for custom in config.custom:
         hits += (("CUSTOM", m.start(), m.end(), custom.score, custom.name[:32]) for m in custom.compiled().finditer(text) if m.end() > m.start())

@@ -20,7 +20,7 @@ HITS = "key string, entity string, start int, end int, score double, label strin
 
 def may_hold(text: Column) -> Column:
     """A cheap test on the JVM's side: texts without these never cross to Python."""
-    return text.rlike(r"@|[0-9]{2}|://|PRIVATE KEY|[:=]|\(at\)|\[at\]")
+    return text.rlike(r"@|[0-9]|://|PRIVATE KEY|[:=]|\(at\)|\[at\]")
 
 
 def cut_text(text: str) -> Iterator[tuple[int, str]]:
