@@ -46,7 +46,7 @@ MOST_FREQUENT = 2_000_000
 #: Documents that hold a member before it counts as frequent, at least; a power of two.
 LEAST_FREQUENT = 16
 #: Bytes of members that a task holds before it hands them on.
-FLUSH_BYTES = 24_000_000
+FLUSH_BYTES = 10_000_000
 
 U64 = np.uint64
 
