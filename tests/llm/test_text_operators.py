@@ -320,6 +320,56 @@ def test_paragraphs_against_all_pairs(spark):
     assert sorted(map(sorted, (map(repr, g) for g in got.values()))) == sorted(map(sorted, (map(repr, g) for g in want if g)))
 
 
+@pytest.mark.parametrize("kind", ["short sentences", "one line", "cut sentences"])
+def test_passages_are_found_wherever_they_lie(spark, kind):
+    """Of a passage of 60 words all copies but the first are removed, to the word."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"x{v}" for v in rng.integers(0, 10**9, n)]
+    passage = fresh(60)
+    if kind == "short sentences":
+        passage = [w + "." * (i % 5 == 4) for i, w in enumerate(passage)]
+    if kind == "cut sentences":
+        passage = [w + "." * (i % 40 == 19) for i, w in enumerate(passage)]
+    rows = [(d, fresh(50 + d), fresh(70)) for d in (1, 2, 3)]
+    docs = [(d, " ".join([*a, *passage, *b])) for d, a, b in rows] + [(4, " ".join(fresh(150))), (5, None), (6, "é " * 500 + "end")]
+    got = paragraphs.repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    text = dict(docs)
+    for d, a, _ in rows:
+        spans = [r for r in got if r.doc_id == d and text[d][r.start : r.end] == " ".join(passage)]
+        assert [(r.n_words, r.n_occurrences, r.first_doc_id, r.removed) for r in spans] == [(60, 3, 1, d != 1)]
+    assert {r.doc_id for r in got} == {1, 2, 3}
+
+
+def test_passages_against_all_windows(spark):
+    """Words of passages are those of windows that occur again, and each occurrence of a group is the same words."""
+    from textwarden.llm.passages import WINDOW, repeated_passages
+
+    rng = np.random.default_rng(12)
+    parts = [[f"p{k}w{i}" for i in range(rng.integers(5, 60))] for k in range(12)]
+    texts = [[w for k in rng.integers(0, 12, rng.integers(1, 6)) for w in (*parts[k][rng.integers(0, 4) :], *(f"f{v}" for v in rng.integers(0, 10**9, rng.integers(0, 2))))] for _ in range(40)]
+    texts += [["a", "b", "c"] * 100, ["a", "b", "c"] * 90, ["alone"] * 200, texts[0]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = repeated_passages(docs, Scratch(spark, "t")).collect()
+    places = collections.defaultdict(list)
+    for d, t in enumerate(texts):
+        for i in range(len(t) - WINDOW + 1):
+            places[tuple(t[i : i + WINDOW])].append((d, i))
+    want = set()
+    for found in places.values():
+        if any(e != d or j - i >= WINDOW for (d, i), (e, j) in zip(found, found[1:], strict=False)):
+            want |= {(d, i + k) for d, i in found for k in range(WINDOW)}
+    assert {(r.doc_id, i) for r in got for i in range(r.place, r.reach)} == want
+    groups = collections.defaultdict(list)
+    for r in got:
+        assert " ".join(texts[r.doc_id])[r.start : r.end].split() == texts[r.doc_id][r.place : r.reach]
+        groups[r.group_id].append(r)
+    for rows in groups.values():
+        first = min(rows, key=lambda r: (r.doc_id, r.place))
+        assert len(rows) == rows[0].n_occurrences > 1 and [r for r in rows if not r.removed] == [first] and {r.first_doc_id for r in rows} == {first.doc_id}
+        assert len({" ".join(texts[r.doc_id][r.place : r.reach]) for r in rows}) == 1 or texts[first.doc_id][first.place] in "abc"
+    assert repeated_passages(docs.where("false"), Scratch(spark, "t")).count() == 0
+
+
 def test_connected_components(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(200)] + [(7, 7)]

@@ -95,6 +95,13 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total + np.uint64(n))
 
 
+def row_keys(hashes: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's sequence of words."""
+    first = np.searchsorted(starts, at)
+    with np.errstate(over="ignore"):
+        return np.array([int(mix(hashes[a:b] + np.arange(b - a, dtype=np.uint64)).sum().astype(np.int64)) for a, b in zip(first[:-1], first[1:], strict=True)], np.int64)
+
+
 def ngram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct 63-bit hashes of its word n-grams, A-Z in lower case.
 
