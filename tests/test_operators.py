@@ -1,5 +1,6 @@
 """DataFrame operators against sequential versions on small random rows."""
 
+import base64
 import datetime as dt
 import json
 import random
@@ -7,7 +8,8 @@ import random
 from pyspark.sql import functions as F
 
 from textwarden.functions import checks, reshaping
-from textwarden.functions.detectors import ScanConfig, luhn_ok, national_ok, tax_ok
+from textwarden.functions.detectors import Custom, ScanConfig, luhn_ok, national_ok, tax_ok
+from textwarden.functions.normalization import find_all
 from textwarden.operators import domains, injection, payload, policy, records, redact, reshape, scan, spans, traffic, transcripts
 
 
@@ -49,6 +51,18 @@ def _merged(k, group, order):
     return k, min(d[2] for d in group), max(d[3] for d in group), winner[1]
 
 
+def test_scan_reaches_all_that_detectors_find(spark):
+    """Nothing that a detector finds is lost to the test before it."""
+    letters = "abcdefghijklmnopqrstuvwxyz" * 4
+    tokens = [f"ghp_{letters[:36]}", f"github_pat_{letters[:60]}", f"sk_live_{letters[:16]}", f"sk-{letters[:20]}", f"xoxb-{letters[:10]}", f"AIza{letters[:35]}", f"glpat-{letters[:20]}", f"npm_{letters[:36]}", f"hf_{letters[:30]}", f"SG.{letters[:16]}.{letters[:16]}", f"eyJ{letters[:8]}.eyJ{letters[:8]}.{letters[:8]}", f"AKIA{letters[:16].upper()}"]
+    texts = [*tokens, "--password hunterTwoSecret", "john[AT]example.com", "john(At)example.com", "user\uff20example\uff0ecom", "\uff11\uff12\uff13-\uff14\uff15-\uff16\uff17\uff18\uff19", "john%40example.com", "mac ab-cd-ef-ab-cd-ef", "mac abcd.efab.cdef", base64.b64encode(b"password=hunterTwoSecret").decode().rstrip("="), "-----BEGIN PRIVATE KEY-----"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "plain words only", None])], "doc_id int, text string")
+    assert all(find_all(t, ScanConfig()) for t in texts)
+    assert {r.doc_id for r in scan.scan(df, "text", ["doc_id"]).collect()} == set(range(len(texts)))
+    own = ScanConfig(custom=(Custom("w", literal="words"),))
+    assert len(texts) in {r.doc_id for r in scan.scan(df, "text", ["doc_id"], own).where("entity = 'CUSTOM'").collect()}
+
+
 def test_scan_numbers_and_redacts(spark):
     texts = [(1, "a@x.com b@x.com a@x.com <EMAIL_4> 4111 1111 1111 1111"), (2, None), (3, "nothing"), (4, "y" * 100_010 + "\nlate@x.com " + "z" * 150_000 + " q@x.com")]
     df = spark.createDataFrame(texts, "doc_id int, text string")

@@ -42,7 +42,7 @@ BARE = re.compile(r"(?<![\w.])[0-9]{9,12}(?![\w.])")
 #: Tokens of vendors: label, what a text must hold for one to be there, pattern.
 VENDOR = (
     ("aws", ("AKIA", "ASIA"), re.compile(r"(?<![A-Z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Z0-9])")),
-    ("github", ("gh", "github_pat_"), re.compile(r"(?<![A-Za-z0-9])(?:gh[oprsu]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{60,90})(?![A-Za-z0-9])")),
+    ("github", ("gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_"), re.compile(r"(?<![A-Za-z0-9])(?:gh[oprsu]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{60,90})(?![A-Za-z0-9])")),
     ("stripe", ("sk_", "rk_"), re.compile(r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[A-Za-z0-9]{16,}")),
     ("model", ("sk-",), re.compile(r"(?<![A-Za-z0-9])sk-[A-Za-z0-9_\-]{20,}")),
     ("slack", ("xox",), re.compile(r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9\-]{10,}")),

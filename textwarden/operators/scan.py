@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.functions.detectors import ScanConfig, bare_numbers
+from textwarden.functions.detectors import VENDOR, ScanConfig, bare_numbers
 from textwarden.functions.normalization import find_all
 from textwarden.operators.spans import dedupe_spans, merge_spans
 
@@ -18,9 +19,14 @@ PIECE_CHARS, OVERLAP = 100_000, 4_096
 HITS = "key string, entity string, start int, end int, score double, label string"
 
 
-def may_hold(text: Column) -> Column:
-    """A cheap test on the JVM's side: texts without these never cross to Python."""
-    return text.rlike(r"@|[0-9]|://|PRIVATE KEY|[:=]|\(at\)|\[at\]")
+#: One of these is in any text that a detector finds something in: what normalizing could change, marks
+#: that patterns need, needles of vendors, runs that could be encoded, and hardware addresses of letters only.
+HOLDS = "|".join([r"[^\x00-\x7F]", r"[@0-9:=%]", "--", r"(?i:[\[(]at[\])])", "PRIVATE KEY", *(re.escape(n) for _, needles, _ in VENDOR for n in needles), "[A-Za-z0-9+/]{24}", r"[A-Fa-f]{2}-[A-Fa-f]{2}-|[A-Fa-f]{4}\.[A-Fa-f]{4}\."])
+
+
+def may_hold(text: Column, config: ScanConfig | None = None) -> Column:
+    """A cheap test on the JVM's side: texts without these never cross to Python; patterns of the user may hold anything."""
+    return text.isNotNull() if config and config.custom else text.rlike(HOLDS)
 
 
 def cut_text(text: str) -> Iterator[tuple[int, str]]:
@@ -66,7 +72,7 @@ def scan(df: DataFrame, text: str, keys: list[str], config: ScanConfig | None =
     Null texts have no findings.
     """
     config = config or ScanConfig()
-    gated = df.where(may_hold(F.col(text))).select(*keys, F.sha2(text, 256).alias("digest"), text)
+    gated = df.where(may_hold(F.col(text), config)).select(*keys, F.sha2(text, 256).alias("digest"), text)
     distinct = gated.groupBy("digest").agg(F.first(text).alias("text"))
     short = distinct.where(F.length("text") <= PIECE_CHARS).select("digest", F.lit(0).alias("at"), "text")
     long_ = distinct.where(F.length("text") > PIECE_CHARS).select("digest", "text").mapInArrow(_cut, "key string, at int, piece string")
