@@ -76,6 +76,22 @@ def test_near_duplicate_vectors(spark, monkeypatch, most_rows):
     assert neighbours.near_duplicates(empty(df)).count() == 0
 
 
+def test_near_vectors_never_end_below_the_recall(spark, monkeypatch):
+    """Rounds go on with larger lists until the recall is reached, and a recall out of reach is an error."""
+    for name, value in (("BUCKET_ROWS", 16), ("TABLES", 1), ("NEIGHBOURS", 1), ("LEAST_ROUNDS", 1), ("MOST_ROUNDS", 1)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(60, 16)), rng.normal(size=(1, 16)) + 0.2 * rng.normal(size=(60, 16))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    df = vector_table(spark, x)
+    found = sum(r.n_links for r in neighbours.near_duplicates(df).collect())
+    assert found >= 0.98 * (near.sum() - len(x))
+    monkeypatch.setattr(neighbours, "RECALL", 1.1)
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.near_duplicates(df)
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 

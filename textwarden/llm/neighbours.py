@@ -6,7 +6,8 @@ group of copies, however large, becomes one row. Then a graph of nearest
 neighbours is built over the balls: lists start from buckets of random
 hyperplanes and are refined by joins of neighbours of neighbours; lists whose
 last entry could still matter are enlarged. A sample of balls is compared with
-all others, and rounds go on until the recall of links is RECALL. Edges that the
+all others, and rounds go on, with growing lists in the end, until the recall of links,
+over pairs and averaged over balls, is RECALL; a run that stays below it fails. Edges that the
 threshold could let pass are kept; by the triangle inequality most pairs of
 balls are linked wholly or not at all, and the members of the rest are compared
 in blocks. All links are decided in double precision.
@@ -19,6 +20,7 @@ table gives an empty result; labels and other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -33,8 +35,8 @@ from textwarden.llm.vectors import usable_vectors
 THRESHOLD = 0.95
 #: Neighbours of a list at first; buckets' rows on average and at most; tables of buckets at first and for each further round.
 NEIGHBOURS, BUCKET_ROWS, MOST_ROWS, TABLES, MORE_TABLES = 10, 1000, 4096, 8, 4
-#: Rounds at least and at most; balls in the audit; recall of links to reach.
-LEAST_ROUNDS, MOST_ROUNDS, AUDITED, RECALL = 2, 6, 256, 0.98
+#: Rounds at least, and before lists are doubled in each; rounds without gain after which the run fails; balls in the audit; recall of links to reach.
+LEAST_ROUNDS, MOST_ROUNDS, MOST_STALLED, AUDITED, RECALL = 2, 6, 3, 256, 0.98
 #: Angles are compared with this slack, far above the error of double arithmetic at these angles.
 SLACK = 1e-6
 
@@ -215,8 +217,15 @@ def nearest(points: DataFrame, n: int, limit: float, scratch: Scratch) -> tuple[
             yield pa.RecordBatch.from_arrays([pa.array(p[other], pa.int64()) for p in pairs], names=["id", "other"])
 
     audit = scratch.keep(points.mapInArrow(true_links, "id long, other long"))
-    recall = 0.0
-    for round_ in range(MOST_ROUNDS):
+    recall, best, stalled = 0.0, -1.0, 0
+    for round_ in itertools.count():
+        if round_ >= MOST_ROUNDS:
+            # Rounds alone were not enough: lists grow as long as that brings more links.
+            stalled = stalled + 1 if recall <= best else 0
+            if stalled == MOST_STALLED:
+                raise RuntimeError(f"near-duplicate vectors: recall {recall:.3f} of {RECALL} after {round_} rounds")
+            lists = scratch.keep(lists.withColumn("capacity", F.col("capacity") * 2))
+        best = max(best, recall)
         entries = _entries(lists).join(lists.select("id", "capacity"), "id")
         around = entries.select(F.col("id").alias("centre"), F.col("other").alias("id")).union(entries.select(F.col("other").alias("centre"), "id"))
         # Reverse lists of hubs are thinned by a hash to about what a list holds; lists are not.
@@ -230,8 +239,10 @@ def nearest(points: DataFrame, n: int, limit: float, scratch: Scratch) -> tuple[
         lists = merged(lists.union(joined) if fresh is None else lists.union(joined).union(fresh))
         found = _entries(lists).where(F.col("cosine") >= limit).select("id", "other")
         both = found.union(found.select(F.col("other"), F.col("id"))).distinct()
-        n_true, n_found = audit.join(both.withColumn("hit", F.lit(1)), ["id", "other"], "left").agg(F.count("*"), F.count("hit")).first()
-        recall = n_found / n_true if n_true else 1.0
+        # Each ball with links counts alike, and so do all pairs: neither a dense group nor small ones are hidden.
+        of_ball = audit.join(both.withColumn("hit", F.lit(1)), ["id", "other"], "left").groupBy("id").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"))
+        by_ball, n_true, n_found = of_ball.agg(F.avg(F.col("n_found") / F.col("n_true")), F.sum("n_true"), F.sum("n_found")).first()
+        recall = min(by_ball, n_found / n_true) if n_true else 1.0
         if round_ + 1 >= LEAST_ROUNDS and recall >= RECALL:
             break
     return _entries(lists).where(F.col("cosine") >= limit), recall
