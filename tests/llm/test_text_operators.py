@@ -320,6 +320,20 @@ def test_paragraphs_against_all_pairs(spark):
     assert sorted(map(sorted, (map(repr, g) for g in got.values()))) == sorted(map(sorted, (map(repr, g) for g in want if g)))
 
 
+@pytest.mark.parametrize("rare", [True, False])
+def test_quality_learns_from_few_rows_of_one_class(rare):
+    """Three rows of one class among 300, none of them where the curve takes its rows, still make a model."""
+    rng = np.random.default_rng(6)
+    good = np.full(300, not rare)
+    good[[1, 102, 203]] = rare
+    rows = [np.unique(rng.integers(0, 50, 20) + (1000 if y else 2000)).astype(np.int32) for y in good]
+    model = quality.fit(rows, good)
+    assert model.weights is not None
+    margin = model.slope * quality.margins(rows, model.weights, model.intercept) + model.shift
+    assert ((margin >= 0) == good).all()
+    assert quality.fit(rows, np.ones(300, dtype=bool)).weights is None
+
+
 @pytest.mark.parametrize("kind", ["short sentences", "one line", "cut sentences"])
 def test_passages_are_found_wherever_they_lie(spark, kind):
     """Of a passage of 60 words all copies but the first are removed, to the word."""

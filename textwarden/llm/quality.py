@@ -14,7 +14,7 @@ of the held-out third are never part of it.
 Defined cases: a null or empty text has no features and gets the score of the
 intercept; ids with differing labels count as good if at least half are; with
 no labels of one class every score is the share of good labels (0.5 without
-any); repeated rows are scored each; an empty table gives an empty result; lang,
+any); with under CURVE_EACH rows of a class the plain curve is used; repeated rows are scored each; an empty table gives an empty result; lang,
 source and other columns are not read.
 """
 
@@ -131,12 +131,15 @@ def logistic_curve(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 def fit(rows: list[np.ndarray], good: np.ndarray) -> Model:
     prior = float(good.mean()) if len(good) else 0.5
-    curve = np.arange(len(rows)) % CURVE_EACH == 0
-    if min(good[~curve].sum(), (~good)[~curve].sum(), good[curve].sum(), (~good)[curve].sum()) == 0:
+    if min(good.sum(), (~good).sum()) == 0:
         return Model(None, prior=prior)
+    # Each class gives every fifth of its rows to the curve, so that the model has rows of both.
+    curve = np.where(good, np.cumsum(good), np.cumsum(~good)) % CURVE_EACH == 0
     base = [ids for ids, c in zip(rows, curve, strict=True) if not c]
     weights, intercept = dual_coordinate_descent(base, good[~curve], log_count_ratios(base, good[~curve]))
-    slope, shift = logistic_curve(margins([ids for ids, c in zip(rows, curve, strict=True) if c], weights, intercept), good[curve])
+    slope, shift = 1.0, 0.0
+    if min(good[curve].sum(), (~good)[curve].sum()) > 0:
+        slope, shift = logistic_curve(margins([ids for ids, c in zip(rows, curve, strict=True) if c], weights, intercept), good[curve])
     return Model(weights, intercept, slope, shift, prior)
 
 
