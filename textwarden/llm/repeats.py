@@ -287,68 +287,77 @@ def _repeats(table: pa.Table) -> pa.Table:
 
 
 SPANS = "doc_id long, row_key long, from int, to int"
-PRINTS = "blob long, bucket int, prints binary, seconds binary, places binary, known binary"
+PRINTS = "blob long, bucket int, prints binary, seconds binary, known binary"
 
 
-def _window_prints(text: bytes, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit fingerprints of each window of a stretch, with its anchor: stretches of others may hold the same place."""
-    data = np.frombuffer(text, np.uint8)
+def _window_prints(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of each window of the stretches, with the anchor: stretches of others may hold the same place."""
+    one, two = [], []
     with np.errstate(over="ignore"):
-        anchor = np.array([gram], np.int64).astype(np.uint64)
-        return mix(gram_hashes(data, MIN_BYTES) + anchor), mix(gram_hashes(data, MIN_BYTES, 77) ^ anchor)
+        for text, gram in zip(table.column("text").to_pylist(), table.column("gram").to_pylist(), strict=True):
+            data, anchor = np.frombuffer(text, np.uint8), np.array([gram], np.int64).astype(np.uint64)
+            one.append(mix(gram_hashes(data, MIN_BYTES) + anchor))
+            two.append(mix(gram_hashes(data, MIN_BYTES, 77) ^ anchor))
+    return np.concatenate(one), np.concatenate(two)
+
+
+def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the pairs, and where each different pair begins in it."""
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    return order, np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
 
 
 def _blob_prints(buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """Fingerprints of all windows of a blob of stretches, each different one once, by bucket."""
         table = _once(table)
-        one, two = (np.concatenate(x) for x in zip(*map(_window_prints, table.column("text").to_pylist(), table.column("gram").to_pylist()), strict=True))
+        one, two = _window_prints(table)
         copies = np.repeat(table.column("copies").to_numpy(), table.column("windows").to_numpy())
-        order = np.lexsort((two, one))
-        new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
-        first = np.flatnonzero(new)
+        order, first = _distinct(one, two)
         known = np.add.reduceat(copies[order], first) > 1
-        place = order[first]
-        bucket = (one[place] % U64(buckets)).astype(np.int64)
+        one, two = one[order[first]], two[order[first]]
+        bucket = (one % U64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         groups = np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1)
-        kinds = {"blob": pa.int64(), "bucket": pa.int32(), "prints": pa.binary(), "seconds": pa.binary(), "places": pa.binary(), "known": pa.binary()}
-        values = [[key[0].as_py()] * len(groups), [int(bucket[i[0]]) for i in groups], *[[x[i].tobytes() for i in groups] for x in (one[place], two[place], place, known)]]
+        kinds = {"blob": pa.int64(), "bucket": pa.int32(), "prints": pa.binary(), "seconds": pa.binary(), "known": pa.binary()}
+        values = [[key[0].as_py()] * len(groups), [int(bucket[i[0]]) for i in groups], *[[x[i].tobytes() for i in groups] for x in (one, two, known)]]
         return pa.table([pa.array(v, t) for v, t in zip(values, kinds.values(), strict=True)], names=list(kinds))
 
     return run
 
 
 def _repeated_prints(table: pa.Table) -> pa.Table:
-    """For each blob the places of windows that occur again anywhere."""
+    """For each blob the fingerprints of its windows that occur again anywhere."""
     parts = table.to_pylist()
-    one, two, place, known = (np.concatenate([np.frombuffer(p[c], t) for p in parts]) for c, t in (("prints", U64), ("seconds", U64), ("places", np.int64), ("known", bool)))
+    one, two, known = (np.concatenate([np.frombuffer(p[c], t) for p in parts]) for c, t in (("prints", U64), ("seconds", U64), ("known", bool)))
     blob = np.repeat([p["blob"] for p in parts], [len(p["known"]) for p in parts])
-    order = np.lexsort((two, one))
-    one, two, place, known, blob = (x[order] for x in (one, two, place, known, blob))
-    first = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+    order, first = _distinct(one, two)
+    one, two, known, blob = (x[order] for x in (one, two, known, blob))
     size = np.diff(np.append(first, len(one)))
     again = np.repeat((size > 1) | np.logical_or.reduceat(known, first), size)
-    by = np.argsort(blob[again], kind="stable")
-    blob, place = blob[again][by], place[again][by]
-    groups = [g for g in np.split(np.arange(len(blob)), np.flatnonzero(np.diff(blob)) + 1) if len(g)]
-    return pa.table({"blob": pa.array([int(blob[g[0]]) for g in groups], pa.int64()), "places": pa.array([place[g].tobytes() for g in groups], pa.binary())})
+    one, two, blob = one[again], two[again], blob[again]
+    by = np.argsort(blob, kind="stable")
+    groups = [g for g in np.split(by, np.flatnonzero(np.diff(blob[by])) + 1) if len(g)]
+    return pa.table({"blob": pa.array([int(blob[g[0]]) for g in groups], pa.int64()), "prints": pa.array([one[g].tobytes() for g in groups], pa.binary()), "seconds": pa.array([two[g].tobytes() for g in groups], pa.binary())})
 
 
 def _blob_spans(runs: pa.Table, found: pa.Table) -> pa.Table:
-    """Stretches of documents that the repeated windows of a blob cover."""
+    """Stretches of documents that the repeated windows of a blob cover.
+
+    Windows are known by their fingerprints alone: a group's rows come in another
+    order each time it is read.
+    """
     at, spans = [], []
     runs = _once(runs)
     if runs.num_rows and found.num_rows:
-        prints = list(map(_window_prints, runs.column("text").to_pylist(), runs.column("gram").to_pylist()))
-        one, two = (np.concatenate(x) for x in zip(*prints, strict=True))
-        again = np.zeros(len(one), dtype=bool)
-        again[np.concatenate([np.frombuffer(x, np.int64) for x in found.column("places").to_pylist()])] = True
-        # Of equal windows of the blob only one was sent.
-        order = np.lexsort((two, one))
-        first = np.flatnonzero(np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))
-        again[order] = np.repeat(np.logical_or.reduceat(again[order], first), np.diff(np.append(first, len(one))))
-        cut = np.cumsum([0] + [len(p[0]) for p in prints])
+        one, two = _window_prints(runs)
+        n = len(one)
+        known = [np.concatenate([np.frombuffer(x, U64) for x in found.column(c).to_pylist()]) for c in ("prints", "seconds")]
+        order, first = _distinct(np.concatenate([one, known[0]]), np.concatenate([two, known[1]]))
+        again = np.empty(len(order), dtype=bool)
+        again[order] = np.repeat(np.logical_or.reduceat(order >= n, first), np.diff(np.append(first, len(order))))
+        cut = np.concatenate([[0], np.cumsum(runs.column("windows").to_numpy())])
         for i, start in enumerate(runs.column("start").to_pylist()):
             mine = np.flatnonzero(np.diff(np.concatenate([[0], again[cut[i] : cut[i + 1]].astype(np.int8), [0]])))
             for a, b in mine.reshape(-1, 2).tolist():
@@ -408,8 +417,8 @@ def repeated_spans(documents: DataFrame, scratch: Scratch) -> DataFrame:
     met = texts.where(F.col("n_runs") <= MOST_RUNS).withColumn("unit", unit).groupBy("unit").applyInArrow(_repeats, SPANS)
     many = texts.where(F.col("n_runs") > MOST_RUNS).withColumn("blob", F.expr(f"pmod(xxhash64(gram, run), {units})"))
     prints = many.groupBy("blob").applyInArrow(_blob_prints(buckets), PRINTS)
-    places = prints.groupBy("bucket").applyInArrow(_repeated_prints, "blob long, places binary")
-    dealt = many.groupBy("blob").cogroup(places.groupBy("blob")).applyInArrow(_blob_spans, SPANS)
+    repeated = prints.groupBy("bucket").applyInArrow(_repeated_prints, "blob long, prints binary, seconds binary")
+    dealt = many.groupBy("blob").cogroup(repeated.groupBy("blob")).applyInArrow(_blob_spans, SPANS)
     return whole.unionByName(met).unionByName(dealt).distinct()
 
 
