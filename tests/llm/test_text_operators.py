@@ -161,6 +161,7 @@ def test_mixing(spark):
     for r in got:
         assert r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
+        assert (r.taken > 0) == (r.first_slot is not None) and r.first_slot == min(r.slots, default=None)
     assert all(abs(taken[s] - target[s]) <= 1 for s in order)
     again = mixing.mix_sources(docs.repartition(7)).collect()
     key = lambda r: (repr(r.doc_id), repr(r.source), r.size, r.taken)
@@ -175,7 +176,7 @@ def test_mixing(spark):
 def test_schedule_is_even(spark):
     """Every stretch of the mix holds each source in about its share."""
     sources = spark.createDataFrame([(1, 0, 500, 1, 500), (2, 500, 300, 1, 300), (3, 800, 224, 1, 224)], "source_no int, first_slot long, n_slots long, block_words long, line_words long")
-    slots = mixing.schedule(sources, 1024, 10).orderBy("slot").collect()
+    slots = mixing.schedule(sources, 10).orderBy("slot").collect()
     assert [sum(s.source_no == k for s in slots) for k in (1, 2, 3)] == [500, 300, 224]
     for at in range(0, 1024, 128):
         assert abs(sum(s.source_no == 1 for s in slots[at : at + 128]) - 62.5) < 8

@@ -24,8 +24,8 @@ from textwarden.llm.tables import word_count
 WEIGHTS = (3, 1, 2)
 #: Words of the mix for each word of input, and the most a source may be repeated.
 SHARE, MOST = 1.5, 2
-#: Words in a block at most, and slots in a small mix.
-BLOCK_WORDS, SLOTS = 1024, 65536
+#: Words in a block at most, slots in a small mix, slots of a source that one row is unfolded to.
+BLOCK_WORDS, SLOTS, UNFOLDED = 1024, 65536, 65536
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -58,31 +58,30 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def schedule(sources: DataFrame, points: int, bits: int) -> DataFrame:
+def schedule(sources: DataFrame, bits: int) -> DataFrame:
     """Slots of the mix: ``slot, source_no, rank, slot_start, slot_end`` on the line of the source.
 
     ``sources`` needs ``source_no, first_slot, n_slots, block_words, line_words``.
-    Slot ``i`` stands at the van der Corput point of ``i``, its bits reversed; of
-    the points those below ``points`` are slots, so each source has exactly its number.
+    The sources' slots stand one behind the other at places 0, 1, 2 and so on; the
+    place whose bits are those of ``i`` reversed is the van der Corput point of
+    slot ``i``, so each source has exactly its number of slots, evenly spread.
     """
-    places = sources.where("n_slots > 0").select("source_no", "block_words", "line_words", F.explode(F.sequence("first_slot", F.col("first_slot") + F.col("n_slots") - 1)).alias("place"))
-    spark = sources.sparkSession
-    reversed_bits = F.conv(F.reverse(F.lpad(F.bin("id"), bits, "0")), 2, 10).cast("long") if bits else F.col("id")
-    stretch = 1 << ((bits + 1) // 2)
-    dealt = (
-        spark.range(1 << bits)
-        .select(F.col("id").alias("slot"), reversed_bits.alias("place"))
-        .where(F.col("place") < points)
-        .join(places, "place")
-        .withColumn("part", F.floor(F.col("slot") / stretch))
+    last = F.col("first_slot") + F.col("n_slots") - 1
+    places = (
+        sources.where("n_slots > 0")
+        .withColumn("from", F.explode(F.expr(f"sequence(first_slot, first_slot + n_slots - 1, {UNFOLDED}L)")))
+        .withColumn("place", F.explode(F.sequence("from", F.least(F.col("from") + (UNFOLDED - 1), last))))
     )
+    reversed_bits = F.conv(F.reverse(F.lpad(F.bin("place"), bits, "0")), 2, 10).cast("long") if bits else F.col("place")
+    stretch = 1 << ((bits + 1) // 2)
+    dealt = places.select("source_no", "block_words", "line_words", reversed_bits.alias("slot")).withColumn("part", F.floor(F.col("slot") / stretch))
     # Ranks in two steps, so that no task orders all slots of one source.
     before = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = dealt.groupBy("source_no", "part").agg(F.count("*").alias("n")).select("source_no", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranked_before"))
     inside = Window.partitionBy("source_no", "part").orderBy("slot")
     return (
         dealt.withColumn("place_in_part", F.row_number().over(inside) - 1)
-        .join(parts, ["source_no", "part"])
+        .join(parts.hint("merge"), ["source_no", "part"])
         .withColumn("rank", F.col("ranked_before") + F.col("place_in_part"))
         .withColumn("slot_start", F.col("rank") * F.col("block_words"))
         .withColumn("slot_end", F.least(F.col("slot_start") + F.col("block_words"), F.col("line_words")))
@@ -97,10 +96,11 @@ def mix_sources(
     most: int = MOST,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One row a document: ``doc_id, source, size, source_size, target, taken, first_slot``.
+    """One row a document: ``doc_id, source, size, source_size, target, taken, first_slot, slots``.
 
-    ``taken`` is the number of its words that the mix takes, repeats counted;
-    ``first_slot`` the first slot that takes any (null if none does).
+    ``taken`` is the number of its words that the slots of the schedule take,
+    repeats counted; ``first_slot`` the first slot that takes any (null if none
+    does), ``slots`` the first of each time that the document comes up.
     """
     spark: SparkSession = documents.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -115,7 +115,7 @@ def mix_sources(
     sources = scratch.keep(targets.withColumn("first_slot", F.coalesce(F.sum("n_slots").over(slots_before), F.lit(0))))
     totals = sources.agg(F.sum("n_slots"), F.sum("n_docs")).first()
     points, n_docs = int(totals[0] or 0), int(totals[1] or 0)
-    slots = schedule(sources, points, max(0, points - 1).bit_length())
+    slots = schedule(sources, max(0, points - 1).bit_length())
 
     # The shuffled line of each source, its running sums in two steps of about the root of all rows.
     n_parts = max(1, round(n_docs**0.5))
@@ -131,7 +131,7 @@ def mix_sources(
     inside = Window.partitionBy("source_no", "part").orderBy("shuffled", "size").rowsBetween(Window.unboundedPreceding, -1)
     line = (
         placed.withColumn("in_part", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(parts, ["source_no", "part"])
+        .join(parts.hint("merge"), ["source_no", "part"])
         .withColumn("at", F.col("words_before") + F.col("in_part"))
         .drop("part", "in_part", "words_before", "shuffled")
     )
@@ -146,20 +146,32 @@ def mix_sources(
         .withColumn("rank", F.explode_outer(F.when(F.col("start") < F.col("end"), F.sequence(F.floor(F.col("start") / F.col("block_words")), F.floor((F.col("end") - 1) / F.col("block_words"))))))
     )
     overlap = F.when(F.col("slot").isNotNull(), F.least("end", "slot_end") - F.greatest("start", "slot_start"))
+    document = ["source_no", "at", "doc_id", "source", "size", "source_size", "target"]
+    # Slots and stretches grow with the input: they are merged, never broadcast, at every size.
     taken = (
-        stretches.join(slots, ["source_no", "rank"], "left")
-        .groupBy("source_no", "at", "doc_id", "source", "size", "source_size", "target")
-        .agg(F.coalesce(F.sum(overlap), F.lit(0)).cast("long").alias("taken"), F.min("slot").alias("first_slot"))
+        stretches.join(slots.hint("merge"), ["source_no", "rank"], "left")
+        .groupBy(*document, "round")
+        .agg(F.coalesce(F.sum(overlap), F.lit(0)).alias("taken"), F.min("slot").alias("slot"))
+        .groupBy(*document)
+        .agg(F.sum("taken").cast("long").alias("taken"), F.min("slot").alias("first_slot"), F.array_sort(F.collect_list("slot")).alias("slots"))
     )
-    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "first_slot"]
-    wordless = line.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_slot", F.lit(None).cast("long"))
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "slots"]
+    wordless = line.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_slot", F.lit(None).cast("long")).withColumn("slots", F.expr("cast(array() as array<bigint>)"))
     return taken.select(columns).unionByName(wordless.select(columns))
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The mix as documents: each as often as it was taken, in whole numbers (half up), with its own columns."""
-    plan = mix_sources(documents).groupBy("doc_id").agg(F.sum(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)).alias("__copies"), F.count("*").alias("__n_rows"))
+    """The mix as documents, in the order of the schedule: each as often as it was taken, with its own columns.
+
+    A document that is taken in part counts to the nearest whole number, half up;
+    each of its copies stands at the slot that takes it. Rows of one doc_id are
+    taken in the order of their hashes.
+    """
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
+    plan = mix_sources(documents).groupBy("doc_id").agg(F.sum(whole).alias("__copies"), F.count("*").alias("__n_rows"), F.array_sort(F.flatten(F.collect_list("slots"))).alias("__slots"))
     same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source"))
-    numbered = documents.withColumn("__row", F.row_number().over(same)).join(plan.withColumnRenamed("doc_id", "__of"), F.col("doc_id").eqNullSafe(F.col("__of")))
-    mine = F.floor(F.col("__copies") / F.col("__n_rows")) + (F.col("__row") <= F.col("__copies") % F.col("__n_rows")).cast("int")
-    return numbered.withColumn("__copy", F.explode(F.when(mine > 0, F.sequence(F.lit(1), mine.cast("int"))))).select(*[documents[c] for c in documents.columns])
+    # Both sides grow with the input: they are merged, never broadcast, at every size.
+    numbered = documents.withColumn("__row", F.row_number().over(same)).join(plan.withColumnRenamed("doc_id", "__of").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__of")))
+    turns = F.when(F.col("__row") <= F.col("__copies"), F.sequence(F.col("__row").cast("long"), F.col("__copies"), F.col("__n_rows")))
+    copies = numbered.withColumn("__turn", F.explode(turns)).withColumn("__slot", F.coalesce(F.try_element_at("__slots", F.col("__turn").cast("int")), F.element_at("__slots", -1)))
+    return copies.orderBy("__slot", "doc_id", "__turn").select(*[documents[c] for c in documents.columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from textwarden.llm import mixing, neighbours, ngram_join, packing, paragraphs, pii, quality, repeats, topk, urls
@@ -13,7 +14,9 @@ from textwarden.llm.tables import read_table
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken")
+    none = F.lit(-1).cast("long")
+    first, last = F.coalesce("first_slot", none), F.coalesce(F.array_max("slots"), none)
+    return mix.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_slot"), last.alias("last_slot"))
 
 
 OP4_SQL = r"""
@@ -31,14 +34,36 @@ with sized as (
   select *, (select level from levels where level < need order by need, source_no limit 1) as deal from levels
 ), targets as (
   select source, source_size, case when deal is null or need <= deal then cap else deal * weight end as target from dealt
+), lines as (
+  select *, least(floor(target + 0.5)::bigint, 2 * source_size) as line_words,
+    greatest(1, least(1024, floor(1.5::double * sum(source_size) over () / 65536)))::bigint as block_words, row_number() over (order by source nulls last) as source_no
+  from targets
+), counted as (
+  select *, ceil(line_words / block_words)::bigint as n_slots from lines
+), placed as (
+  select *, coalesce(sum(n_slots) over (order by source_no rows between unbounded preceding and 1 preceding), 0)::bigint as first_place, sum(n_slots) over ()::bigint as points from counted
+), points as (
+  select source_no, block_words, line_words, unnest(range(first_place, first_place + n_slots)) as place, greatest(0, ceil(log2(greatest(points, 1))))::bigint as bits from placed where n_slots > 0
+), slots as (
+  select source_no, block_words, line_words, coalesce(list_sum(list_transform(range(bits), lambda b: ((place >> b) & 1) << (bits - 1 - b))), 0)::bigint as slot from points
+), ranked as (
+  select *, row_number() over (partition by source_no order by slot) - 1 as rank from slots
 ), line as (
-  select s.doc_id, s.size, t.source_size, t.target, least(floor(t.target + 0.5)::bigint, 2 * t.source_size) as line_words,
+  select row_number() over () as r, s.doc_id, s.size, t.source_no, t.source_size, t.target, t.line_words, t.block_words,
     coalesce(sum(s.size) over (partition by s.source order by md5(coalesce(s.doc_id::varchar, '')), s.size rows between unbounded preceding and 1 preceding), 0)::bigint as begins
-  from sized s join targets t on s.source is not distinct from t.source
+  from sized s join placed t on s.source is not distinct from t.source
+), stretches as (
+  select r, k, source_no, block_words, begins + k * source_size as a, least(begins + k * source_size + size, line_words) as z from line, range(2) as rounds(k) where size > 0
+), blocks as (
+  select *, unnest(range(a // block_words, (z - 1) // block_words + 1)) as rank from stretches where a < z
+), found as (
+  select b.r, b.k, sum(least(b.z, (b.rank + 1) * s.block_words, s.line_words) - greatest(b.a, b.rank * s.block_words))::bigint as taken, min(s.slot) as slot
+  from blocks b join ranked s on b.source_no = s.source_no and b.rank = s.rank group by b.r, b.k
+), taken as (
+  select r, sum(taken)::bigint as taken, min(slot) as first_slot, max(slot) as last_slot from found group by r
 )
-select doc_id, size, source_size, target,
-  (greatest(0, least(begins + size, line_words) - begins) + greatest(0, least(begins + source_size + size, line_words) - begins - source_size))::bigint as taken
-from line
+select doc_id, size, source_size, target, coalesce(t.taken, 0)::bigint as taken, coalesce(first_slot, -1)::bigint as first_slot, coalesce(last_slot, -1)::bigint as last_slot
+from line left join taken t on line.r = t.r
 """
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
