@@ -52,7 +52,7 @@ def test_ngram_join(spark, n, percent):
         if r.doc_id is not None:
             least[comp[i]] = min(least.get(comp[i], r.doc_id), r.doc_id)
     want = sorted(((r.doc_id, len(sets[i]), least.get(comp[i]) if sets[i] else r.doc_id) for i, r in enumerate(rows)), key=repr)
-    got = sorted((tuple(r) for r in ngram_join.ngram_components(docs, n, percent).collect()), key=repr)
+    got = sorted((tuple(r)[:3] for r in ngram_join.ngram_components(docs, n, percent).collect()), key=repr)
     assert got == want
     assert ngram_join.ngram_components(empty(docs), n, percent).count() == 0
 
@@ -72,11 +72,50 @@ def test_ngram_join_of_a_large_group_in_parts(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("part_texts", [1000, 3])
+def test_ngram_join_links_through_rows_without_id(spark, monkeypatch, part_texts):
+    from textwarden.llm import verify
+
+    monkeypatch.setattr(verify, "PART_TEXTS", part_texts)
+    words = [f"v{i}" for i in range(100)]
+    cut = lambda i: " ".join(words[5 * i :] + [f"n{k}" for k in range(5 * i)])
+    rows = [(7, cut(0)), (None, cut(1)), (None, cut(2)), (3, cut(3)), (None, "a b c d e f"), (None, "a b c d e f"), (9, "x y z")]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 3), (0, 3), (3, 3), (7, 3), (9, 9)]
+
+
+def test_verified_parts_lose_no_link(spark, monkeypatch):
+    from textwarden.llm import verify
+
+    monkeypatch.setattr(verify, "PART_TEXTS", 4)
+    monkeypatch.setattr(verify, "PIVOTS", 1)
+    rng = np.random.default_rng(1)
+    texts = []
+    for group in range(8):
+        words = [f"g{group}w{i}" for i in range(60)]
+        for i in range(int(rng.integers(1, 9))):
+            w = list(words)
+            w[(7 * i) % 60] = f"x{i}"
+            texts.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = list(ngram_sets(__import__("pyarrow").array(texts), 5))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    candidates = spark.createDataFrame([(0, i, verify.fingerprint(s), len(s)) for i, s in enumerate(sets)], "block long, key long, print long, weight int")
+    found = verify.verified_components(candidates, spark.createDataFrame(rows, "key long, text string"), 5, 80, Scratch(spark, "test"))
+    want = components(len(sets), links)
+    assert {r.node: r.component for r in found.collect()} == {i: c for i, c in enumerate(want) if want.count(c) > 1}
+
+
 def test_without_near_copies(spark):
     kept = ngram_join.without_near_copies(odd_documents(spark))
     got = collections.Counter(r.doc_id for r in kept.select("doc_id").collect())
     assert got[1] == 1 and got[2] == got[3] == got[10] == 0 and got[8] == 1 and got[9] == 0 and got[5] == got[6] == 1
     assert kept.columns == odd_documents(spark).columns
+    # Different texts of one id are not copies; near copies without an id are.
+    words = [f"v{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (1, " ".join(f"u{i}" for i in range(100))), (None, " ".join(words[:-1])), (None, "one other text"), (None, "one other text"), (None, "one Other text")]
+    left = ngram_join.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, len(r.text)) for r in left) == sorted([(0, 14), (1, len(rows[0][1])), (1, len(rows[1][1]))])
 
 
 def windows(texts, size):

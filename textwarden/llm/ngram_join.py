@@ -22,8 +22,8 @@ components.
 Defined cases: a null or blank text has the empty set, which is linked with
 nothing; a text of fewer words than ``n`` has its whole word sequence as the one
 member; copies and repeated rows are in one component; rows without a doc_id
-take the component of a document of the same set, or null; rows of one doc_id
-with different texts count as one node; an empty table gives an empty result;
+take part like all others and take the smallest doc_id that they reach, or null;
+rows of one doc_id with different texts count as one node; an empty table gives an empty result;
 columns other than doc_id and text are not read.
 """
 
@@ -123,7 +123,7 @@ def frequent_members(documents: DataFrame, n: int, scratch: Scratch) -> tuple[np
     return members[order], level[order]
 
 
-FEATURES = "doc_id long, n int, fp1 long, fp2 long, gid long, bucket int, members binary, gids binary, sizes binary, lates binary"
+FEATURES = "doc_id long, row_key long, n int, fp1 long, fp2 long, gid long, bucket int, members binary, gids binary, sizes binary, lates binary"
 
 
 def _features(n: int, percent: int, buckets: int, frequent):
@@ -135,7 +135,7 @@ def _features(n: int, percent: int, buckets: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, level = frequent.value
         members, gids, sizes, lates, seen, held = [], [], [], [], set(), 0
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("gid", pa.int64()), ("bucket", pa.int32()), ("members", pa.binary()), ("gids", pa.binary()), ("sizes", pa.binary()), ("lates", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("gid", pa.int64()), ("bucket", pa.int32()), ("members", pa.binary()), ("gids", pa.binary()), ("sizes", pa.binary()), ("lates", pa.binary())])
 
         def flush() -> pa.RecordBatch:
             lengths = [len(x) for x in members]
@@ -149,12 +149,12 @@ def _features(n: int, percent: int, buckets: int, frequent):
             for x in (members, gids, sizes, lates, seen):
                 x.clear()
             empty = [None] * len(rows)
-            return pa.RecordBatch.from_arrays([pa.array(empty, t) for t in schema.types[:5]] + [pa.array([r[j] for r in rows], schema.types[5 + j]) for j in range(5)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(empty, t) for t in schema.types[:6]] + [pa.array([r[j] for r in rows], schema.types[6 + j]) for j in range(5)], schema=schema)
 
         for batch in batches:
             rows = []
             with np.errstate(over="ignore"):
-                for s in ngram_sets(batch.column(1), n):
+                for s in ngram_sets(batch.column(2), n):
                     if not len(s):
                         rows.append((0, 0, 0, 0))
                         continue
@@ -172,7 +172,7 @@ def _features(n: int, percent: int, buckets: int, frequent):
                         lates.append(max(0, len(prefix) - np.count_nonzero(~is_late)))
                         held += 24 * len(prefix)
             empty = [None] * len(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64())] + [pa.array([r[j] for r in rows], schema.types[1 + j]) for j in range(4)] + [pa.array(empty, t) for t in schema.types[5:]], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)] + [pa.array([r[j] for r in rows], schema.types[2 + j]) for j in range(4)] + [pa.array(empty, t) for t in schema.types[6:]], schema=schema)
             if held > FLUSH_BYTES:
                 yield flush()
                 held = 0
@@ -213,7 +213,7 @@ def _pairs(percent: int, buckets: int):
 
 
 def ngram_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row a document: ``doc_id, n_shingles, component_id``.
+    """One row a document: ``doc_id, n_shingles, component_id, row_key`` (a hash of the text).
 
     Two documents are linked if 100 times the shared n-grams are at least
     ``percent`` times all n-grams of both; ``component_id`` is the smallest
@@ -221,7 +221,7 @@ def ngram_components(documents: DataFrame, n: int = 5, percent: int = 80) -> Dat
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "ngram-join")
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
     frequent = spark.sparkContext.broadcast(frequent_members(documents, n, scratch))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     features = scratch.keep(documents.mapInArrow(_features(n, percent, buckets, frequent), FEATURES))
@@ -230,18 +230,36 @@ def ngram_components(documents: DataFrame, n: int = 5, percent: int = 80) -> Dat
     pairs = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
     blocks = connected_components(pairs, scratch)
 
-    rows = features.where("bucket is null").select("doc_id", "n", "fp1", "fp2", "gid")
-    classes = scratch.keep(rows.where("n > 0").groupBy("n", "fp1", "fp2", "gid").agg(F.min("doc_id").alias("class_id")))
+    rows = features.where("bucket is null").select("doc_id", "row_key", "n", "fp1", "fp2", "gid")
+    # Sets that only rows without an id have get a node of their own.
+    nameless = F.shiftright(F.xxhash64("n", "fp1", "fp2"), 2) + F.lit(1 << 62)
+    classes = scratch.keep(rows.where("n > 0").groupBy("n", "fp1", "fp2", "gid").agg(F.min("doc_id").alias("class_id"), F.min("row_key").alias("row_key")).withColumn("key", F.coalesce("class_id", nameless)))
     in_block = classes.join(blocks, F.col("gid") == F.col("node"), "left").withColumn("block", F.coalesce("component", "gid"))
-    candidates = in_block.where("class_id is not null").select("block", F.col("class_id").alias("key"), F.col("fp1").alias("print"))
-    reached = verified_components(candidates, documents.select(F.col("doc_id").alias("key"), "text"), n, percent, scratch)
-    of_class = classes.join(reached, F.col("class_id") == F.col("node"), "left").groupBy("n", "fp1", "fp2").agg(F.min(F.coalesce("component", "class_id")).alias("component_id"))
-    return rows.join(of_class, ["n", "fp1", "fp2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    candidates = in_block.select("block", "key", F.col("fp1").alias("print"), F.col("n").alias("weight"))
+    named = documents.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
+    others = documents.where("doc_id is null").groupBy("row_key").agg(F.first("text").alias("text")).join(classes.where("class_id is null").select("row_key", "key"), "row_key").select("key", "text")
+    reached = verified_components(candidates, named.union(others), n, percent, scratch)
+    of_class = classes.join(reached, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
+    # Components that hold such a node are named by the least doc_id among their sets.
+    bridged = of_class.where("class_id is null").select("component").distinct()
+    names = of_class.join(bridged, "component").groupBy("component").agg(F.min("class_id").alias("named")).withColumn("renamed", F.lit(True))
+    of_class = of_class.join(names, "component", "left").withColumn("component_id", F.when(F.col("renamed"), F.col("named")).otherwise(F.col("component")))
+    of_class = of_class.groupBy("n", "fp1", "fp2").agg(F.min("component_id").alias("component_id"))
+    return rows.join(of_class, ["n", "fp1", "fp2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key")
 
 
 def without_near_copies(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``documents`` with one of each component: the one that gives it its id."""
-    firsts = ngram_components(documents, n, percent).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = documents.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.withColumn("__nth", F.row_number().over(same)).where("__nth = 1 or doc_id is null").select(*documents.columns)
+    """``documents`` with one row of each component: of the least doc_id, then of the least text by hash.
+
+    Here every pair of id and text is a node of its own, those without an id come
+    last, and rows of equal id and text are one. Rows without words are near
+    copies of nothing and stay.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = ngram_components(documents.select(key.alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("__key"), "n_shingles", "component_id").distinct()
+    rows = documents.select(key.alias("__key"), F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), key.alias("key")).alias("at")).join(found.hint("merge"), "__key")
+    firsts = rows.where("n_shingles > 0").groupBy("component_id").agg(F.min("at").alias("at")).select("at.key")
+    chosen = firsts.union(rows.where("n_shingles = 0").select("at.key")).select(F.col("key").alias("__key")).distinct()
+    kept = documents.withColumn("__key", key).join(chosen.hint("merge"), "__key", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return kept.withColumn("__nth", nth).where("__nth = 1").select(*documents.columns)

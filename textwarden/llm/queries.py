@@ -114,7 +114,7 @@ from d left join sums on d.r = sums.r left join kept on d.r = kept.r
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"), n=4, percent=85)
+    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"), n=4, percent=85).drop("row_key")
 
 
 OP3_SQL = r"""
