@@ -252,6 +252,16 @@ def test_best_fit_takes_the_tightest_bin():
 def test_packing(spark):
     docs = odd_documents(spark)
     rows = packing.pack(docs, capacity=100, shard_words=5000).collect()
+    whole = collections.Counter((r.doc_id, r.text.rstrip()) for r in docs.collect() if WORD.search(r.text or ""))
+    joined = collections.defaultdict(list)
+    for r in rows:
+        assert len(WORD.findall(r.text)) == r.n_words
+        joined[r.doc_id, r.cluster].append((r.start_word, r.text))
+    for (doc_id, _), parts in joined.items():
+        copies = sum(at == 0 for at, _ in parts)
+        text = "".join(t for _, t in sorted(parts)[::copies]).rstrip()
+        assert whole.pop((doc_id, text)) == copies
+    assert not whole
     fill, clusters = collections.Counter(), collections.defaultdict(list)
     for r in rows:
         fill[r.bin_id] += r.n_words

@@ -12,6 +12,10 @@ the sources that are full in it and one of the clusters it holds, and the search
 goes from the tightest bin that a piece fits in to ever wider ones, until one
 has no conflict; only then is a new bin opened.
 
+A piece carries its own stretch of the text, so sequences are the pieces of a bin
+in the order of ``place``. The stretches of a text, one behind the other, give it
+back but for white space at its end.
+
 Defined cases: a null or blank text has no words and is not packed; repeated
 rows and ids are rows of their own, and are copies of each other; without a
 cluster column, equal texts are a cluster; null sources are one source; an
@@ -21,19 +25,51 @@ empty table gives no bins; other columns are not read.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.llm.scratch import Scratch
-from textwarden.llm.tables import word_count
+from textwarden.llm.wordhash import pieces as row_pieces
+from textwarden.llm.wordhash import text_bytes, words
 
 #: Words in a sequence, pieces of one source in it at most, words of a shard on average.
 CAPACITY, PER_SOURCE, SHARD_WORDS = 2048, 8, 500_000
 
-PACKED = "bin_id long, place int, doc_id long, start_word long, n_words int, source string, cluster string"
+PACKED = "bin_id long, place int, doc_id long, start_word long, n_words int, source string, cluster string, text string"
+PIECES = "doc_id long, source string, cluster string, order long, start_word long, n_words int, text string"
+
+
+def _cut(capacity: int):
+    """Documents (``doc_id, source, cluster, text, order``) cut into stretches of ``capacity`` words and a rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            for lo, hi in row_pieces(offsets):
+                part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                starts, ends = words(part, at)
+                first = np.searchsorted(starts, at)
+                n_words = np.diff(first)
+                n = -(-n_words // capacity)
+                row = np.repeat(np.arange(hi - lo), n)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start_word = nth * capacity
+                taken = np.minimum(capacity, n_words[row] - start_word)
+                last = start_word + taken == n_words[row]
+                # White space goes with the word after it.
+                begin = np.where(nth == 0, at[row], ends[first[row] + start_word - 1])
+                end = np.where((nth == 0) & last, at[row + 1], ends[first[row] + start_word + taken - 1])
+                texts = [part[x:y].tobytes().decode() for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+                index = pa.array(lo + row)
+                values = [batch.column(c).take(index) for c in ("doc_id", "source", "cluster", "order")] + [pa.array(start_word, pa.int64()), pa.array(taken, pa.int32()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(values, names=[c.split()[0] for c in PIECES.split(", ")])
+
+    return run
 
 
 class Bins:
@@ -115,24 +151,18 @@ def pack(
     cluster: str | None = None,
     shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
-    """One row a piece: ``bin_id, place, doc_id, start_word, n_words, source, cluster``."""
+    """One row a piece: ``bin_id, place, doc_id, start_word, n_words, source, cluster, text``."""
     scratch = Scratch(documents.sparkSession, "packing")
     copies = F.md5("text") if cluster is None else F.coalesce(F.col(cluster).cast("string"), F.md5("text"))
-    sized = scratch.keep(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), copies.alias("cluster"), word_count(F.col("text")).alias("size")).where("size > 0"))
-    total = sized.agg(F.sum("size")).first()[0] or 0
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), copies.alias("cluster"), "text")
+    pieces = scratch.keep(rows.withColumn("order", F.xxhash64("doc_id", "cluster")).mapInArrow(_cut(capacity), PIECES))
+    total = pieces.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-total // shard_words))
-    order = F.xxhash64("doc_id", "cluster")
-    pieces = (
-        sized.withColumn("order", order)
-        .withColumn("shard", F.expr(f"pmod(order, {shards})"))
-        .withColumn("start_word", F.explode(F.expr(f"sequence(0L, size - 1, {capacity}L)")))
-        .withColumn("n_words", F.least(F.lit(capacity), F.col("size") - F.col("start_word")).cast("int"))
-    )
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         out = pack_shard(frame, capacity, per_source)
         out["place"] = out.groupby("bin_id").cumcount().astype(np.int32)
         out["bin_id"] += int(key[0]) << 32
-        return out[["bin_id", "place", "doc_id", "start_word", "n_words", "source", "cluster"]]
+        return out[["bin_id", "place", "doc_id", "start_word", "n_words", "source", "cluster", "text"]]
 
-    return pieces.select("shard", "order", "doc_id", "start_word", "n_words", "source", "cluster").groupBy("shard").applyInPandas(run, PACKED)
+    return pieces.withColumn("shard", F.expr(f"pmod(order, {shards})")).groupBy("shard").applyInPandas(run, PACKED)
