@@ -42,6 +42,29 @@ def test_top_k(spark, monkeypatch):
     assert [r.vec_id for r in sorted(few, key=lambda r: r["rank"])] and len(few) == 2
 
 
+def test_top_k_of_several_lengths_and_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "CELL_BLOCKS", 2)
+    monkeypatch.setattr(topk, "LOT_BLOCKS", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=4 + i % 3)]) for i in range(90)]
+    rows += [(200 + i, [float(v) for v in rng.integers(-(2**40), 2**40, 4) / 64]) for i in range(30)]
+    rows += [(300 + i, [float(v) for v in rng.integers(-(2**29), 2**29, 5)]) for i in range(30)]
+    rows += [(400, [1e300, 1.0, -1e300, 0.0]), (40, [5.0] * 4), (40, [-5.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    best = {}
+    for i, e in rows:
+        best[i] = min(best.get(i, e), e)
+    clip = lambda v: max(-(2**63), min(2**63 - 1, v))
+    ints = {i: [clip(math.floor(64 * v)) for v in e] for i, e in best.items()}
+    want = []
+    for q in ints:
+        if q % 20 == 0:
+            found = sorted((-clip(sum(a * b for a, b in zip(ints[q], ints[c], strict=True))), c) for c in ints if c != q and len(ints[c]) == len(ints[q]))[:20]
+            want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(found)]
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
+
+
 def test_bounds_never_rule_out_a_result():
     rng = np.random.default_rng(2)
     x = rng.integers(-500, 500, (500, 6))
@@ -76,6 +99,28 @@ def test_near_duplicate_vectors(spark, monkeypatch, most_rows):
     assert neighbours.near_duplicates(empty(df)).count() == 0
 
 
+@pytest.mark.parametrize("most_list", [80, 5])
+def test_dense_groups_and_lengths(spark, monkeypatch, most_list):
+    """Loose groups larger than a list, vectors of another length, and ids with different vectors."""
+    monkeypatch.setattr(neighbours, "MOST_LIST", most_list)
+    monkeypatch.setattr(neighbours, "MOST_ROWS", 50)
+    rng = np.random.default_rng(7)
+    loose = np.concatenate([rng.normal(size=(1, 24)) + 0.2 * rng.normal(size=(90, 24)), rng.normal(size=(1, 24)) + 0.05 * rng.normal(size=(30, 24)), rng.normal(size=(60, 24))])
+    short = (rng.normal(size=(1, 10)) + 0.1 * rng.normal(size=(12, 10))).astype(np.float32)
+    df = vector_table(spark, loose.astype(np.float32), [(500 + i, [float(v) for v in r], 0) for i, r in enumerate(short)] + [(600, [9.0] * 10, 0), (600, [-9.0] * 10, 0)])
+    got = {r.vec_id: r for r in neighbours.near_duplicates(df).collect()}
+    best = {}
+    for r in df.collect():
+        best[r.vec_id] = min(best.get(r.vec_id, r.embedding), r.embedding)
+    ids = sorted(best)
+    same = lambda i, j: len(best[i]) == len(best[j]) and float(np.dot(best[i], best[j]) / np.linalg.norm(best[i]) / np.linalg.norm(best[j])) >= 0.95
+    near = np.array([[i != j and same(i, j) for j in ids] for i in ids])
+    comp = components(len(ids), list(zip(*np.nonzero(near), strict=True)))
+    assert near.sum() > 2000
+    assert [got[i].n_links for i in ids] == near.sum(axis=1).tolist()
+    assert [got[i].component_id for i in ids] == [ids[c] for c in comp]
+
+
 def test_near_vectors_never_end_below_the_recall(spark, monkeypatch):
     """Rounds go on with larger lists until the recall is reached, and a recall out of reach is an error."""
     for name, value in (("BUCKET_ROWS", 16), ("TABLES", 1), ("NEIGHBOURS", 1), ("LEAST_ROUNDS", 1), ("MOST_ROUNDS", 1)):

@@ -7,19 +7,28 @@ neighbours is built over the balls: lists start from buckets of random
 hyperplanes and are refined by joins of neighbours of neighbours; lists whose
 last entry could still matter are enlarged. A sample of balls is compared with
 all others, and rounds go on, with growing lists in the end, until the recall of links,
-over pairs and averaged over balls, is RECALL; a run that stays below it fails. Edges that the
-threshold could let pass are kept; by the triangle inequality most pairs of
-balls are linked wholly or not at all, and the members of the rest are compared
-in blocks. All links are decided in double precision.
-
-Defined cases: vectors that are null, empty, zero, not finite or of another
-length than most link with nothing; of rows with one id the least vector counts,
-and each row is returned; rows without an id are returned with nulls; an empty
-table gives an empty result; labels and other columns are not read.
+over pairs and averaged over balls, is RECALL; a run that stays below it fails.
+Nearness counts between the edges of balls: what is left of the angle of their
+centres without both radii.
+
+A list holds a bounded number of entries. Balls with more neighbours than that, in
+dense but loose groups, are compared with all balls of their component of the
+graph, in blocks, which counts their links without listing the pairs.
+
+By the triangle inequality most pairs of balls are linked wholly or not at all,
+and the members of the rest are compared in blocks. All links are decided in
+double precision.
+
+Defined cases: vectors that are null, empty, zero or not finite link with
+nothing, and vectors of different lengths do not link; of rows with one id the
+least vector counts, and each row is returned; rows without an id are returned
+with nulls; an empty table gives an empty result; labels and other columns are
+not read.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -30,9 +39,11 @@ from pyspark.sql import functions as F
 
 from textwarden.llm.components import connected_components
 from textwarden.llm.scratch import Scratch
-from textwarden.llm.vectors import usable_vectors
+from textwarden.llm.vectors import lengths, usable_vectors
 
 THRESHOLD = 0.95
+#: Neighbours of a list that is full of near ones: it grows no further, and its ball is compared in blocks.
+MOST_LIST = 80
 #: Neighbours of a list at first; buckets' rows on average and at most; tables of buckets at first and for each further round.
 NEIGHBOURS, BUCKET_ROWS, MOST_ROWS, TABLES, MORE_TABLES = 10, 1000, 4096, 8, 4
 #: Rounds at least, and before lists are doubled in each; rounds without gain after which the run fails; balls in the audit; recall of links to reach.
@@ -45,13 +56,22 @@ def _vectors(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def _bucketed(points: DataFrame, tables: range, n: int, scratch: Scratch) -> DataFrame:
-    """Each point once a table: ``bucket, salt, id, vector``; crowded buckets are split by a hash of the ids."""
+def _nearness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The angles between the edges of balls, negated; the last component of a row is its radius."""
+    return x[:, -1:] + y[None, :, -1] - np.arccos(np.clip(x[:, :-1] @ y[:, :-1].T, -1, 1))
+
+
+def _bucketed(points: DataFrame, tables: range, n: int, scratch: Scratch, rest: int = 0) -> DataFrame:
+    """Each point once a table: ``bucket, salt, id, vector``; crowded buckets are split by a hash of the ids.
+
+    The last ``rest`` components are not part of the direction.
+    """
     bits = max(0, math.ceil(math.log2(max(1, n / BUCKET_ROWS))))
 
     def run(batches):
         for batch in batches:
             x = _vectors(batch.column("vector"))
+            x = x[:, : x.shape[1] - rest]
             for t in tables:
                 planes = np.random.default_rng(1000 + t).normal(size=(x.shape[1], bits))
                 key = (x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
@@ -108,10 +128,10 @@ def _move(limit: float):
     return run
 
 
-LISTS = "id long, capacity int, others binary, cosines binary"
+LISTS = "id long, capacity int, dense boolean, others binary, cosines binary"
 
 
-def _lists(ids: np.ndarray, capacity: np.ndarray, owner: np.ndarray, other: np.ndarray, cosine: np.ndarray) -> pa.Table:
+def _lists(ids: np.ndarray, capacity: np.ndarray, owner: np.ndarray, other: np.ndarray, cosine: np.ndarray, dense: np.ndarray | None = None) -> pa.Table:
     """The best entries of each list as rows; ``owner`` indexes ``ids``, entries may repeat."""
     order = np.lexsort((other, -cosine, owner))
     owner, other, cosine = owner[order], other[order], cosine[order]
@@ -122,14 +142,14 @@ def _lists(ids: np.ndarray, capacity: np.ndarray, owner: np.ndarray, other: np.n
     owner, other, cosine = owner[keep], other[keep], cosine[keep]
     first = np.searchsorted(owner, np.arange(len(ids) + 1))
     cut = lambda x: [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-    return pa.table({"id": pa.array(ids, pa.int64()), "capacity": pa.array(capacity, pa.int32()), "others": pa.array(cut(other.astype(np.int64)), pa.binary()), "cosines": pa.array(cut(cosine.astype(np.float64)), pa.binary())})
+    return pa.table({"id": pa.array(ids, pa.int64()), "capacity": pa.array(capacity, pa.int32()), "dense": pa.array(np.zeros(len(ids), dtype=bool) if dense is None else dense), "others": pa.array(cut(other.astype(np.int64)), pa.binary()), "cosines": pa.array(cut(cosine.astype(np.float64)), pa.binary())})
 
 
 def _start(table: pa.Table) -> pa.Table:
     """Nearest neighbours within a bucket."""
     ids, x = table.column("id").to_numpy(), _vectors(table.column("vector"))
-    c = x @ x.T
-    np.fill_diagonal(c, -2)
+    c = _nearness(x, x)
+    np.fill_diagonal(c, -9)
     k = min(NEIGHBOURS, len(ids) - 1)
     best = np.argpartition(-c, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(ids), 0), np.int64)
     owner = np.repeat(np.arange(len(ids)), k)
@@ -149,9 +169,9 @@ def _merge(limits: float):
         # Saturated: as many different entries above the limit as the list holds.
         pairs = np.unique(np.stack([owner[cosine >= limits], other[cosine >= limits]], axis=1), axis=0)
         near = np.bincount(pairs[:, 0], minlength=len(ids))
-        while (full := near >= capacity).any():
+        while (full := (near >= capacity) & (capacity < MOST_LIST)).any():
             capacity[full] *= 2
-        return _lists(ids, capacity, owner, other, cosine)
+        return _lists(ids, capacity, owner, other, cosine, near >= capacity)
 
     return run
 
@@ -166,19 +186,18 @@ def _local_join(table: pa.Table) -> pa.Table:
     for index in np.split(order, cuts):
         if len(index) < 2:
             continue
-        c = x[index] @ x[index].T
-        np.fill_diagonal(c, -2)
-        c[ids[index][:, None] == ids[index][None, :]] = -2
+        c = _nearness(x[index], x[index])
+        c[ids[index][:, None] == ids[index][None, :]] = -9
         k = min(int(capacity[index].max()), len(index) - 1)
         best = np.argpartition(-c, k - 1, axis=1)[:, :k]
         a = np.repeat(np.arange(len(index)), k)
         value = c[a, best.ravel()]
-        good = value > -2
+        good = value > -9
         owners.append(ids[index][a][good])
         others.append(ids[index][best.ravel()][good])
         cosines.append(value[good])
     if not owners:
-        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())], names=["id", "capacity", "others", "cosines"])
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())], names=[c.split()[0] for c in LISTS.split(", ")])
     owner, other, cosine = np.concatenate(owners), np.concatenate(others), np.concatenate(cosines)
     found, where = np.unique(owner, return_inverse=True)
     most = dict(zip(ids.tolist(), capacity.tolist(), strict=True))
@@ -198,12 +217,16 @@ def _entries(lists: DataFrame) -> DataFrame:
     return lists.select("id", "others", "cosines").mapInArrow(run, "id long, other long, cosine double")
 
 
-def nearest(points: DataFrame, n: int, limit: float, scratch: Scratch) -> tuple[DataFrame, float]:
-    """Pairs ``id, other, cosine`` of at least ``limit`` found by NN-descent, and the audited recall."""
+def nearest(points: DataFrame, n: int, limit: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs ``id, other, cosine`` of at least ``limit`` found by NN-descent; balls whose list holds not all of theirs
+    (``id``), with the component of the graph that they are in (``id, group``).
+
+    Pairs of the latter are complete within their component; the audit has shown that to be enough.
+    """
     units = max(1, n // 4000)
     unit = F.expr(f"pmod(xxhash64(id), {units})")
     merged = lambda rows: scratch.keep(rows.withColumn("unit", unit).groupBy("unit").applyInArrow(_merge(limit), LISTS))
-    start = lambda tables: _bucketed(points, tables, n, scratch).groupBy("bucket", "salt").applyInArrow(_start, LISTS)
+    start = lambda tables: _bucketed(points, tables, n, scratch, 1).groupBy("bucket", "salt").applyInArrow(_start, LISTS)
     lists = merged(start(range(TABLES)))
     sample = points.orderBy(F.xxhash64("id"), "id").limit(AUDITED).toArrow()
     sent = points.sparkSession.sparkContext.broadcast((sample.column("id").to_numpy(), _vectors(sample.column("vector"))))
@@ -211,7 +234,7 @@ def nearest(points: DataFrame, n: int, limit: float, scratch: Scratch) -> tuple[
     def true_links(batches):
         ids, x = sent.value
         for batch in batches:
-            a, b = np.nonzero(x @ _vectors(batch.column("vector")).T >= limit)
+            a, b = np.nonzero(_nearness(x, _vectors(batch.column("vector"))) >= limit)
             pairs = ids[a], batch.column("id").to_numpy()[b]
             other = pairs[0] != pairs[1]
             yield pa.RecordBatch.from_arrays([pa.array(p[other], pa.int64()) for p in pairs], names=["id", "other"])
@@ -224,7 +247,7 @@ def nearest(points: DataFrame, n: int, limit: float, scratch: Scratch) -> tuple[
             stalled = stalled + 1 if recall <= best else 0
             if stalled == MOST_STALLED:
                 raise RuntimeError(f"near-duplicate vectors: recall {recall:.3f} of {RECALL} after {round_} rounds")
-            lists = scratch.keep(lists.withColumn("capacity", F.col("capacity") * 2))
+            lists = scratch.keep(lists.withColumn("capacity", F.least(F.col("capacity") * 2, F.greatest(F.lit(4 * MOST_LIST), F.col("capacity")))))
         best = max(best, recall)
         entries = _entries(lists).join(lists.select("id", "capacity"), "id")
         around = entries.select(F.col("id").alias("centre"), F.col("other").alias("id")).union(entries.select(F.col("other").alias("centre"), "id"))
@@ -239,13 +262,84 @@ def nearest(points: DataFrame, n: int, limit: float, scratch: Scratch) -> tuple[
         lists = merged(lists.union(joined) if fresh is None else lists.union(joined).union(fresh))
         found = _entries(lists).where(F.col("cosine") >= limit).select("id", "other")
         both = found.union(found.select(F.col("other"), F.col("id"))).distinct()
+        dense = lists.where("dense").select("id")
+        groups = connected_components(found, scratch).select(F.col("node").alias("id"), F.col("component").alias("group")) if not dense.isEmpty() else None
+        hits = both.withColumn("hit", F.lit(1))
+        if groups is not None:
+            # What is in one component with a dense ball will be compared with it.
+            side = lambda name: groups.join(dense.withColumn("dense", F.lit(True)), "id", "left").select(F.col("id").alias(name), F.col("group").alias(f"{name}_group"), F.col("dense").alias(f"{name}_dense"))
+            hits = hits.union(audit.join(side("id"), "id").join(side("other"), "other").where("id_group = other_group and (id_dense or other_dense)").select("id", "other", F.lit(1))).distinct()
         # Each ball with links counts alike, and so do all pairs: neither a dense group nor small ones are hidden.
-        of_ball = audit.join(both.withColumn("hit", F.lit(1)), ["id", "other"], "left").groupBy("id").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"))
+        of_ball = audit.join(hits, ["id", "other"], "left").groupBy("id").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"))
         by_ball, n_true, n_found = of_ball.agg(F.avg(F.col("n_found") / F.col("n_true")), F.sum("n_true"), F.sum("n_found")).first()
         recall = min(by_ball, n_found / n_true) if n_true else 1.0
         if round_ + 1 >= LEAST_ROUNDS and recall >= RECALL:
             break
-    return _entries(lists).where(F.col("cosine") >= limit), recall
+    none = points.sparkSession.createDataFrame([], "id long, group long")
+    return _entries(lists).where(F.col("cosine") >= limit), dense, none if groups is None else groups
+
+
+DENSE = "one long, two long, kind string, more long"
+
+
+def _among(reach: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A block of dense balls against a block of all of their component.
+
+        Rows of kind ``more`` count linked vectors of other balls, those of kind ``link``
+        connect what links connect, and those of kind ``some`` are pairs whose members are to be compared.
+        """
+        a, b = (t.column("id").to_numpy() for t in (left, right))
+        out: list[tuple[np.ndarray, np.ndarray, str, np.ndarray]] = []
+        if len(a) and len(b):
+            x, y = (_vectors(t.column("vector")) for t in (left, right))
+            size_a, size_b = (t.column("size").to_numpy() for t in (left, right))
+            dense_b = np.asarray(right.column("dense"))
+            edge = -_nearness(x, y)
+            spread = x[:, -1:] + y[None, :, -1]
+            other = a[:, None] != b[None, :]
+            whole = other & (edge + 2 * spread < reach - SLACK)
+            some = other & ~whole & (edge <= reach + SLACK) & (~dense_b[None, :] | (a[:, None] < b[None, :]))
+            out.append((a, a, "more", whole @ size_b))
+            # Links of dense balls with each other are counted from both sides.
+            plain = ~dense_b
+            out.append((b[plain], b[plain], "more", size_a @ whole[:, plain]))
+            i, j = np.nonzero(some)
+            out.append((a[i], b[j], "some", np.zeros(len(i), np.int64)))
+            open_ = whole.any(axis=1)
+            while open_.any():
+                rows = np.zeros(len(a), dtype=bool)
+                rows[np.argmax(open_)] = True
+                while True:
+                    columns = whole[rows].any(axis=0)
+                    wider = whole[:, columns].any(axis=1)
+                    if (wider == rows).all():
+                        break
+                    rows = wider
+                first = b[np.argmax(columns)]
+                linked = np.concatenate([a[rows], b[columns]])
+                out.append((np.full(len(linked), first), linked, "link", np.zeros(len(linked), np.int64)))
+                open_ &= ~rows
+        kinds = [np.full(len(o[0]), o[2]) for o in out]
+        join = lambda k: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64)
+        return pa.table({"one": pa.array(join(0), pa.int64()), "two": pa.array(join(1), pa.int64()), "kind": pa.array(np.concatenate(kinds).tolist() if kinds else [], pa.string()), "more": pa.array(join(3), pa.int64())})
+
+    return run
+
+
+def among_dense(points: DataFrame, dense: DataFrame, groups: DataFrame, reach: float, scratch: Scratch) -> DataFrame:
+    """What links dense balls (``id``) with all balls of their group: rows as ``_among`` gives them; ``points`` has the size of each ball."""
+    marked = dense.withColumn("dense", F.lit(True))
+    members = groups.join(marked, "id", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    counts = members.groupBy("group").agg(F.count("*").alias("n"), F.count_if("dense").alias("n_dense")).where("n_dense > 0")
+    parts = lambda n: F.ceil(F.col(n) / MOST_ROWS)
+    placed = scratch.keep(members.join(counts, "group").join(points, "id").withColumn("n_a", parts("n_dense")).withColumn("n_b", parts("n")))
+    mine = lambda n, seed: F.expr(f"pmod(xxhash64(id, {seed}), {n})")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = placed.where("dense").withColumn("a", mine("n_a", 1)).withColumn("b", every("n_b"))
+    right = placed.withColumn("b", mine("n_b", 2)).withColumn("a", every("n_a"))
+    side = lambda rows: rows.select("group", "a", "b", "id", "vector", "size", "dense").groupBy("group", "a", "b")
+    return scratch.keep(side(left).cogroup(side(right)).applyInArrow(_among(reach), DENSE))
 
 
 def _compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -261,8 +355,21 @@ def _compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 
 def near_duplicates(embeddings: DataFrame) -> DataFrame:
     """One row a row: ``vec_id, n_links, component_id, kept``."""
-    spark = embeddings.sparkSession
-    scratch = Scratch(spark, "neighbours")
+    scratch = Scratch(embeddings.sparkSession, "neighbours")
+    usable = scratch.keep(usable_vectors(embeddings))
+    linked = [_linked(usable.where(F.size("embedding") == n), scratch) for n in lengths(usable)]
+    vec_id = F.col("vec_id").cast("long")
+    none = F.lit(None).cast("long")
+    out = embeddings.select(vec_id.alias("vec_id"))
+    found = functools.reduce(DataFrame.union, linked) if linked else out.select(F.col("vec_id").alias("id"), none.alias("n_links"), none.alias("component_id")).where("false")
+    out = out.join(found, F.col("vec_id") == F.col("id"), "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+
+
+def _linked(usable: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id, n_links, component_id`` of vectors of one length."""
+    spark = usable.sparkSession
 
     def unit_length(batches):
         for batch in batches:
@@ -274,7 +381,7 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
             x /= np.sqrt((x * x).sum(axis=1))[:, None]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").filter(pa.array(good)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "vector"])
 
-    points = scratch.keep(usable_vectors(embeddings).mapInArrow(unit_length, "id long, vector binary"))
+    points = scratch.keep(usable.mapInArrow(unit_length, "id long, vector binary"))
     n = points.count()
     led = balls(points, n, scratch)
     centres = points.select(F.col("id").alias("centre"), F.col("vector").alias("centre_vector"))
@@ -288,19 +395,26 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
 
     members = scratch.keep(led.join(points, "id").join(centres, "centre").mapInArrow(angles, "id long, centre long, angle double"))
     sizes = scratch.keep(members.groupBy("centre").agg(F.count("*").alias("size"), F.max("angle").alias("radius"), F.min("id").alias("least")))
-    widest = sizes.agg(F.max("radius")).first()[0] or 0.0
     reach = math.acos(THRESHOLD)
-    limit = math.cos(reach + 2 * widest + SLACK)
     n_balls = sizes.count()
-    found, _ = nearest(points.join(sizes.select(F.col("centre").alias("id")), "id"), n_balls, limit, scratch) if n_balls > 1 else (spark.createDataFrame([], "id long, other long, cosine double"), 1.0)
+
+    def with_radius(batches):
+        for batch in batches:
+            x = np.concatenate([_vectors(batch.column("vector")), batch.column("radius").to_numpy()[:, None]], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("size"), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "size", "vector"])
+
+    centred = scratch.keep(points.join(sizes.select(F.col("centre").alias("id"), "size", "radius"), "id").mapInArrow(with_radius, "id long, size long, vector binary"))
+    found, dense, groups = nearest(centred.select("id", "vector"), n_balls, -(reach + SLACK), scratch)
+    among = among_dense(centred, dense, groups, reach, scratch)
 
     ordered = found.select(F.least("id", "other").alias("one"), F.greatest("id", "other").alias("two"), "cosine").groupBy("one", "two").agg(F.max("cosine").alias("cosine"))
+    for name in ("one", "two"):
+        ordered = ordered.join(dense.select(F.col("id").alias(name)), name, "left_anti")
     of = lambda name: sizes.select(F.col("centre").alias(name), F.col("size").alias(f"{name}_size"), F.col("radius").alias(f"{name}_radius"), F.col("least").alias(f"{name}_least"))
-    angle = F.acos(F.least(F.col("cosine"), F.lit(1.0)))
     spread = F.col("one_radius") + F.col("two_radius")
-    plain = (F.col("one_size") == 1) & (F.col("two_size") == 1) & (F.col("one_radius") == 0) & (F.col("two_radius") == 0)
-    decided = F.when(plain, F.when(F.col("cosine") >= THRESHOLD, "all").otherwise("none")).when(angle + spread < reach - SLACK, "all").when(angle - spread > reach + SLACK, "none").otherwise("some")
-    pairs = scratch.keep(ordered.join(of("one"), "one").join(of("two"), "two").withColumn("links", decided).where("links != 'none'"))
+    decided = F.when(2 * spread - F.col("cosine") < reach - SLACK, "all").otherwise("some")
+    of_dense = among.where("kind = 'some'").select("one", "two", F.lit(None).cast("double").alias("cosine"))
+    pairs = scratch.keep(ordered.select("one", "two", "cosine").union(of_dense).join(of("one"), "one").join(of("two"), "two").withColumn("links", decided))
     whole, some = pairs.where("links = 'all'"), pairs.where("links = 'some'")
 
     blocks = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(f"{name}_size") / MOST_ROWS) - 1))
@@ -312,14 +426,12 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     side = lambda rows: rows.select(*[F.col(c).alias(c) for c in (*keys, "id", "vector")]).groupBy(*keys)
     compared = scratch.keep(side(left).cogroup(side(right)).applyInArrow(_compare, "id long, links long, one long, two long"))
 
-    by_ball = whole.select(F.col("one").alias("centre"), F.col("two_size").alias("more")).union(whole.select(F.col("two"), F.col("one_size"))).groupBy("centre").agg(F.sum("more").alias("more"))
+    more = among.where("kind = 'more'").select(F.col("one").alias("centre"), "more")
+    by_ball = whole.select(F.col("one").alias("centre"), F.col("two_size").alias("more")).union(whole.select(F.col("two"), F.col("one_size"))).union(more).groupBy("centre").agg(F.sum("more").alias("more"))
     by_member = compared.groupBy("id").agg(F.sum("links").alias("single"))
     linked = compared.select("one", "two").distinct().join(pairs.select("one", "two", "one_least", "two_least"), ["one", "two"])
-    edges = whole.select("one_least", "two_least").union(linked.select("one_least", "two_least"))
+    of_least = among.where("kind = 'link'").join(of("one"), "one").join(of("two"), "two").select("one_least", "two_least")
+    edges = whole.select("one_least", "two_least").union(linked.select("one_least", "two_least")).union(of_least)
     reached = connected_components(edges, scratch)
     per_ball = sizes.join(by_ball, "centre", "left").join(reached, F.col("least") == F.col("node"), "left").select("centre", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("shared"), F.coalesce("component", "least").alias("component_id"))
-    per_point = members.select("id", "centre").join(per_ball, "centre").join(by_member, "id", "left").select("id", (F.col("shared") + F.coalesce("single", F.lit(0))).alias("n_links"), "component_id")
-    vec_id = F.col("vec_id").cast("long")
-    out = embeddings.select(vec_id.alias("vec_id")).join(per_point, F.col("vec_id") == F.col("id"), "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return members.select("id", "centre").join(per_ball, "centre").join(by_member, "id", "left").select("id", (F.col("shared") + F.coalesce("single", F.lit(0))).cast("long").alias("n_links"), "component_id")

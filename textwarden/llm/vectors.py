@@ -13,12 +13,14 @@ def finite(embedding: Column) -> Column:
 
 
 def usable_vectors(embeddings: DataFrame) -> DataFrame:
-    """``vec_id, embedding`` (doubles), one row an id, of one length.
+    """``vec_id, embedding`` (doubles), one row an id.
 
     Rows without an id or with a vector that is null, empty or not finite are
-    left out; of rows with one id the least vector counts; of several lengths
-    the most frequent one (the longer on ties) is taken.
+    left out; of rows with one id the least vector counts.
     """
-    rows = embeddings.where(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding"))
-    lengths = embeddings.where(finite(F.col("embedding"))).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("embedding") == (lengths["n"] if lengths else 0))
+    return embeddings.where(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding"))
+
+
+def lengths(vectors: DataFrame) -> list[int]:
+    """The lengths of ``embedding`` that occur, in order."""
+    return sorted(r[0] for r in vectors.select(F.size("embedding")).distinct().collect())
