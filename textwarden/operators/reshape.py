@@ -21,7 +21,7 @@ def shrink(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
     Texts that no step could change stay on the JVM's side.
     """
-    may_change = (F.length(text) >= reshaping.LEAST_CHARS) & (F.col(text).rlike(r"^\s*[\[{]|[ \t](?:\n|\z)") | F.lower(F.substring(F.ltrim(text), 1, 9)).rlike("^(?:<!doctype|<html)"))
+    may_change = (F.length(text) >= reshaping.LEAST_CHARS) & (F.col(text).rlike(r"^\s*[\[{]|[ \t](?:\n|\z)") | F.lower(F.substring(F.ltrim(text), 1, 9)).rlike("^(?:<!doctype|<html|<[?]xml)"))
     gate = F.coalesce(may_change, F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
