@@ -46,8 +46,6 @@ def tax_check(number: Column) -> Column:
     d = digits_of(number)
     total = F.lit(0)
     for i in range(1, 10):
-        shifted = (_digit(d, i) + (10 - i)) % 10
-        folded = (shifted * (1 << (10 - i))) % 9
-        total = total + F.when((shifted != 0) & (folded == 0), 9).otherwise(folded)
+        total = total + ((_digit(d, i) + (10 - i)) % 10 * (1 << (10 - i))) % 9
     same = F.regexp_replace(d, "^(.)\\1*$", "") == ""
     return F.when((F.length(d) == 10) & ~same, (10 - total % 10) % 10 == _digit(d, 10)).otherwise(False)

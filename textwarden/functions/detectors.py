@@ -24,18 +24,26 @@ SUFFIXES = frozenset("com org net edu gov mil int info biz io co dev app ai me t
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9_.+%'\-])[A-Za-z0-9_.+%'\-]{1,64}@((?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![A-Za-z0-9\-])")
 WRITTEN_EMAIL = re.compile(r"(?<![\w.+\-])[\w.+\-]{1,64}\s?[\[(]at[\])]\s?((?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![A-Za-z0-9\-])", re.I)
-CARD = re.compile(r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])(?![ \-][0-9])")
+CARD = re.compile(r"[0-9](?<![0-9][0-9])(?:[ \-]?[0-9]){12,18}(?![0-9])(?![ \-][0-9])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:[ \n]?[A-Za-z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
-IPV4 = re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?:/[0-9]{1,2})?(?![0-9])(?!\.[0-9])")
+IPV4 = re.compile(r"[0-9](?<![0-9.][0-9])[0-9]{0,2}\.(?:[0-9]{1,3}\.){2}[0-9]{1,3}(?:/[0-9]{1,2})?(?![0-9])(?!\.[0-9])")
 IPV6 = re.compile(r"(?<![0-9A-Fa-f:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{3,39}(?:(?<=:)(?:[0-9]{1,3}\.){3}[0-9]{1,3})?(?:/[0-9]{1,3})?(?![0-9A-Fa-f:])")
+# Characters of an account number by country, as published for international account numbers.
+IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 "
+        "JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
 VERSION_CUE = re.compile(r"(?:\bv(?:ersion)?[ :]?|==|>=|<=|~=)\s?$", re.I)
 MAC = re.compile(r"(?<![0-9A-Fa-f:\-.])(?:[0-9A-Fa-f]{2}(?:([:\-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2})|[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4})(?![0-9A-Fa-f:\-])")
-SSN = re.compile(r"(?<![0-9\-])([0-9]{3})([ \-])([0-9]{2})\2([0-9]{4})(?![0-9\-])")
-ELEVEN = re.compile(r"(?<![0-9])[1-9][0-9]{2}[ ]?[0-9]{3}[ ]?[0-9]{3}[ ]?[0-9]{2}(?![0-9])")
-TEN = re.compile(r"(?<![0-9])[0-9]{10}(?![0-9])")
+SSN = re.compile(r"([0-9](?<![0-9\-][0-9])[0-9]{2})([ \-])([0-9]{2})\2([0-9]{4})(?![0-9\-])")
+ELEVEN = re.compile(r"[1-9](?<![0-9][0-9])[0-9]{2}[ ]?[0-9]{3}[ ]?[0-9]{3}[ ]?[0-9]{2}(?![0-9])")
+TEN = re.compile(r"[0-9](?<![0-9][0-9])[0-9]{9}(?![0-9])")
 TAX_WORD = re.compile(r"\b(?:tax|vergi|vkn)\b", re.I)
 PHONE = re.compile(r"(?<![\w+])(?:\+[1-9][0-9]{0,2}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,3}|\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|0?5[0-9]{2}[ ][0-9]{3}[ ][0-9]{2}[ ]?[0-9]{2})(?![\w\-])")
-PLATE = re.compile(r"(?<![A-Z0-9])(?:0[1-9]|[1-7][0-9]|8[01]) ?[A-Z]{1,3} ?[0-9]{2,5}(?![A-Z0-9])")
+PLATE = re.compile(r"[0-8](?<![A-Z0-9][0-9])(?:(?<=0)[1-9]|(?<=[1-7])[0-9]|(?<=8)[01]) ?[A-Z]{1,3} ?[0-9]{2,5}(?![A-Z0-9])")
 ANY_DIGIT = re.compile("[0-9]")
 BARE = re.compile(r"(?<![\w.])[0-9]{9,12}(?![\w.])")
 
@@ -59,6 +67,20 @@ HEADER = re.compile(r"\bauthorization['\"]?\s{0,3}[:=]\s{0,3}['\"]?(?:basic|bear
 OPTION = re.compile(r"--(?:password|passwd|token|secret|api-key)[ =]([^\s'\"]{4,})", re.I)
 ACCOUNT_KEY = re.compile(r"\bAccountKey=([A-Za-z0-9+/]{20,}={0,2})")
 ASSIGNED = re.compile(r"(?P<key>[A-Za-z][A-Za-z0-9_.\-]{0,60})(?P<q>['\"]?)\s{0,4}(?::=|=>|[:=])\s{0,4}(?:\"(?P<d>[^\"\n]{4,})\"|'(?P<s>[^'\n]{4,})'|(?P<b>[^\s'\",;(){}\[\]<>]{6,}))")
+#: A key with only space before its value, on one line; the value holds a digit or a symbol within it.
+SPACED = re.compile(r"(?<![\w.\-<=/])(?:[A-Za-z]{1,12}[_\-])?(?:password|passwd|passphrase|pwd|secret|api[_\-]?key|access[_\-]?key|auth[_\-]?token|token)[ \t]{1,4}(?!--)(?=[^\s,;]*[0-9!#$%&*+/<=>@^_|~][^\s,;]*)([^\s,;\"'(){}\[\]<>=]{6,})", re.I)
+#: Two attributes of one element, in either order: one names a secret, the other holds it.
+NAMED = r"(?:key|name|id|type)\s?=\s?[\"'](?P<{0}>[\w.:\-]{{1,64}})[\"']"
+HELD = r"(?:value|content)\s?=\s?[\"'](?P<{0}>[^\"'\n]{{6,256}})[\"']"
+ATTRIBUTES = re.compile(rf"<[A-Za-z][^<>]{{0,200}}?\s(?:{NAMED.format('k1')}[^<>]{{0,200}}?\s{HELD.format('v1')}|{HELD.format('v2')}[^<>]{{0,200}}?\s{NAMED.format('k2')})")
+ELEMENT = re.compile(r"<(?P<tag>[A-Za-z][\w.:\-]{0,64})(?:\s[^<>]{0,200})?>\s{0,8}(?P<value>[^\s<][^<\n]{4,255}?[^\s<])\s{0,8}</(?P=tag)>")
+#: A name field and, next to it, the value field of the same entry.
+PAIR = re.compile(r"[\"']?\b(?:name|key)[\"']?\s?[:=]\s?[\"']?(?P<key>[\w./\-]{1,64})[\"']?\s{0,2},?\s{1,12}[\"']?value[\"']?\s?[:=]\s?[\"']?(?P<value>[^\s\"',}]{6,256})", re.I)
+#: The literal that a look-up of the environment falls back to.
+FALLBACK = re.compile(
+    r"(?:(?:getenv|environ\.get|getOrDefault|ENV\.fetch)\(\s?[\"'](?P<a>\w{1,64})[\"']\s?,\s?|(?:process\.env\.|import\.meta\.env\.)(?P<b>\w{1,64})\s?(?:\|\||\?\?)\s?|\$\{(?P<c>\w{1,64}):?-)"
+    r"(?:[\"'](?P<quoted>[^\"'\n]{6,256})[\"']|(?P<bare>[^\s\"'(){}$]{6,256}))"
+)
 SECRET_WORD = re.compile(r"pass(?:word|wd|phrase|code)?$|pwd$|secret|token$|api.?key|access.?key|private.?key|credential|auth.?key|client.?key", re.I)
 #: One of these is in any text with a key that SECRET_WORD knows.
 SECRET_NEEDLES = ("pass", "pwd", "secret", "token", "key", "credential")
@@ -124,7 +146,7 @@ def luhn_ok(digits: str) -> bool:
 
 def iban_ok(value: str) -> bool:
     plain = re.sub(r"\s", "", value).upper()
-    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    return len(plain) == IBAN_LENGTHS.get(plain[:2]) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
 def national_ok(d: str) -> bool:
@@ -138,9 +160,7 @@ def tax_ok(d: str) -> bool:
         return False
     total = 0
     for i, c in enumerate(d[:9]):
-        shifted = (int(c) + 9 - i) % 10
-        folded = shifted * 2 ** (9 - i) % 9
-        total += 9 if shifted and not folded else folded
+        total += (int(c) + 9 - i) % 10 * 2 ** (9 - i) % 9
     return (10 - total % 10) % 10 == int(d[9])
 
 
@@ -231,7 +251,7 @@ def _ssn(t: str, c: ScanConfig) -> Iterator[Hit]:
             continue
         yield "SSN", m.start(), m.end(), 0.85, ""
     last = -1
-    for m in re.finditer(r"(?<![0-9\-])[0-9]{9}(?![0-9\-])", t):
+    for m in re.finditer(r"[0-9](?<![0-9\-][0-9])[0-9]{8}(?![0-9\-])", t):
         cued = re.search(r"\bssns?\b|social security", t[max(0, m.start() - 30) : m.start()], re.I)
         listed = last >= 0 and re.fullmatch(r"[\s,;]{1,3}(?:and )?", t[last : m.start()])
         if (cued or listed) and m.group()[:3] not in ("000", "666") and m.group()[3:5] != "00" and m.group()[5:] != "0000":
@@ -282,6 +302,8 @@ def _secret(t: str, c: ScanConfig) -> Iterator[Hit]:
             bare_word = group == "b" and value.isalpha()
             if not REFERENCE.search(value) and not bare_word and not PLACEHOLDER.fullmatch(value):
                 yield "SECRET", m.start(group), m.end(group), 0.9, "assignment"
+    if any(w in lower for w in SECRET_NEEDLES):
+        yield from _named_secret(t)
     for m in BASIC.finditer(t) if "auth" in lower else ():
         if re.match(r"^[^:\s]+:.+", _decoded(m.group(1))):
             yield "SECRET", m.start(1), m.end(1), 0.9, "basic"
@@ -291,6 +313,21 @@ def _secret(t: str, c: ScanConfig) -> Iterator[Hit]:
             yield "SECRET", m.start(), m.end(), 0.85, "encoded"
 
 
+def _named_secret(t: str) -> Iterator[Hit]:
+    """Values that stand apart from the name that makes them secrets."""
+    for m in SPACED.finditer(t):
+        if not REFERENCE.search(m.group(1)):
+            yield "SECRET", m.start(1), m.start(1) + len(m.group(1).rstrip(".!?:")), 0.85, "spaced"
+    named = [(m["k1"] or m["k2"], "v1" if m["v1"] else "v2", m, "attribute") for m in ATTRIBUTES.finditer(t)] if "<" in t else []
+    named += [(m["tag"], "value", m, "element") for m in ELEMENT.finditer(t)] if "</" in t else []
+    named += [(m["key"], "value", m, "pair") for m in PAIR.finditer(t)]
+    named += [(m["a"] or m["b"] or m["c"], "quoted" if m["quoted"] else "bare", m, "fallback") for m in FALLBACK.finditer(t)]
+    for key, group, m, label in named:
+        value = m[group]
+        if SECRET_WORD.search(key) and not REFERENCE.search(value) and not PLACEHOLDER.fullmatch(value):
+            yield "SECRET", *m.span(group), 0.9, label
+
+
 def _plain_secret(t: str) -> Iterator[int]:
     for _, _, pattern in VENDOR:
         yield from (m.start() for m in pattern.finditer(t))

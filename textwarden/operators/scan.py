@@ -15,13 +15,17 @@ from textwarden.operators.spans import dedupe_spans, merge_spans
 
 #: Longer texts are cut into pieces, at a line's end or else with an overlap.
 PIECE_CHARS, OVERLAP = 100_000, 4_096
+#: Bytes for each core below which an input is dealt over all cores first.
+SMALL_BYTES = 16_000_000
+#: Digests of texts that a task remembers.
+MOST_SEEN = 200_000
 
 HITS = "key string, entity string, start int, end int, score double, label string"
 
 
 #: One of these is in any text that a detector finds something in: what normalizing could change, marks
 #: that patterns need, needles of vendors, runs that could be encoded, and hardware addresses of letters only.
-HOLDS = "|".join([r"[^\x00-\x7F]", r"[@0-9:=%]", "--", r"(?i:[\[(]at[\])])", "PRIVATE KEY", *(re.escape(n) for _, needles, _ in VENDOR for n in needles), "[A-Za-z0-9+/]{24}", r"[A-Fa-f]{2}-[A-Fa-f]{2}-|[A-Fa-f]{4}\.[A-Fa-f]{4}\."])
+HOLDS = "|".join([r"[^\x00-\x7F]", r"[@0-9:=%<$]", "--", r"(?i:[\[(]at[\])])", "PRIVATE KEY", *(re.escape(n) for _, needles, _ in VENDOR for n in needles), "[A-Za-z0-9+/]{24}", r"[A-Fa-f]{2}-[A-Fa-f]{2}-|[A-Fa-f]{4}\.[A-Fa-f]{4}\."])
 
 
 def may_hold(text: Column, config: ScanConfig | None = None) -> Column:
@@ -56,8 +60,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _find(config: ScanConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
-            rows = [(key, e, at + a, at + b, score, label) for key, at, piece in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for e, a, b, score, label in find_all(piece, config)]
+            rows = []
+            for key, at, piece in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                # Copies of a text within a task are not scanned again: findings are joined back by digest.
+                if (key, at) not in seen:
+                    seen.add((key, at))
+                    rows += [(key, e, at + a, at + b, score, label) for e, a, b, score, label in find_all(piece, config)]
+            if len(seen) > MOST_SEEN:
+                seen.clear()
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in HITS.split(", ")])
 
@@ -67,15 +79,19 @@ def _find(config: ScanConfig):
 def scan(df: DataFrame, text: str, keys: list[str], config: ScanConfig | None = None) -> DataFrame:
     """``keys, entity, start, end, score, label, value_start, value_end`` of all resolved findings.
 
-    Equal texts are scanned once: the scan runs over distinct digests and is
-    joined back. Long texts are cut into pieces that are dealt over tasks.
-    Null texts have no findings.
+    Texts are scanned where they are read, copies within a task once, and only
+    findings are shuffled: they are resolved by digest and joined back. Long texts
+    are cut into pieces that are dealt over tasks. Null texts have no findings.
     """
     config = config or ScanConfig()
     gated = df.where(may_hold(F.col(text), config)).select(*keys, F.sha2(text, 256).alias("digest"), text)
-    distinct = gated.groupBy("digest").agg(F.first(text).alias("text"))
-    short = distinct.where(F.length("text") <= PIECE_CHARS).select("digest", F.lit(0).alias("at"), "text")
-    long_ = distinct.where(F.length("text") > PIECE_CHARS).select("digest", "text").mapInArrow(_cut, "key string, at int, piece string")
+    texts = gated.select("digest", F.col(text).alias("text"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < SMALL_BYTES * cores:
+        # A small input may come in fewer partitions than there are cores.
+        texts = texts.repartition(cores)
+    short = texts.where(F.length("text") <= PIECE_CHARS).select("digest", F.lit(0).alias("at"), "text")
+    long_ = texts.where(F.length("text") > PIECE_CHARS).groupBy("digest").agg(F.first("text").alias("text")).mapInArrow(_cut, "key string, at int, piece string")
     hits = short.union(long_.repartition("key", "at")).mapInArrow(_find(config), HITS)
     resolved = merge_spans(dedupe_spans(hits, ["key"]), ["key"])
     return gated.select(*keys, "digest").join(resolved, F.col("digest") == F.col("key")).drop("digest", "key")
