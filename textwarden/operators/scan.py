@@ -87,7 +87,7 @@ def scan(df: DataFrame, text: str, keys: list[str], config: ScanConfig | None =
     gated = df.where(may_hold(F.col(text), config)).select(*keys, F.sha2(text, 256).alias("digest"), text)
     texts = gated.select("digest", F.col(text).alias("text"))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < SMALL_BYTES * cores:
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES * cores:
         # A small input may come in fewer partitions than there are cores.
         texts = texts.repartition(cores)
     short = texts.where(F.length("text") <= PIECE_CHARS).select("digest", F.lit(0).alias("at"), "text")
