@@ -49,3 +49,8 @@ def tax_check(number: Column) -> Column:
         total = total + ((_digit(d, i) + (10 - i)) % 10 * (1 << (10 - i))) % 9
     same = F.regexp_replace(d, "^(.)\\1*$", "") == ""
     return F.when((F.length(d) == 10) & ~same, (10 - total % 10) % 10 == _digit(d, 10)).otherwise(False)
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one whole JSON value, with nothing behind it."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))

@@ -8,6 +8,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MOST_DEPTH, MOST_LEAVES, MOST_CHARS = 64, 50_000, 1_000_000
 
@@ -80,3 +81,28 @@ def replaced(value: Any, changes: dict[tuple, str], path: tuple = ()) -> Any:
     if isinstance(value, list):
         return [replaced(v, changes, (*path, str(i))) for i, v in enumerate(value)]
     return changes.get(path, value)
+
+
+def replace_leaves(df: DataFrame, payload: str, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with payloads in which the leaves of ``changes`` (``keys, path, text``) are other text, as compact JSON.
+
+    A path that starts with ``#`` renames a key. Payloads without changes, and
+    those that are not JSON or in which two keys would become one, stay as they are.
+    """
+    columns = df.columns
+    pairs = changes.groupBy(*keys).agg(F.collect_list(F.struct("path", "text")).alias("_changes"))
+
+    def one(text: str | None, given: list[dict] | None) -> str | None:
+        if text is None or not given:
+            return text
+        try:
+            return json.dumps(replaced(json.loads(text), {tuple(c["path"]): c["text"] for c in given}), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [one(t, c) for t, c in zip(batch.column(payload).to_pylist(), batch.column("_changes").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == payload else batch.column(c) for c in columns], names=columns)
+
+    return df.join(pairs, keys, "left").select(*columns, "_changes").mapInArrow(run, df.schema)

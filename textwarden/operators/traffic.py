@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textwarden.functions.checks import is_json
+
 #: Paths of model requests.
 MODEL_PATH = r"(?:messages|responses|completions)$"
 
@@ -43,7 +45,7 @@ def sse_events(exchanges: DataFrame, keys: list[str]) -> DataFrame:
     frames = F.split(F.regexp_replace("response", "\r\n", "\n"), "\n\n")
     data = F.array_join(F.transform(F.filter(F.split(F.col("frame"), "\n"), lambda line: line.startswith("data:")), lambda line: F.regexp_replace(line, "^data: ?", "")), "\n")
     rows = exchanges.select(*keys, F.posexplode(frames).alias("seq", "frame")).withColumn("data", data).where("data not in ('', '[DONE]')")
-    return rows.select(*keys, "seq", F.when(F.try_parse_json("data").isNotNull(), F.col("data")).alias("json"))
+    return rows.select(*keys, "seq", F.when(is_json(F.col("data")), F.col("data")).alias("json"))
 
 
 def merge_usage(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -175,3 +177,25 @@ def scan_status(scans: DataFrame, keys: list[str]) -> DataFrame:
     """``known``, ``partial`` or ``unavailable`` for the scans of each key (``measured`` boolean)."""
     status = F.when(F.every("measured"), "known").when(F.some("measured"), "partial").otherwise("unavailable")
     return scans.groupBy(*keys).agg(status.alias("status"), F.count_if(~F.col("measured")).alias("n_unmeasured"))
+
+
+def merge_stop_reasons(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The last stop reason among the events of a stream."""
+    reason = stop_reason_of(F.col("json"))
+    return events.where("json is not null").withColumn("_r", reason).groupBy(*keys).agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("seq"))).alias("stop_reason"))
+
+
+def sse_texts(events: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, block, kind, text``: the deltas of a stream put together again by block: text, thinking, tool input.
+
+    A value that is split over deltas is whole in the text of its block.
+    """
+    at = lambda *paths: F.coalesce(*[F.get_json_object("json", p) for p in paths])
+    text = at("$.delta.text", "$.choices[0].delta.content")
+    thinking = at("$.delta.thinking", "$.choices[0].delta.reasoning_content")
+    tool = at("$.delta.partial_json", "$.choices[0].delta.tool_calls[0].function.arguments")
+    kind = F.when(text.isNotNull(), "text").when(thinking.isNotNull(), "thinking").when(tool.isNotNull(), "tool_input")
+    block = F.coalesce(at("$.index", "$.choices[0].index").cast("int"), F.lit(0))
+    parts = events.where("json is not null").select(*keys, "seq", block.alias("block"), kind.alias("kind"), F.coalesce(text, thinking, tool).alias("part")).where("kind is not null")
+    joined = parts.groupBy(*keys, "block", "kind").agg(F.array_sort(F.collect_list(F.struct("seq", "part"))).alias("parts"))
+    return joined.select(*keys, "block", "kind", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text"))

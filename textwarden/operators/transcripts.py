@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textwarden.functions.checks import is_json
+
 BLOCK = "struct<type:string,text:string,thinking:string,id:string,name:string,tool_use_id:string,content:string,is_error:boolean>"
 LINE = f"type string, cwd string, timestamp string, isCompactSummary boolean, message struct<role:string,content:string>, attachment struct<type:string,filename:string,displayPath:string,content:string,snippet:string,prompt:string>"
 #: Bytes of a line beyond which it is counted and not read.
@@ -13,7 +15,7 @@ MOST_LINE_BYTES = 8_000_000
 
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(records, skipped)``: lines (``session_id, file, is_subagent, line_no, raw``) parsed, and how many a file could not be."""
-    good = (F.octet_length("raw") <= MOST_LINE_BYTES) & F.col("raw").rlike(r"^\s*\{") & F.try_parse_json("raw").isNotNull()
+    good = (F.octet_length("raw") <= MOST_LINE_BYTES) & F.col("raw").rlike(r"^\s*\{") & is_json(F.col("raw"))
     marked = lines.withColumn("good", F.coalesce(good, F.lit(False)))
     records = marked.where("good").withColumn("r", F.from_json("raw", LINE)).select("session_id", "file", "is_subagent", "line_no", "r.*").withColumn("ts", F.try_to_timestamp("timestamp"))
     return records, marked.where(~F.col("good") & (F.trim("raw") != "")).groupBy("session_id", "file").agg(F.count("*").alias("skipped"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textwarden.functions.checks import is_json
+
 #: Retention of a month of the ledger after its end.
 KEEP_DAYS = 30
 MOST_ENV_BYTES = 1_000_000
@@ -41,7 +43,7 @@ def write_ledger(records: DataFrame, path: str) -> None:
 def read_ledger(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
     """Records of all months, those from ``since`` (yyyy-MM-dd) on; the month prunes folders. Bad lines are left out."""
     lines = spark.read.schema("value string, month string").text(path)
-    good = F.col("value").startswith("{") & F.try_parse_json("value").isNotNull()
+    good = F.col("value").startswith("{") & is_json(F.col("value"))
     rows = lines.where(good).select(F.from_json("value", RECORD).alias("r"), "month").select("r.*", "month")
     return rows if since is None else rows.where((F.col("month") >= since[:7]) & (F.col("ts") >= F.lit(since).cast("timestamp")))
 

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the data folder ``sf_dir``; nothing is cached or cut."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_path(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the one that the whole cluster shares, ``spark.checkpoint.dir``; one of our own only in a local session."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
+    if not named:
+        if not (conf.get("spark.master") or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        named = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
+    return f"{named.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
