@@ -110,7 +110,8 @@ def verified_components(candidates: DataFrame, texts: DataFrame, n: int, percent
         .withColumn("pivot", F.expr(f"n_parts > 1 and pmod(xxhash64(key, print, 1), n_texts) < {PIVOTS}"))
         .select("block", "key", "print", "weight", "n_parts", "part", "pivot")
     )
-    units = max(1, (placed.agg(F.sum("weight")).first()[0] or 0) // PART_MEMBERS)
+    n_texts, members = placed.agg(F.count("*"), F.sum("weight")).first()
+    units = max(1, n_texts // PART_TEXTS, (members or 0) // PART_MEMBERS)
     # Candidates grow with the input: they are merged, never broadcast, at every size.
     fetched = lambda rows: texts.join(rows.hint("merge"), "key")
     verify = lambda rows: rows.select("unit", "block", "lo", "hi", "key", "print", "known", "text").groupBy("unit").applyInArrow(_verify(n, percent), "a long, b long")
