@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session; a folder of our own only where none is set (tests)."""
+    """The folder named by the session; one of our own only where none is set in a local session (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("textwarden.scratch.dir", None)
     if not named:
+        if not (spark.sparkContext.getConf().get("spark.master") or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         named = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
         spark.conf.set("textwarden.scratch.dir", named)
     return named.rstrip("/")
