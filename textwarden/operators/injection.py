@@ -11,7 +11,7 @@ LEAST_CHARS = 24
 MARKERS = (
     ("instruction_override", r"\b(?:ignore|disregard|forget)\b.{0,40}\b(?:previous|prior|earlier|above)\b.{0,30}\b(?:instruction|prompt|rule|message)|\b(?:onceki|yukaridaki)\b.{0,30}\b(?:talimat|kural|komut)\w*.{0,30}\b(?:unut|yok say|dikkate alma)"),
     ("role_reassignment", r"\byou are (?:now|no longer)\b|\bact as (?:an?|the)\b.{0,30}\b(?:admin|root|developer|system)|\b(?:artik|bundan sonra) sen\b"),
-    ("system_impersonation", r"(?:^|\n)\s*(?:\[|<\|?)?(?:system|sistem)(?:\]|\|?>|:)\s*\S|<system[ _-](?:prompt|reminder)>"),
+    ("system_impersonation", r"(?:^|\n)\s*+(?:\[|<\|?)?(?:system|sistem)(?:\]|\|?>|:)\s*\S|<system[ _-](?:prompt|reminder)>"),
     ("secrecy_request", r"\b(?:do not|don't|never) (?:tell|mention|reveal|show)\b.{0,30}\b(?:user|anyone|human)|\bkullanici\w*.{0,20}\b(?:soyleme|gosterme|belli etme)"),
     ("hidden_text", "[\u200b\u200c\u2060\ufeff]{3}|[\U000e0020-\U000e007e]{3}|<[a-z]+[^>]{0,80}(?:display\\s*:\\s*none|font-size\\s*:\\s*0)"),
 )
@@ -24,6 +24,7 @@ def fold(text: Column) -> Column:
 
 def detect_injection(text: Column) -> Column:
     """The markers seen in a text, in their fixed order."""
-    folded = fold(text)
-    seen = F.array_compact(F.array(*[F.when(folded.rlike(pattern), name) for name, pattern in MARKERS]))
+    # Within the lambda the folded text is one value, whatever number of patterns looks at it.
+    look = lambda folded: F.array_compact(F.array(*[F.when(folded.rlike(pattern), name) for name, pattern in MARKERS]))
+    seen = F.element_at(F.transform(F.array(fold(text)), look), 1)
     return F.when(F.coalesce(F.length(text), F.lit(0)) >= LEAST_CHARS, seen).otherwise(F.expr("cast(array() as array<string>)"))

@@ -82,13 +82,15 @@ def price_join(usage: DataFrame, prices: DataFrame) -> DataFrame:
     ``prices``: ``model_id, min_prompt, input, write, write_1h, read, output`` in
     dollars a million tokens; a table of the job, a row or two a model.
     """
-    p = prices.withColumnRenamed("model_id", "_model")
+    rates = ("min_prompt", "input", "write", "write_1h", "read", "output")
+    # One row a model with all its steps, so the choice is made in the row of the usage.
+    p = prices.groupBy(F.col("model_id").alias("_model")).agg(F.collect_list(F.struct(*rates)).alias("_steps"))
     prompt = F.col("input_tokens") + F.col("cache_write") + F.col("cache_read")
-    joined = usage.withColumn("_id", F.monotonically_increasing_id()).join(p, (F.col("model_id") == F.col("_model")) & (prompt >= F.col("min_prompt")), "left")
-    cost = (F.col("input_tokens") * F.col("input") + (F.col("cache_write") - F.col("cache_write_1h")) * F.col("write") + F.col("cache_write_1h") * F.col("write_1h") + F.col("cache_read") * F.col("read") + F.col("output_tokens") * F.col("output")) / 1e6
-    best = Window.partitionBy("_id").orderBy(F.desc_nulls_last("min_prompt"))
-    priced = joined.withColumn("cost", cost).withColumn("_nth", F.row_number().over(best)).where("_nth = 1")
-    return priced.select(*usage.columns, "cost")
+    step = F.array_max(F.filter("_steps", lambda s: s["min_prompt"] <= prompt))
+    joined = usage.join(p, F.col("model_id") == F.col("_model"), "left").withColumn("_p", step)
+    fresh = (F.col("cache_write") - F.col("cache_write_1h")) * F.col("_p.write")
+    cost = (F.col("input_tokens") * F.col("_p.input") + fresh + F.col("cache_write_1h") * F.col("_p.write_1h") + F.col("cache_read") * F.col("_p.read") + F.col("output_tokens") * F.col("_p.output")) / 1e6
+    return joined.select(*usage.columns, cost.alias("cost"))
 
 
 def cache_rewrites(requests: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

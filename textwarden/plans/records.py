@@ -33,12 +33,12 @@ def tool_result_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     written = read_table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 97).cast("string").alias("session_id"), F.col("o_orderstatus").alias("entity"), (F.col("o_orderkey") % 60).alias("number"))
     first = F.col("l_partkey") % 50
-    issued = read_table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 97).cast("string").alias("session_id"), F.col("l_linestatus").alias("entity"), first.alias("first"), (first + F.col("l_suppkey") % 3).alias("last"))
+    issued = read_table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 97).cast("string").alias("session_id"), F.col("l_linestatus").alias("entity"), first.alias("first"), (first + F.col("l_suppkey") % 3).alias("last"))
     return written, issued.distinct()
 
 
 WRITTEN_SQL = "select o_orderkey, (o_custkey % 97)::varchar as session_id, o_orderstatus as entity, o_orderkey % 60 as number from orders"
-ISSUED_SQL = 'select distinct (l_orderkey % 97)::varchar as session_id, l_linestatus as entity, l_partkey % 50 as "first", l_partkey % 50 + l_suppkey % 3 as "last" from lineitem where l_linenumber = 1'
+ISSUED_SQL = 'select distinct (l_orderkey % 97)::varchar as session_id, l_linestatus as entity, l_partkey % 50 as "first", l_partkey % 50 + l_suppkey % 3 as "last" from lineitem'
 
 
 @query(f"""
