@@ -1,9 +1,17 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes the documents that the one before it kept and gives back
-documents; the last gives the pieces of the packed sequences. Between stages the
+documents; the last gives the pieces of the packed sequences with their texts, so
+sequences are built from the result alone. Between stages the
 rows are written as Parquet and read again, so a stage never repeats the work
 of those before it.
+
+Defined cases, in every stage: columns keep their names and values, whatever other
+columns there are; null and empty texts go on (an empty text is scored like any
+other, is a near copy of nothing, holds no personal data, is taken no words of and so
+is not in the mix); rows of equal id and text are one after the near-copy stage,
+different texts of one id are not; a null id or source is like any other, ids come
+last and sources last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +29,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, five words and 0.8 or more; the one of the smallest id."""
+    """One document of each group of near copies, five words and 0.8 or more; the one of the smallest id, those without one last."""
     return ngram_join.without_near_copies(docs, n=5, percent=80)
 
 
@@ -31,12 +39,12 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them, in the order of its schedule."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents by sequence; no sequence holds two copies of one text."""
+    """Pieces of documents by sequence, each with its text; no sequence holds two copies of one text."""
     return packing.pack(docs)
 
 
