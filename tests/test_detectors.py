@@ -96,3 +96,34 @@ def test_bare_numbers():
 def test_long_hostile_texts_are_linear():
     for text in ("a." * 50_000, "- 0 - 0" * 10_000, "1" * 100_000, "@" * 50_000, "passpass" * 10_000):
         find(text, ALL)
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("db password hunter2abc ok", "hunter2abc"),
+        ('<add key="DbPassword" value="s3cr3tvalue"/>', "s3cr3tvalue"),
+        ('<input value="s3cr3tvalue" type="password">', "s3cr3tvalue"),
+        ("<db.password> s3cr3t </db.password>", "s3cr3t"),
+        ("- name: DB_PASSWORD\n  value: abc12345", "abc12345"),
+        ('os.getenv("DB_PASSWORD", "abc12345")', "abc12345"),
+        ('process.env.API_KEY || "abc12345"', "abc12345"),
+    ],
+)
+def test_secrets_apart_from_their_names(text, value):
+    assert value in {text[a:b] for e, a, b, *_ in find(text, ALL) if e == "SECRET"}
+
+
+@pytest.mark.parametrize("text", ["token budgets are large", '<add key="Colour" value="s3cr3tvalue"/>', 'os.getenv("COLOUR", "abc12345")', "password = \"<SECRET_1>\""])
+def test_no_secret(text):
+    assert not [h for h in find(text, ALL) if h[0] == "SECRET"]
+
+
+def test_pages_as_text():
+    from textwarden.functions.reshaping import html_to_text
+
+    filler = "<div class='padding-padding-padding'></div>" * 80
+    page = f"<?xml version='1.0'?>\n<!DOCTYPE html><html><head><title>T &amp; x</title><script>if (a<b) x</script></head><body><h1>Head</h1><p>a<br><br>b<iframe>no</iframe><dl><dt>t<dd>d</dl><table><tr><td>1</td><td>2</td></tr></table><pre>  v\n   w</pre>{filler}</body></html>"
+    assert html_to_text(page) == "T & x\n# Head\na\n\nb\nt\nd\n1 | 2\n  v\n   w"
+    for open_ in (page.replace("</script>", ""), page + "<a " * 2000, page[:100]):
+        assert html_to_text(open_) == open_
