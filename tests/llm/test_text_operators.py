@@ -464,3 +464,11 @@ def test_connected_components(spark):
     at = {x: i for i, x in enumerate(nodes)}
     comp = components(len(nodes), [(at[a], at[b]) for a, b in edges if a != b])
     assert got == {x: nodes[comp[i]] for i, x in enumerate(nodes)}
+
+
+def test_paragraphs_link_through_rows_without_id(spark):
+    words = [f"v{i}" for i in range(60)]
+    cut = lambda i: " ".join(words[3 * i :] + [f"n{i}x{k}" for k in range(3 * i)]) + "."
+    rows = [(5, cut(0)), (None, cut(1)), (6, cut(2)), (7, " ".join(f"z{i}" for i in range(60)) + ".")]
+    got = [r for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_words == 60]
+    assert sorted((r.doc_id or 0, r.n_occurrences, r.first_doc_id) for r in got) == [(0, 3, 5), (5, 3, 5), (6, 3, 5)]
