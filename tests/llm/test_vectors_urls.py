@@ -173,6 +173,30 @@ def test_url_rules_and_method(spark):
     assert {r.verdict for r in urls.judge(df.where("page_id = 51")).collect()} == {"allow"}
 
 
+def test_suffix_share_never_holds_the_own_label(spark):
+    """Brute force: of a labelled URL the other folds count, of others all folds."""
+    rng = np.random.default_rng(9)
+    rows = [(i, f"http://h{i}.{rng.choice(['net', 'org'])}/{rng.choice(['es', 'fr', f'own{i}'])}/{i}") for i in range(300)] + [(300, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    rules = (("block", "net", "/es/"), ("allow", "net", "/"), ("allow", "org", "/es/"), ("block", "org", "/o"))
+    described = urls.described_urls(df, rules).selectExpr("*", f"pmod(xxhash64(url), {urls.FOLDS}) as nth")
+    got = urls.with_suffix_share(described, 0.3).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        others = [o.blocked for o in got if o.suffix == r.suffix and o.blocked is not None and (r.blocked is None or o.nth != r.nth)]
+        assert r.suffix_share == pytest.approx((sum(others) + urls.SMOOTHING * 0.3) / (len(others) + urls.SMOOTHING))
+    alone = [r.suffix_share for r in got if r.blocked is not None and "own" in r.suffix]
+    assert alone and set(alone) == {0.3}
+
+
+def test_trees_judge_held_out_urls(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, f"http://s{i}.{'bad' if i % 3 == 0 else 'good'}.example/p/" + (f"{i * 7919}{i * 104729}" if i % 3 == 0 else "".join(rng.choice(list("abcdefgh"), 9)))) for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    assert urls.held_out_accuracy(df, (("block", "bad.example", "/"), ("allow", "good.example", "/"))) > 0.95
+    assert urls.held_out_accuracy(empty(df)) is None
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 

@@ -7,6 +7,8 @@ judge all others. All work is DataFrame expressions and the JVM's own learner.
 
 The trees are fitted on a bounded sample of labelled rows, MOST_LABELLED, in the
 order of a hash of the URL; the statistics of suffixes cover all labelled rows.
+A labelled URL takes its suffix's share from the other folds of labelled URLs
+only, so the trees never see a label within the feature that they learn it from.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path;
 an empty path fits no rule; repeated rows are judged each; where the labelled
@@ -34,8 +36,8 @@ RULES = (
 )
 #: Labelled rows that the trees are fitted on, at most; trees and their depth.
 MOST_LABELLED, TREES, DEPTH = 20_000, 20, 4
-#: Labels of a suffix that count before its own share does.
-SMOOTHING = 20.0
+#: Labels of a suffix that count before its own share does; folds of labelled URLs, by hash.
+SMOOTHING, FOLDS = 20.0, 5
 
 FEATURES = ("n_chars", "host_chars", "path_chars", "depth", "digit_ratio", "entropy", "n_params", "param_chars", "has_fragment", "n_labels", "longest_label", "n_hyphens", "suffix_share")
 
@@ -102,21 +104,49 @@ def train(labelled: DataFrame) -> GBTClassificationModel | None:
     return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(rows)
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """One row a page: ``page_id, host, path, rule, verdict, block_score``."""
+def described_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+    """``pages`` with host, path, the rule that fits, features, and ``blocked`` (0 or 1) where a rule decides."""
     host, path = host_and_path(F.col("url"))
-    scratch = Scratch(pages.sparkSession, "urls")
     urls = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path).withColumn("fit", deciding_rule(F.col("host"), F.col("path"), rules))
-    described = scratch.keep(lexical_features(urls).withColumn("blocked", F.when(F.col("fit").isNotNull(), (F.col("fit.action") == "block").cast("int"))))
+    return lexical_features(urls).withColumn("blocked", F.when(F.col("fit").isNotNull(), (F.col("fit.action") == "block").cast("int")))
+
+
+def with_suffix_share(described: DataFrame, prior: float) -> DataFrame:
+    """``suffix_share``: the smoothed share of blocked URLs among the labelled ones of the suffix, in other folds for a labelled URL."""
+    folded = described.withColumn("fold", F.expr(f"cast(pmod(xxhash64(url), {FOLDS}) as int)"))
+    of_fold = lambda f, value: F.array(*[F.coalesce(f(F.when(F.col("fold") == i, value)), F.lit(0)) for i in range(FOLDS)])
+    known = folded.where("blocked is not null").groupBy("suffix").agg(
+        F.sum("blocked").alias("n_blocked"), F.count("*").alias("n_known"), of_fold(F.sum, F.col("blocked")).alias("blocked_of"), of_fold(F.count, F.lit(1)).alias("known_of")
+    )
+    joined = folded.join(known.withColumnRenamed("suffix", "of"), F.col("suffix").eqNullSafe(F.col("of")), "left")
+    own = lambda c: F.when(F.col("blocked").isNotNull(), F.get(F.col(c), F.col("fold"))).otherwise(0)
+    share = (F.col("n_blocked") - own("blocked_of") + SMOOTHING * prior) / (F.col("n_known") - own("known_of") + SMOOTHING)
+    return joined.withColumn("suffix_share", F.coalesce(share, F.lit(prior))).drop("of", "fold", "n_blocked", "n_known", "blocked_of", "known_of")
+
+
+def scored_urls(described: DataFrame) -> DataFrame:
+    """``described`` with ``block_score`` (0 to 1), learnt from its rows where ``blocked`` is set."""
     totals = described.agg(F.avg("blocked")).first()[0]
     prior = 0.0 if totals is None else float(totals)
-    by_suffix = described.where("blocked is not null").groupBy("suffix").agg(((F.sum("blocked") + SMOOTHING * prior) / (F.count("*") + SMOOTHING)).alias("share")).withColumnRenamed("suffix", "of")
-    complete = described.join(by_suffix, F.col("suffix").eqNullSafe(F.col("of")), "left").drop("of").withColumn("suffix_share", F.coalesce("share", F.lit(prior)))
+    complete = with_suffix_share(described, prior)
     model = train(complete.where("blocked is not null"))
     if model is None:
-        scored = complete.withColumn("block_score", F.lit(1.0 if prior >= 0.5 else 0.0))
-    else:
-        assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(complete)
-        scored = model.transform(assembled).withColumn("block_score", F.element_at(vector_to_array("probability"), 2))
+        return complete.withColumn("block_score", F.lit(1.0 if prior >= 0.5 else 0.0))
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(complete)
+    return model.transform(assembled).withColumn("block_score", F.element_at(vector_to_array("probability"), 2))
+
+
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+    """One row a page: ``page_id, host, path, rule, verdict, block_score``."""
+    scored = scored_urls(Scratch(pages.sparkSession, "urls").keep(described_urls(pages, rules)))
     learnt = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.action"), learnt).alias("verdict"), "block_score")
+
+
+def held_out_accuracy(pages: DataFrame, rules=RULES, every: int = 3) -> float | None:
+    """The share of rule-decided URLs, one in ``every`` by hash, that trees learnt from the others judge as their rule does; None without any."""
+    held = F.expr(f"coalesce(pmod(xxhash64(url, 1), {every}) = 0, false)")
+    described = Scratch(pages.sparkSession, "urls").keep(described_urls(pages, rules))
+    scored = scored_urls(described.withColumn("blocked", F.when(~held, F.col("blocked"))))
+    right = (F.col("block_score") >= 0.5) == (F.col("fit.action") == "block")
+    return scored.where(held & F.col("fit").isNotNull()).agg(F.avg(right.cast("int"))).first()[0]
