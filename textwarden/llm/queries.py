@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textwarden.llm import mixing, neighbours, ngram_join, packing, paragraphs, pii, quality, repeats, topk, urls
+from textwarden.llm import fim, licenses, mixing, neighbours, ngram_join, packing, paragraphs, pii, quality, repeats, topk, trie, urls
 from textwarden.llm.tables import read_table
 
 
@@ -188,6 +188,70 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(read_table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = """
+with t as (
+  select conv_id::bigint as conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] as x
+  from conversations where conv_id is not null
+), own as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, x) as i from t
+), drawn as (
+  select conv_id, conv_id - conv_id % 100 as base,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 6 as h
+  from (select distinct conv_id from t)
+), parts as (
+  select d.conv_id, 0 as part, i, x, length(text) as chars from drawn d join own on own.conv_id = d.base and i <= h
+  union all select d.conv_id, 1, i, x, length(text) from drawn d join own on own.conv_id = d.conv_id and i > h
+), seq as (
+  select *, row_number() over (partition by conv_id order by part, i) as d from parts
+), prefixes as (
+  select conv_id, d, md5(string_agg(x, '') over (partition by conv_id order by d)) as p, chars from seq
+  union all select conv_id, 0, '', 0 from drawn
+), linked as (
+  select *, lag(p) over (partition by conv_id order by d) as up, d = max(d) over (partition by conv_id) as is_end from prefixes
+), nodes as (
+  select p, d, min(conv_id) as conv_id, count(*) as n, any_value(chars) as chars, any_value(up) as up, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (is_end), '') as ends from linked group by p, d
+), kids as (
+  select up, count(*) as n_children from nodes where up is not null group by up
+), full_nodes as (
+  select n.*, coalesce(n_children, 0) as n_children from nodes n left join kids on n.p = kids.up
+), subtree as (
+  select a.p, count(*) filter (v.n_children = 0) as n_leaves, sum((v.n - 1) * v.chars) as saved from full_nodes v join prefixes a on a.conv_id = v.conv_id and a.d <= v.d group by a.p
+)
+select n.conv_id, n.d::bigint as depth, u.conv_id as parent_conv_id, n.n::bigint as n_convs, n.n_children::bigint as n_children, s.n_leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, sha256(n.ends) as ends_sha256
+from full_nodes n join subtree s on n.p = s.p left join nodes u on n.up = u.p
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents
+), k as (
+  select *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') as w, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d
+), c as (
+  select *, len(w)::bigint as n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) as a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from k
+), cut as (
+  select doc_id, t, n, form, array_to_string(w[1:a], '') as p, array_to_string(w[a + 1:b], '') as m, array_to_string(w[b + 1:], '') as s from c
+)
+select doc_id, n, form, case when form <> 'plain' then length(p)::bigint end as prefix_chars, case when form <> 'plain' then length(m)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+from cut
+"""
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_repeats": op2_repeats,
@@ -199,9 +263,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_vectors": op8_near_vectors,
     "op9_url_filter": op9_url_filter,
     "op10_personal_data": op10_personal_data,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_license_scan": op13_license_scan,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op2_repeats": OP2_SQL, "op8_near_vectors": OP8_SQL, "op3_ngram_join": OP3_SQL, "op4_mix_sources": OP4_SQL}
+SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op2_repeats": OP2_SQL, "op8_near_vectors": OP8_SQL, "op3_ngram_join": OP3_SQL, "op4_mix_sources": OP4_SQL, "op11_prefix_trie": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
