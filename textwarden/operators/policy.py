@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.operators.sweep import inside_one
+
 # The directions, the modes and what each mode of a direction leads to.
 MODES = ("observe", "warn", "enforce")
 DEFAULT_MODES = {"prompt": "enforce", "inbound": "enforce", "local": "observe", "executable": "warn", "local_write": "warn", "outbound": "enforce", "model_output": "observe"}
@@ -62,11 +64,9 @@ def entity_scope(findings: DataFrame, scopes: DataFrame, everywhere: list[str])
 
 def write_back_check(written: DataFrame, issued: DataFrame) -> DataFrame:
     """Placeholders (``session_id, entity, number``) that were issued in their session (``first`` to ``last``)."""
-    runs = issued.select(F.col("session_id").alias("_session"), F.col("entity").alias("_entity"), "first", "last")
-    return written.join(runs, (F.col("session_id") == F.col("_session")) & (F.col("entity") == F.col("_entity")) & F.col("number").between(F.col("first"), F.col("last")), "left_semi")
+    return inside_one(written, issued, ["session_id", "entity"], "number", "number", "first", "last")
 
 
 def issue_new_runs(new: DataFrame, kept: DataFrame) -> DataFrame:
     """Runs of numbers that lie in no run already kept."""
-    k = kept.select(F.col("session_id").alias("_session"), F.col("entity").alias("_entity"), F.col("first").alias("_first"), F.col("last").alias("_last"))
-    return new.join(k, (F.col("session_id") == F.col("_session")) & (F.col("entity") == F.col("_entity")) & (F.col("_first") <= F.col("first")) & (F.col("last") <= F.col("_last")), "left_anti")
+    return inside_one(new, kept, ["session_id", "entity"], "first", "last", "first", "last", inside=False)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textwarden.functions.detectors import ScanConfig, bare_numbers
 from textwarden.functions.normalization import find_all
 from textwarden.operators.spans import dedupe_spans, merge_spans
+from textwarden.operators.sweep import touching_none
 
 #: Longer texts are cut into pieces, at a line's end or else with an overlap.
 PIECE_CHARS, OVERLAP = 100_000, 4_096
@@ -112,6 +113,4 @@ def unclaimed_numbers(df: DataFrame, text: str, keys: list[str], findings: DataF
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields] + ["n_start int", "n_end int"])
     numbers = df.where(F.col(text).rlike("[0-9]{9}")).select(*keys, text).mapInArrow(run, schema)
-    spans = findings.select(*[F.col(k).alias(f"_{k}") for k in keys], "start", "end")
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("start") < F.col("n_end"), F.col("n_start") < F.col("end")]
-    return numbers.join(spans, on, "left_anti").groupBy(*keys).agg(F.count("*").alias("bare_numbers"))
+    return touching_none(numbers, findings, keys, "n_start", "n_end", "start", "end").groupBy(*keys).agg(F.count("*").alias("bare_numbers"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions.detectors import PRIORITY
+from textwarden.operators.sweep import inside_one
 
 
 def priority(entity: Column) -> Column:
@@ -48,6 +49,4 @@ def not_contained(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def outside(spans: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     """Spans that lie in none of ``others`` (a card number inside an account number, say)."""
-    o = others.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("_start"), F.col("end").alias("_end"))
-    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_start") <= F.col("start"), F.col("end") <= F.col("_end")]
-    return spans.join(o, on, "left_anti")
+    return inside_one(spans, others, keys, "start", "end", "start", "end", inside=False)
