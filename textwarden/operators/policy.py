@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.operators.records import session_lives
 from textwarden.operators.sweep import inside_one
 
 # The directions, the modes and what each mode of a direction leads to.
@@ -70,3 +71,51 @@ def write_back_check(written: DataFrame, issued: DataFrame) -> DataFrame:
 def issue_new_runs(new: DataFrame, kept: DataFrame) -> DataFrame:
     """Runs of numbers that lie in no run already kept."""
     return inside_one(new, kept, ["session_id", "entity"], "first", "last", "first", "last", inside=False)
+
+
+#: Numbers are found through blocks of this to the power of a level, and of so many levels: 16 ** 5 numbers and beyond in blocks of the last.
+FAN, LEVELS = 16, 6
+
+
+def _blocks_of_run(level: int) -> Column:
+    """Blocks of one level that a run covers and whose own block, a level up, it does not."""
+    size = FAN**level
+    low, high = F.ceil(F.col("first") / size), F.floor((F.col("last") + 1) / size)
+    if level == LEVELS - 1:
+        return _range(low, high)
+    up_low, up_high = F.ceil(F.col("first") / (size * FAN)) * FAN, F.floor((F.col("last") + 1) / (size * FAN)) * FAN
+    return F.when(up_low < up_high, F.concat(_range(low, up_low), _range(up_high, high))).otherwise(_range(low, high))
+
+
+def _range(low: Column, high: Column) -> Column:
+    return F.when(low < high, F.sequence(low.cast("long"), (high - 1).cast("long"))).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def refusals(events: DataFrame, idle_minutes: int = 24 * 60) -> DataFrame:
+    """The verdict on each placeholder that a session writes: refused if it was issued in the session before, else free.
+
+    ``events``: ``session_id, ts, seq, kind`` (issue, write, session_end),
+    ``entity, first, last``; a write has its number in ``first``. After a run that can't be
+    read (a null, or an end before its start) the writes of the session are unchecked.
+    A session's end, or a pause longer than ``idle_minutes``, forgets its runs.
+
+    Runs become blocks of aligned numbers, at most 30 a level, each with the moment that
+    first covered it; a write looks its number up at each level. No join is on a range.
+    """
+    lives = session_lives(events, idle_minutes).select("session_id", "life", "_pos", "ts", "seq", "kind", "entity", "first", "last")
+    issues = lives.where("kind = 'issue'")
+    readable = F.coalesce(F.col("entity").isNotNull() & (F.col("first") <= F.col("last")), F.lit(False))
+    place = F.flatten(F.array(*[F.transform(_blocks_of_run(level), _at_level(level)) for level in range(LEVELS)]))
+    blocks = issues.where(readable).select("session_id", "life", "entity", "_pos", F.explode(place).alias("place")).groupBy("session_id", "life", "entity", "place").agg(F.min("_pos").alias("issued_at"))
+    damaged = issues.where(~readable).groupBy("session_id", "life").agg(F.min("_pos").alias("damaged_at"))
+    writes = lives.where("kind = 'write'").drop("kind", "last")
+    asked = F.array(*[_at_level(level)(F.floor(F.col("first") / FAN**level).cast("long")) for level in range(LEVELS)])
+    looked = writes.select("*", F.explode(asked).alias("place")).join(blocks, ["session_id", "life", "entity", "place"], "left")
+    found = looked.groupBy("session_id", "life", "_pos", "ts", "seq", "entity", "first").agg(F.min("issued_at").alias("issued_at"))
+    judged = found.join(damaged, ["session_id", "life"], "left")
+    verdict = F.when(F.col("damaged_at") < F.col("_pos"), "unchecked").when(F.col("issued_at") < F.col("_pos"), "refused").otherwise("free")
+    return judged.select("session_id", "seq", F.col("ts").alias("at"), "entity", F.col("first").alias("number"), verdict.alias("verdict"))
+
+
+def _at_level(level: int):
+    return lambda block: F.struct(F.lit(level).alias("level"), block.alias("block"))

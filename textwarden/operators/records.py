@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Namespace of published finding ids (version 5 UUIDs), as hex.
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 EVIDENCE = 20
+#: Kinds of session events: anything else is a record.
+RECORD, TURN_END, SESSION_END = "record", "turn_end", "session_end"
 
 
 def session_key(session_id: Column) -> Column:
@@ -28,6 +30,61 @@ def session_summary(records: DataFrame) -> DataFrame:
     return rows.groupBy("session_id", "done", "model_output", "entity").agg(F.sum("n").alias("n"))
 
 
+def session_lives(events: DataFrame, idle_minutes: int) -> DataFrame:
+    """``events`` (``session_id, ts, seq, kind``) with ``life``: a session's events up to its end, or up to a pause longer than ``idle_minutes``.
+
+    ``_pos`` is the place in the session, ``_end`` tells an end, ``_over`` the last event before a pause or the
+    end of the data. An event that is repeated (same ``ts`` and ``seq``) counts once, one without session or time not at all.
+    """
+    once = events.where("session_id is not null and ts is not null").withColumn("seq", F.coalesce("seq", F.lit(0))).dropDuplicates(["session_id", "ts", "seq"])
+    by = Window.partitionBy("session_id").orderBy("ts", "seq")
+    pause = F.expr(f"interval {idle_minutes} minutes")
+    kept = once.withColumns(
+        {
+            "_pos": F.row_number().over(by),
+            "_end": F.coalesce(F.col("kind") == SESSION_END, F.lit(False)),
+            "_before": F.lag("ts").over(by),
+            "_after_end": F.coalesce(F.lag("kind").over(by) == SESSION_END, F.lit(False)),
+            "_next": F.lead("ts").over(by),
+        }
+    )
+    new = F.col("_before").isNull() | F.col("_after_end") | (F.col("ts") > F.col("_before") + pause)
+    over = ~F.col("_end") & (F.col("_next").isNull() | (F.col("_next") > F.col("ts") + pause))
+    return kept.withColumn("life", F.sum(new.cast("int")).over(by)).withColumn("_over", over).drop("_before", "_after_end", "_next")
+
+
+def session_summaries(events: DataFrame, idle_minutes: int = 30, until: str | None = None) -> DataFrame:
+    """A summary of a session at each end of a turn and when it has been quiet, if records came since the last one.
+
+    ``events``: ``session_id, ts, seq, kind, done, entities``; see
+    ``session_lives``. A session that ends is forgotten without a summary. ``n_records``
+    and ``totals`` (done, type, count) are of the life so far, ``n_new`` of what came since
+    the last summary. Sessions quiet since before ``until`` count as over, all if it is null.
+    """
+    lives = session_lives(events, idle_minutes)
+    by_life = Window.partitionBy("session_id", "life").orderBy("_pos")
+    is_turn = F.coalesce(F.col("kind") == TURN_END, F.lit(False))
+    is_record = ~is_turn & ~F.col("_end")
+    counted = lives.withColumn("n_records", F.sum(is_record.cast("long")).over(by_life))
+    closes = F.col("ts") + F.expr(f"interval {idle_minutes} minutes")
+    over = F.col("_over") & (F.lit(True) if until is None else closes <= F.lit(until).cast("timestamp"))
+    marks = F.array_compact(F.array(F.when(is_turn, F.struct(F.col("ts").alias("at"), F.lit("turn").alias("reason"), F.lit(0).alias("rank"))), F.when(over, F.struct(closes.alias("at"), F.lit("idle").alias("reason"), F.lit(1).alias("rank")))))
+    asked = counted.select("session_id", "life", "_pos", "n_records", F.explode(marks).alias("mark"))
+    in_order = Window.partitionBy("session_id", "life").orderBy("_pos", "mark.rank")
+    new = F.col("n_records") - F.coalesce(F.lag("n_records").over(in_order), F.lit(0))
+    shown = asked.withColumn("n_new", new).where("n_new > 0").select("session_id", "life", "_pos", "n_records", "n_new", "mark.at", "mark.reason")
+    # Totals so far: what each type of a life adds, and the summaries, in one order.
+    added = lives.where(is_record).select("session_id", "life", "_pos", "done", F.explode("entities").alias("entity", "n")).where("n is not null")
+    pairs = added.select("session_id", "life", "done", "entity").distinct()
+    asks = shown.select("session_id", "life", "_pos", "reason").join(pairs, ["session_id", "life"])
+    running = Window.partitionBy("session_id", "life", "done", "entity").orderBy("_pos", F.col("reason").isNotNull(), F.desc("reason")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = added.withColumn("reason", F.lit(None).cast("string")).unionByName(asks, allowMissingColumns=True)
+    so_far = both.withColumn("n", F.sum("n").over(running)).where("reason is not null and n is not null")
+    totals = so_far.groupBy("session_id", "life", "_pos", "reason").agg(F.array_sort(F.collect_list(F.struct("done", "entity", F.col("n").cast("long").alias("n")))).alias("totals"))
+    none = F.expr("cast(array() as array<struct<done:string,entity:string,n:bigint>>)")
+    return shown.join(totals, ["session_id", "life", "_pos", "reason"], "left").select("session_id", "at", "reason", "n_records", "n_new", F.coalesce("totals", none).alias("totals"))
+
+
 def latency_stats(records: DataFrame, keys: list[str], value: str = "latency_ms") -> DataFrame:
     """Exact median and 95th percentile (the element at rank 0.95 * (n - 1), half to even) of valid latencies.
 
