@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textwarden.functions.scans import between, replaced
+
 #: Types whose values are the same whatever their layout.
 LAYOUT_FREE = ("IBAN", "CREDIT_CARD", "PHONE", "SSN", "NATIONAL_ID", "TAX_ID", "MAC_ADDRESS", "LICENSE_PLATE")
 MOST_NUMBER = 1_000_000
@@ -64,10 +66,8 @@ def redact(df: DataFrame, text: str, keys: list[str], findings: DataFrame, revea
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     whole = F.col(text)
 
-    def put(state: Column, s: Column) -> Column:
-        breaks = F.regexp_replace(F.substring(whole, s["start"] + 1, s["end"] - s["start"]), "[^\n]", "")
-        out = F.concat(state["out"], F.substring(whole, state["at"] + 1, s["start"] - state["at"]), s["name"], breaks)
-        return F.struct(out.alias("out"), s["end"].alias("at"))
+    def placeholder(span: Column, chunked: Column) -> Column:
+        return F.concat(span["name"], F.regexp_replace(between(chunked, span["start"], span["end"]), "[^\n]", ""))
 
-    done = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), put, lambda s: F.concat(s["out"], F.substring(whole, s["at"] + 1, F.length(whole))))
+    done = replaced(whole, F.col("spans"), placeholder)
     return df.join(spans, on, "left").withColumn("redacted", F.when(F.col("spans").isNull(), whole).otherwise(done)).drop("spans", *[f"_{k}" for k in keys])
