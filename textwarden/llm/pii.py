@@ -2,7 +2,9 @@
 
 Everything is a Spark expression on one row, so a scan needs no shuffle. Offsets
 count code points: a text is split by a pattern, and the lengths of the pieces
-and of the matches between them add up to the places of the matches.
+and of the matches between them add up to the places of the matches. Sums and the words
+right before a match come from one scan over the pieces, linear in the text however many
+matches it has; so do redacted texts.
 
 The patterns are possessive wherever the plain form would match the same text:
 each kind is then found in time linear in the text and without deep recursion.
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.functions.scans import let, replaced, scan
+
 # The kinds of the base in their order, then those that the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn")
@@ -102,25 +106,29 @@ def kind_spans(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind: an array of ``(kind, start, end, score)`` in order of start."""
     pattern = PATTERNS[kind]
     plain, with_word = SCORES[kind]
-    gaps = F.transform(F.split(text, pattern, -1), lambda piece: F.length(piece))
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("cast(array() as array<struct<at:int,value:string>>)")
 
-    def place(state: Column, x: Column) -> Column:
-        at = state["next"] + x["gap"]
-        found = F.concat(state["found"], F.array(F.struct(at.alias("at"), x["value"].alias("value"))))
-        return F.struct((at + F.coalesce(F.length(x["value"]), F.lit(0))).alias("next"), F.when(x["value"].isNotNull(), found).otherwise(state["found"]).alias("found"))
+    def placed(pieces: Column) -> Column:
+        """Matches with their start and the text right before them, from what stands before each piece."""
+        pairs = F.zip_with(pieces, matches, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
+        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("near"))
+        both = lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), F.right(F.concat(a["near"], b["near"]), F.lit(CONTEXT)).alias("near"))
+
+        def length(x: Column) -> Column:
+            whole = F.concat(x["gap"], F.coalesce(x["value"], F.lit("")))
+            return F.struct(F.length(whole).alias("at"), F.right(whole, F.lit(CONTEXT)).alias("near"))
+
+        def place(x: Column, before: Column) -> Column:
+            near = F.right(F.concat(before["near"], F.right(x["gap"], F.lit(CONTEXT))), F.lit(CONTEXT))
+            return F.struct((before["at"] + F.length(x["gap"])).alias("at"), near.alias("near"), x["value"].alias("value"))
 
-    pairs = F.zip_with(gaps, matches, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("next"), empty.alias("found")), place, lambda state: state["found"])
+        return let(pairs, lambda p: F.filter(F.zip_with(p, scan(F.transform(p, length), zero, both), place), lambda x: x["value"].isNotNull()))
 
     def scored(x: Column) -> Column:
-        start = F.greatest(x["at"] - CONTEXT, F.lit(0))
-        near = F.substring(text, start + 1, x["at"] - start)
-        score = F.when(near.rlike(CONTEXT_WORDS[kind]), F.lit(with_word)).otherwise(F.lit(plain))
+        score = F.when(x["near"].rlike(CONTEXT_WORDS[kind]), F.lit(with_word)).otherwise(F.lit(plain))
         return F.struct(F.lit(kind).alias("kind"), x["at"].alias("start"), (x["at"] + F.length(x["value"])).alias("end"), score.alias("score"))
 
-    found = F.transform(F.filter(placed, lambda x: _confirmed(kind, x["value"])), scored)
+    found = F.transform(F.filter(placed(F.split(text, pattern, -1)), lambda x: _confirmed(kind, x["value"])), scored)
     if kind in ADDED_KINDS:
         found = F.filter(found, lambda x: x["score"] >= ADDED_SCORE)
     gate = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(GATES[kind])
@@ -159,22 +167,10 @@ def redacted(documents: DataFrame) -> DataFrame:
     and all their characters go. Texts without a span, nulls among them, stay as they are.
     """
     found = find_personal_data(documents)
-    spans = F.array_sort(
-        "__pii",
-        lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0),
-    )
-    text = F.col("text")
-
-    def cut(state: Column, s: Column) -> Column:
-        name = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        kept = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        after = F.struct(F.concat(state["out"], kept, name).alias("out"), s["end"].alias("at"))
-        inside = F.struct(state["out"].alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
-        return F.when(s["start"] >= state["at"], after).otherwise(inside)
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    new_text = F.aggregate(spans, start, cut, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
-    found = found.withColumn("text", F.when(F.size("__pii") > 0, new_text).otherwise(text))
+    keyed = F.transform("__pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["end"].alias("end"), F.upper(s["kind"]).alias("name")))
+    found = found.withColumn("__spans", F.array_sort(keyed))
+    new_text = replaced(F.col("text"), F.col("__spans"), lambda span, _: F.concat(F.lit("<"), span["name"], F.lit(">")))
+    found = found.withColumn("text", F.when(F.size("__pii") > 0, new_text).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         found = found.withColumn("n_chars", F.when(F.size("__pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*documents.columns)
