@@ -217,3 +217,24 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
         fill[r.bin_id] += r.n_words
         texts[r.bin_id].append(r.cluster)
     assert max(fill.values()) <= 2048 and all(len(t) == len(set(t)) for t in texts.values())
+
+
+@pytest.mark.parametrize(("most_audited", "probes"), [(40, 30), (4096, 0)])
+def test_rare_links_are_audited(spark, monkeypatch, most_audited, probes):
+    """No ball of the first sample has a link: more are drawn, or points planted, and the recall is measured."""
+    monkeypatch.setattr(neighbours, "AUDITED", 10)
+    monkeypatch.setattr(neighbours, "MOST_AUDITED", most_audited)
+    monkeypatch.setattr(neighbours, "PROBES", 30)
+    monkeypatch.setattr(neighbours, "BUCKET_ROWS", 64)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 24))
+    x[899] = x[17] + 0.05 * rng.normal(size=24)
+    x[898] = x[500] + 0.25 * rng.normal(size=24)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    report = {}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(df, report).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    assert [got[i][0] for i in range(900)] == (near.sum(axis=1) - 1).tolist() and set(got) == set(range(900))
+    assert got[899] == (1, 17)
+    assert report[24]["recall"] >= 0.9 and report[24]["probes"] == probes and report[24]["true_pairs"] >= 1

@@ -7,7 +7,9 @@ neighbours is built over the balls: lists start from buckets of random
 hyperplanes and are refined by joins of neighbours of neighbours; lists whose
 last entry could still matter are enlarged. A sample of balls is compared with
 all others, and rounds go on, with growing lists in the end, until the recall of links,
-over pairs and averaged over balls, is RECALL; a run that stays below it fails.
+over pairs and averaged over balls, is RECALL; a run that stays below it fails. The sample
+grows until enough of it have links; where links are too rare for that, points are
+planted at the edge of the threshold, searched for with the others and left out of the result.
 Nearness counts between the edges of balls: what is left of the angle of their
 centres without both radii.
 
@@ -48,6 +50,8 @@ MOST_LIST = 80
 NEIGHBOURS, BUCKET_ROWS, MOST_ROWS, TABLES, MORE_TABLES = 10, 1000, 4096, 8, 4
 #: Rounds at least, and before lists are doubled in each; rounds without gain after which the run fails; balls in the audit; recall of links to reach.
 LEAST_ROUNDS, MOST_ROUNDS, MOST_STALLED, AUDITED, RECALL = 2, 6, 3, 256, 0.98
+#: Balls with a link that the audit needs; balls that it compares with all others at most, and probes that it plants where these have too few links.
+LEAST_LINKED, MOST_AUDITED, PROBES = 50, 4096, 200
 #: Angles are compared with this slack, far above the error of double arithmetic at these angles.
 SLACK = 1e-6
 
@@ -217,29 +221,21 @@ def _entries(lists: DataFrame) -> DataFrame:
     return lists.select("id", "others", "cosines").mapInArrow(run, "id long, other long, cosine double")
 
 
-def nearest(points: DataFrame, n: int, limit: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def nearest(points: DataFrame, n: int, limit: float, scratch: Scratch, report: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs ``id, other, cosine`` of at least ``limit`` found by NN-descent; balls whose list holds not all of theirs
     (``id``), with the component of the graph that they are in (``id, group``).
 
     Pairs of the latter are complete within their component; the audit has shown that to be enough.
     """
+    audit, probes, n_linked = _audit(points, n, limit, scratch)
+    real = points
+    if probes is not None:
+        points = scratch.keep(points.select("id", "vector").union(probes.select("id", "vector")))
     units = max(1, n // 4000)
     unit = F.expr(f"pmod(xxhash64(id), {units})")
     merged = lambda rows: scratch.keep(rows.withColumn("unit", unit).groupBy("unit").applyInArrow(_merge(limit), LISTS))
     start = lambda tables: _bucketed(points, tables, n, scratch, 1).groupBy("bucket", "salt").applyInArrow(_start, LISTS)
     lists = merged(start(range(TABLES)))
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(AUDITED).toArrow()
-    sent = points.sparkSession.sparkContext.broadcast((sample.column("id").to_numpy(), _vectors(sample.column("vector"))))
-
-    def true_links(batches):
-        ids, x = sent.value
-        for batch in batches:
-            a, b = np.nonzero(_nearness(x, _vectors(batch.column("vector"))) >= limit)
-            pairs = ids[a], batch.column("id").to_numpy()[b]
-            other = pairs[0] != pairs[1]
-            yield pa.RecordBatch.from_arrays([pa.array(p[other], pa.int64()) for p in pairs], names=["id", "other"])
-
-    audit = scratch.keep(points.mapInArrow(true_links, "id long, other long"))
     recall, best, stalled = 0.0, -1.0, 0
     for round_ in itertools.count():
         if round_ >= MOST_ROUNDS:
@@ -250,7 +246,6 @@ def nearest(points: DataFrame, n: int, limit: float, scratch: Scratch) -> tuple[
             lists = scratch.keep(lists.withColumn("capacity", F.least(F.col("capacity") * 2, F.greatest(F.lit(4 * MOST_LIST), F.col("capacity")))))
         best = max(best, recall)
         entries = _entries(lists).join(lists.select("id", "capacity"), "id")
-        around = entries.select(F.col("id").alias("centre"), F.col("other").alias("id")).union(entries.select(F.col("other").alias("centre"), "id"))
         # Reverse lists of hubs are thinned by a hash to about what a list holds; lists are not.
         degree = entries.groupBy("other").agg(F.count("*").alias("n")).withColumnRenamed("other", "centre")
         own = lists.select(F.col("id").alias("centre"), F.col("capacity").alias("room"))
@@ -272,11 +267,70 @@ def nearest(points: DataFrame, n: int, limit: float, scratch: Scratch) -> tuple[
         # Each ball with links counts alike, and so do all pairs: neither a dense group nor small ones are hidden.
         of_ball = audit.join(hits, ["id", "other"], "left").groupBy("id").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"))
         by_ball, n_true, n_found = of_ball.agg(F.avg(F.col("n_found") / F.col("n_true")), F.sum("n_true"), F.sum("n_found")).first()
+        # Without a true link all balls were drawn, and there is nothing to find.
         recall = min(by_ball, n_found / n_true) if n_true else 1.0
         if round_ + 1 >= LEAST_ROUNDS and recall >= RECALL:
             break
+    if report is not None:
+        report |= {"recall": recall, "linked_balls": n_linked, "probes": 0 if probes is None else PROBES, "true_pairs": n_true or 0, "rounds": round_ + 1}
     none = points.sparkSession.createDataFrame([], "id long, group long")
-    return _entries(lists).where(F.col("cosine") >= limit), dense, none if groups is None else groups
+    pairs = _entries(lists).where(F.col("cosine") >= limit)
+    if probes is not None:
+        planted = F.broadcast(probes.select("id"))
+        pairs = pairs.join(planted, "id", "left_anti").join(planted.withColumnRenamed("id", "other"), "other", "left_anti").select("id", "other", "cosine")
+        dense = dense.join(real.select("id"), "id", "left_semi")
+    return pairs, dense, none if groups is None else groups
+
+
+def _audit(points: DataFrame, n: int, limit: float, scratch: Scratch) -> tuple[DataFrame, DataFrame | None, int]:
+    """True links ``id, other`` to measure the recall on, planted points or None, and how many drawn balls have a link.
+
+    Balls are drawn by a hash of their ids and compared with all others, more of them while too few have
+    a link. Where links are rarer than that, each of PROBES balls gets a point of its own at nearly the largest
+    angle that still links: these pairs have no help from neighbours and are the hardest to find.
+    """
+    drawn = AUDITED
+    while True:
+        sample = points.orderBy(F.xxhash64("id"), "id").limit(drawn).toArrow()
+        sent = points.sparkSession.sparkContext.broadcast((sample.column("id").to_numpy(), _vectors(sample.column("vector"))))
+        audit = scratch.keep(points.mapInArrow(_true_links(sent, limit), "id long, other long"))
+        n_linked = audit.select("id").distinct().count()
+        if n_linked >= LEAST_LINKED or drawn >= n:
+            return audit, None, n_linked
+        if drawn >= MOST_AUDITED:
+            break
+        drawn = min(4 * drawn, MOST_AUDITED)
+    least, most = points.agg(F.min("id"), F.max("id")).first()
+    rng = np.random.default_rng(17)
+    rows, pairs = [], []
+    for i, (ball, vector) in enumerate(zip(sample.column("id").to_pylist()[:PROBES], sample.column("vector").to_pylist()[:PROBES], strict=True)):
+        x = np.frombuffer(vector, np.float64)
+        away = rng.normal(size=len(x) - 1)
+        away -= (away @ x[:-1]) * x[:-1]
+        length = np.sqrt(away @ away)
+        if not length:
+            continue
+        angle = 0.99 * -limit + x[-1]
+        planted = np.append(np.cos(angle) * x[:-1] + np.sin(angle) * away / length, 0.0)
+        name = most + 1 + i if most < 2**62 else least - 1 - i
+        rows.append((name, planted.tobytes()))
+        pairs.append((name, ball))
+    spark = points.sparkSession
+    probes = spark.createDataFrame(pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "vector": pa.array([r[1] for r in rows], pa.binary())}))
+    known = spark.createDataFrame(pa.table({"id": pa.array([p[0] for p in pairs], pa.int64()), "other": pa.array([p[1] for p in pairs], pa.int64())}))
+    return scratch.keep(audit.union(known)), scratch.keep(probes), n_linked
+
+
+def _true_links(sent, limit: float):
+    def run(batches):
+        ids, x = sent.value
+        for batch in batches:
+            a, b = np.nonzero(_nearness(x, _vectors(batch.column("vector"))) >= limit)
+            pairs = ids[a], batch.column("id").to_numpy()[b]
+            other = pairs[0] != pairs[1]
+            yield pa.RecordBatch.from_arrays([pa.array(p[other], pa.int64()) for p in pairs], names=["id", "other"])
+
+    return run
 
 
 DENSE = "one long, two long, kind string, more long"
@@ -353,11 +407,16 @@ def _compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids[keep]), "links": pa.array(counts[keep].astype(np.int64)), "one": pa.array([one] * int(keep.sum()), pa.int64()), "two": pa.array([two] * int(keep.sum()), pa.int64())})
 
 
-def near_duplicates(embeddings: DataFrame) -> DataFrame:
-    """One row a row: ``vec_id, n_links, component_id, kept``."""
+def near_duplicates(embeddings: DataFrame, report: dict | None = None) -> DataFrame:
+    """One row a row: ``vec_id, n_links, component_id, kept``.
+
+    ``report`` is filled with what the audit measured, by length of the vectors: the recall of links, the
+    drawn balls that have a link, planted probes, pairs audited and rounds.
+    """
     scratch = Scratch(embeddings.sparkSession, "neighbours")
     usable = scratch.keep(usable_vectors(embeddings))
-    linked = [_linked(usable.where(F.size("embedding") == n), scratch) for n in lengths(usable)]
+    reports = report if report is not None else {}
+    linked = [_linked(usable.where(F.size("embedding") == n), scratch, reports.setdefault(n, {})) for n in lengths(usable)]
     vec_id = F.col("vec_id").cast("long")
     none = F.lit(None).cast("long")
     out = embeddings.select(vec_id.alias("vec_id"))
@@ -367,7 +426,7 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
-def _linked(usable: DataFrame, scratch: Scratch) -> DataFrame:
+def _linked(usable: DataFrame, scratch: Scratch, report: dict) -> DataFrame:
     """``id, n_links, component_id`` of vectors of one length."""
     spark = usable.sparkSession
 
@@ -404,7 +463,7 @@ def _linked(usable: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("size"), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "size", "vector"])
 
     centred = scratch.keep(points.join(sizes.select(F.col("centre").alias("id"), "size", "radius"), "id").mapInArrow(with_radius, "id long, size long, vector binary"))
-    found, dense, groups = nearest(centred.select("id", "vector"), n_balls, -(reach + SLACK), scratch)
+    found, dense, groups = nearest(centred.select("id", "vector"), n_balls, -(reach + SLACK), scratch, report)
     among = among_dense(centred, dense, groups, reach, scratch)
 
     ordered = found.select(F.least("id", "other").alias("one"), F.greatest("id", "other").alias("two"), "cosine").groupBy("one", "two").agg(F.max("cosine").alias("cosine"))

@@ -180,6 +180,24 @@ from embeddings e join least on e.vec_id = least.a
 """
 
 
+def planted_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of op8 over all vectors and a changed copy of every fifth, so that there are links to find."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    changed = F.transform("embedding", lambda x, i: (x.cast("double") * (1 + F.lit(0.3) * ((i + 1) % 3 - 1))).cast("float"))
+    copies = rows.where("vec_id % 5 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), changed.alias("embedding"))
+    return neighbours.near_duplicates(rows.union(copies))
+
+
+PLANTED_SQL = (
+    """
+with recursive embeddings as (
+  select vec_id, embedding from main.embeddings
+  union all select vec_id + 1000000000, list_transform(embedding, lambda x, i: (x::double * (1 + 0.3::double * (i % 3 - 1)))::float) from main.embeddings where vec_id % 5 = 0
+), """
+    + OP8_SQL.split("with recursive ")[1]
+)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"))
 
@@ -261,6 +279,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_paragraph_dedup": op7_paragraph_dedup,
     "op8_near_vectors": op8_near_vectors,
+    "planted_near_vectors": planted_near_vectors,
     "op9_url_filter": op9_url_filter,
     "op10_personal_data": op10_personal_data,
     "op11_prefix_trie": op11_prefix_trie,
@@ -268,7 +287,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_license_scan": op13_license_scan,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op2_repeats": OP2_SQL, "op8_near_vectors": OP8_SQL, "op3_ngram_join": OP3_SQL, "op4_mix_sources": OP4_SQL, "op11_prefix_trie": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
+SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op2_repeats": OP2_SQL, "op8_near_vectors": OP8_SQL, "planted_near_vectors": PLANTED_SQL, "op3_ngram_join": OP3_SQL, "op4_mix_sources": OP4_SQL, "op11_prefix_trie": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
