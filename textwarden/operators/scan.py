@@ -89,13 +89,13 @@ def scan(df: DataFrame, text: str, keys: list[str], config: ScanConfig | None =
     if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES * cores:
         # A small input may come in fewer partitions than there are cores.
         rows = rows.repartition(cores)
-    gated = rows.where(may_hold(F.col("_text"), config)).select(*keys, F.sha2("_text", 256).alias("digest"), "_text")
-    texts = gated.select("digest", F.col("_text").alias("text"))
-    short = texts.where(F.length("text") <= PIECE_CHARS).select("digest", F.lit(0).alias("at"), "text")
-    long_ = texts.where(F.length("text") > PIECE_CHARS).groupBy("digest").agg(F.first("text").alias("text")).mapInArrow(_cut, "key string, at int, piece string")
+    gated = rows.where(may_hold(F.col("_text"), config)).select(*keys, F.sha2("_text", 256).alias("_digest"), "_text")
+    texts = gated.select("_digest", F.col("_text").alias("text"))
+    short = texts.where(F.length("text") <= PIECE_CHARS).select(F.col("_digest").alias("key"), F.lit(0).alias("at"), "text")
+    long_ = texts.where(F.length("text") > PIECE_CHARS).groupBy("_digest").agg(F.first("text").alias("text")).mapInArrow(_cut, "key string, at int, piece string")
     hits = short.union(long_.repartition("key", "at")).mapInArrow(_find(config), HITS)
-    resolved = merge_spans(dedupe_spans(hits, ["key"]), ["key"])
-    return gated.select(*keys, "digest").join(resolved, F.col("digest") == F.col("key")).drop("digest", "key")
+    resolved = merge_spans(dedupe_spans(hits, ["key"]), ["key"]).withColumnRenamed("key", "_key")
+    return gated.select(*keys, "_digest").join(resolved, F.col("_digest") == F.col("_key")).drop("_digest", "_key")
 
 
 def count_by_entity(findings: DataFrame, by: list[str]) -> DataFrame:

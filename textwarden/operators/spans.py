@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions.detectors import PRIORITY
+from textwarden.functions.scans import let, scan
 from textwarden.operators.sweep import inside_one
 
 
@@ -41,6 +42,27 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     return merged.select(*keys, "w.entity", "start", "end", "w.score", "w.label", F.col("w.start").alias("value_start"), F.col("w.end").alias("value_end"))
 
 
+def merge_in_row(hits: Column) -> Column:
+    """``merge_spans`` over an array of hits of one text, inside its row: no shuffle, and linear after the sort.
+
+    Hits are structs with ``entity, start, end, score, label``; the result has ``value_start, value_end`` as well, in order of start.
+    """
+    keyed = F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h.alias("hit")))
+
+    def merged(ordered: Column) -> Column:
+        reach = scan(F.transform(ordered, lambda x: x["end"]), F.lit(-1), lambda a, b: F.greatest(a, b))
+        new = F.filter(F.zip_with(F.transform(ordered, lambda x, i: F.struct(i.alias("at"), x["start"].alias("start"))), reach, lambda x, r: F.when(x["start"] >= r, x["at"])), lambda at: at.isNotNull())
+        return let(new, lambda begins: F.transform(begins, lambda at, k: island(F.slice(ordered, at + 1, F.coalesce(F.get(begins, k + 1), F.size(ordered)) - at))))
+
+    def island(members: Column) -> Column:
+        order = lambda h: F.struct(priority(h["entity"]).alias("priority"), (h["start"] - h["end"]).alias("minus_length"), h["entity"].alias("entity"), h["start"].alias("start"), h["end"].alias("end"), (-h["score"]).alias("minus_score"), h["label"].alias("label"), h["score"].alias("score"))
+        winner = F.array_min(F.transform(members, lambda x: order(x["hit"])))
+        extent = F.struct(F.array_min(F.transform(members, lambda x: x["start"])).alias("start"), F.array_max(F.transform(members, lambda x: x["end"])).alias("end"), winner.alias("w"))
+        return let(extent, lambda e: F.struct(e["w"]["entity"].alias("entity"), e["start"].alias("start"), e["end"].alias("end"), e["w"]["score"].alias("score"), e["w"]["label"].alias("label"), e["w"]["start"].alias("value_start"), e["w"]["end"].alias("value_end")))
+
+    return let(F.array_sort(keyed), merged)
+
+
 def not_contained(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Spans that do not lie in an earlier one (by start, the longer first) of their keys."""
     by = Window.partitionBy(*keys).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)

@@ -86,6 +86,51 @@ def numbered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "redacted")
 
 
+@query(rf"""
+with n as (
+  select doc_id, lang, source, octet_length(encode(coalesce(text, '')))::bigint as in_bytes, len(regexp_extract_all(coalesce(text, ''), '{SQL_EMAIL}'))::int as n from documents
+), d as (
+  select *, case when lang = 'en' then 'prompt' when lang = 'de' then 'inbound' when source like '%e%' then 'executable' else 'outbound' end as direction from n
+), m as (
+  select *, case when direction = 'executable' then 'warn' when lang = 'fr' then 'observe' else 'enforce' end as mode from d
+)
+select doc_id, n, direction, mode, in_bytes,
+  case when n = 0 or mode = 'observe' then 'allow' when mode = 'warn' then 'report' when direction = 'prompt' or doc_id % 3 = 0 then 'deny' else 'mask' end as action
+from m
+""")
+def inspected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as events, inspected in their rows: findings, direction, mode and action."""
+    from textwarden.operators.inspection import inspect
+
+    tool = F.when(F.contains("source", F.lit("e")), "Bash").otherwise("Unknown")
+    event = F.when(F.col("lang") == "en", "prompt").when(F.col("lang") == "de", "result").when(F.col("lang") == "fr", "call").otherwise("use")
+    events = read_table(spark, sf_dir, "documents").select("doc_id", "text", event.alias("event"), tool.alias("tool_name"), (F.col("doc_id") % 3 != 0).alias("can_rewrite"))
+    modes = {"call": "observe", "Bash": "warn"}
+    # A prompt or result has no tool of its own.
+    events = events.withColumn("tool_name", F.when(F.col("event").isin("prompt", "result"), "").otherwise(F.col("tool_name")))
+    out = inspect(events, "text", modes=modes, config=ScanConfig(entities=("EMAIL",)))
+    return out.select("doc_id", F.coalesce(F.element_at("entities", F.lit("EMAIL")), F.lit(0)).alias("n"), "direction", "mode", "in_bytes", "action")
+
+
+@query(rf"""
+with t as (select doc_id, text, md5(text) as h from documents where text is not null),
+s as (select h, bool_or(doc_id % 2 = 0) as early from t group by h)
+select doc_id, case when early then 1 else 2 end as run, len(regexp_extract_all(text, '{SQL_EMAIL}'))::bigint as n from t join s on t.h = s.h
+""")
+def scanned_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over a store: yesterday's half of the documents, then all of them; each text is scanned in one of the runs."""
+    from textwarden.operators.scan_store import FindingStore
+    from textwarden.sources.tables import scratch_path
+
+    config = ScanConfig(entities=("EMAIL",))
+    documents = read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    store = FindingStore(spark, scratch_path(spark, "finding-store"))
+    first = store.add(documents.where("doc_id % 2 = 0"), "text", config)
+    store.add(documents, "text", config)
+    digests = documents.select("doc_id", F.sha2("text", 256).alias("digest"))
+    return digests.join(store.scanned(config), "digest").select("doc_id", F.when(F.col("run") == first, 1).otherwise(2).alias("run"), F.col("n_findings").alias("n"))
+
+
 @query(rf"""
 with v as (select doc_id, text, unnest(regexp_extract_all(text, '{SQL_EMAIL}')) as value from documents),
 firsts as (select doc_id, value, strpos(any_value(text), value) as p, count(*) as n from v group by doc_id, value)

@@ -9,31 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textwarden.functions.detectors import ScanConfig
-from textwarden.functions.normalization import find_all
+from textwarden.operators.inspection import hits_in_row, inspect
 from textwarden.operators.records import session_key
+from textwarden.operators.spans import merge_in_row
 
 LATE = "1 hour"
 
 
 def stream_scan(events: DataFrame, text: str, keys: list[str], config: ScanConfig | None = None) -> DataFrame:
-    """``keys, entity, start, end, score, label`` of the hits of each event; stateless."""
-    import pyarrow as pa
+    """``keys, entity, start, end, score, label, value_start, value_end``: the resolved findings of each event, without state or shuffle."""
+    hits = events.select(*keys, hits_in_row(F.col(text), config).alias("_hits"))
+    return hits.where(F.size("_hits") > 0).select(*keys, F.inline(merge_in_row(F.col("_hits"))))
 
-    config = config or ScanConfig()
 
-    def run(batches):
-        for batch in batches:
-            at, rows = [], []
-            for i, t in enumerate(batch.column(len(keys)).to_pylist()):
-                for hit in find_all(t or "", config):
-                    at.append(i)
-                    rows.append(hit)
-            taken = pa.array(at, pa.int64())
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(taken) for i in range(len(keys))] + [pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=[*keys, "entity", "start", "end", "score", "label"])
-
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in events.select(*keys).schema.fields] + ["entity string", "start int", "end int", "score double", "label string"])
-    return events.select(*keys, text).mapInArrow(run, schema)
+def stream_records(events: DataFrame, text: str, tools: DataFrame | None = None, modes: dict[str, str] | None = None, config: ScanConfig | None = None) -> DataFrame:
+    """A record for each event: what was found in it and what is done with it; see ``inspection.inspect``."""
+    return inspect(events, text, tools, modes, config).drop(text)
 
 
 def stream_ledger(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -71,12 +62,6 @@ def stream_duplicates(requests: DataFrame, within: str = "10 minutes") -> DataFr
     return a.join(b, (F.col("path") == F.col("_path")) & (F.col("digest") == F.col("_digest")) & (F.col("first_id") < F.col("request_id")) & during).drop("_path", "_digest")
 
 
-def stream_issued_runs(written: DataFrame, issued: DataFrame) -> DataFrame:
-    """Placeholders of a stream that were issued in their session: a stream-static join with the runs so far."""
-    runs = issued.select(F.col("session_id").alias("_session"), F.col("entity").alias("_entity"), "first", "last")
-    return written.join(runs, (F.col("session_id") == F.col("_session")) & (F.col("entity") == F.col("_entity")) & F.col("number").between(F.col("first"), F.col("last")), "left_semi")
-
-
 def run_once(df: DataFrame, name: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None) -> StreamingQuery:
     """Work through what there is and stop, into a memory table or a sink of batches."""
     writer = df.writeStream.outputMode(mode).trigger(availableNow=True)
