@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textwarden.operators.ranks import values_at
+
 #: Namespace of published finding ids (version 5 UUIDs), as hex.
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 EVIDENCE = 20
@@ -85,16 +87,15 @@ def session_summaries(events: DataFrame, idle_minutes: int = 30, until: str | No
     return shown.join(totals, ["session_id", "life", "_pos", "reason"], "left").select("session_id", "at", "reason", "n_records", "n_new", F.coalesce("totals", none).alias("totals"))
 
 
-def latency_stats(records: DataFrame, keys: list[str], value: str = "latency_ms") -> DataFrame:
+def latency_stats(records: DataFrame, keys: list[str], value: str = "latency_ms", most_sorted: int | None = None) -> DataFrame:
     """Exact median and 95th percentile (the element at rank 0.95 * (n - 1), half to even) of valid latencies.
 
-    Sorts each key's values; for one key over a whole fleet use ``percentile_approx``.
+    One key may hold all rows: see ``ranks.values_at``.
     """
     valid = records.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) >= 0) & (F.col(value) < float("inf")))
-    by = Window.partitionBy(*keys).orderBy(value)
-    ranked = valid.withColumn("_no", F.row_number().over(by)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    p95 = F.max(F.when(F.col("_no") == F.rint(0.95 * (F.col("_n") - 1)) + 1, F.col(value)))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.expr(f"percentile({value}, 0.5)").alias("median"), p95.alias("p95"))
+    n = F.col("n")
+    at = values_at(valid, keys, value, {"_lower": F.floor((n - 1) / 2), "_upper": F.floor(n / 2), "p95": F.rint(0.95 * (n - 1))}, most_sorted)
+    return at.select(*keys, "n", (F.col("_lower") * 0.5 + F.col("_upper") * 0.5).alias("median"), "p95")
 
 
 def ledger_by_day(records: DataFrame, ts: str = "ts") -> DataFrame:

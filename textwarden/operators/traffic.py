@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textwarden.operators.ranks import values_at
+
 from textwarden.functions.checks import is_json
 
 #: Paths of model requests.
@@ -131,15 +133,19 @@ def prefix_study(requests: DataFrame, session: list[str], order: list[str]) -> D
         .withColumn("_low", F.coalesce((F.col("cache_read") > 0) & (F.col("cache_read") * 10 < F.lag(total).over(by) * 9), F.lit(False)))
     )
     later = F.when(F.col("_no") > 1, F.col("cache_write"))
-    created = F.sort_array(F.collect_list(later))
-    return seen.groupBy(*session).agg(
+    by_session = seen.groupBy(*session).agg(
         F.count("*").alias("n_requests"),
         F.count_if(~F.col("_warm")).alias("n_cold"),
         (~F.max("_falls")).alias("reads_grow"),
         (~F.max("_low")).alias("reads_follow"),
         F.coalesce(F.sum(later), F.lit(0)).alias("created_after_first"),
-        F.get(created, F.floor(F.size(created) / 2).cast("int")).alias("median_created"),
     )
+    created = seen.select(*session, later.alias("_created")).where("_created is not null")
+    middle = values_at(created, session, "_created", {"median_created": F.floor(F.col("n") / 2)}).drop("n")
+    same = F.lit(True)
+    for k in session:
+        same &= F.col(f"s.{k}").eqNullSafe(F.col(f"m.{k}"))
+    return by_session.alias("s").join(middle.alias("m"), same, "left").select("s.*", "m.median_created")
 
 
 def attribute_tokens(sections: DataFrame, keys: list[str], total: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from textwarden.operators import policy, records
 from textwarden.plans.registry import query
-from textwarden.sources.tables import read_table
+from textwarden.sources import logs
+from textwarden.sources.tables import read_table, scratch_path
 
 #: Events of sessions in order, with the life of the session that each belongs to.
 LIVES_SQL = """
@@ -69,3 +70,17 @@ def refused_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("entity"), (F.col("o_orderkey") % 1300).alias("first"), F.lit(None).cast("long").alias("last"),
     )
     return policy.refusals(issues.unionByName(writes), 30 * 24 * 60)
+
+
+@query("""
+select (conv_id % 7)::varchar as project, (row_number() over (partition by conv_id % 7 order by conv_id, turn) - 1)::bigint as line_no, conv_id, turn from conversations
+""")
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as lines of one file a project and read again with their numbers, whatever splits they are read in."""
+    path = scratch_path(spark, "transcripts")
+    turns = read_table(spark, sf_dir, "conversations").select((F.col("conv_id") % 7).alias("project"), "conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("line"))
+    # A project's lines in order are one file.
+    turns.repartition("project").sortWithinPartitions("project", "conv_id", "turn").select("project", "line").write.partitionBy("project").text(path)
+    lines = logs.read_transcripts(spark, path, pattern="*.txt")
+    said = F.from_json("raw", "conv_id long, turn long")
+    return lines.select(F.regexp_extract("file", r"project=([0-9]+)/", 1).alias("project"), "line_no", said["conv_id"].alias("conv_id"), said["turn"].alias("turn"))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions.checks import is_json
@@ -22,17 +22,29 @@ RECORD = (
 EXCHANGE = "session_id string, seq bigint, started timestamp, ended timestamp, path string, model string, status int, auth_route string, request_bytes bigint, body string, response string, content_type string"
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str, since: str | None = None, pattern: str = "*.jsonl") -> DataFrame:
     """``session_id, file, is_subagent, line_no, raw``: the lines of ``<project>/<session>.jsonl`` and of their subagents.
 
-    Files are read whole, for text splits carry no line numbers; a session's
-    file fits one task. The id comes from the session's file or folder name.
+    Files are read in splits, so one file is spread over tasks. A line's number is its place in
+    its split and the lines of the splits before it, which a first pass counts: one row a split.
+    The id comes from the session's file or folder name. Files last changed before
+    ``since`` (yyyy-MM-dd) are not opened. A file that changes while it is read is an error.
     """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
-    name = F.regexp_replace("_metadata.file_path", r"^.*?([^/]+/[^/]+/subagents/[^/]+|[^/]+/[^/]+)$", "$1")
-    sub = F.contains("_metadata.file_path", F.lit("/subagents/"))
-    session = F.when(sub, F.regexp_extract("_metadata.file_path", r"([^/]+)/subagents/[^/]+$", 1)).otherwise(F.regexp_extract("_metadata.file_path", r"([^/]+)\.jsonl$", 1))
-    return files.select(session.alias("session_id"), name.alias("file"), sub.alias("is_subagent"), F.posexplode(F.split("value", "\n")).alias("line_no", "raw")).select("session_id", "file", "is_subagent", F.col("line_no").cast("bigint").alias("line_no"), "raw")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n")
+    if since is not None:
+        reader = reader.option("modifiedAfter", f"{since}T00:00:00")
+    at = ["_path", "_split"]
+    lines = reader.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy(*at).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    numbered = lines.join(splits, at, "left")
+    counted = F.when(F.col("_before").isNull(), F.raise_error(F.lit("a transcript changed while it was read")).cast("bigint")).otherwise(F.col("_before") + F.col("_id") - F.col("_first"))
+    file = F.col("_path")
+    name = F.regexp_replace(file, r"^.*?([^/]+/[^/]+/subagents/[^/]+|[^/]+/[^/]+)$", "$1")
+    sub = F.contains(file, F.lit("/subagents/"))
+    session = F.when(sub, F.regexp_extract(file, r"([^/]+)/subagents/[^/]+$", 1)).otherwise(F.regexp_extract(file, r"([^/]+)\.[^./]+$", 1))
+    return numbered.select(session.alias("session_id"), name.alias("file"), sub.alias("is_subagent"), counted.alias("line_no"), "raw")
 
 
 def write_ledger(records: DataFrame, path: str) -> None:
