@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textwarden.operators.ranks import values_at
-
 from textwarden.functions.checks import is_json
+from textwarden.functions.scans import let, running_sums
+from textwarden.operators.ranks import values_at
 
+#: Characters of a response's texts that are kept.
+MOST_CHARACTERS = 1_000_000
 #: Paths of model requests.
 MODEL_PATH = r"(?:messages|responses|completions)$"
 
@@ -207,3 +209,77 @@ def sse_texts(events: DataFrame, keys: list[str]) -> DataFrame:
     parts = events.where("json is not null").select(*keys, "seq", block.alias("block"), kind.alias("kind"), F.coalesce(text, thinking, tool).alias("part")).where("kind is not null")
     joined = parts.groupBy(*keys, "block", "kind").agg(F.array_sort(F.collect_list(F.struct("seq", "part"))).alias("parts"))
     return joined.select(*keys, "block", "kind", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text"))
+
+
+_EVENT = "struct<type:string,index:string,delta:struct<type:string,text:string,thinking:string,partial_json:string>>"
+
+
+def fold_responses(exchanges: DataFrame, most: int = MOST_CHARACTERS) -> DataFrame:
+    """``exchanges`` (``response, content_type``) with ``usage, usage_status, response_status, stop_reason, n_bad, blocks``.
+
+    Everything is in the row of the exchange: a streamed response is cut into frames, and the texts of its
+    deltas are put together by ``(kind, index)`` in ``blocks``, at most ``most`` characters in the order
+    of the stream. ``response_status`` is unavailable for other content or without a good frame, partial
+    with a bad frame, one that does not end, or texts that were cut, else known. ``usage_status`` is known with
+    input and output counts, partial with one of them, or if a frame was bad after the last
+    counts, else unavailable. A null response has no frames.
+    """
+    kind = F.lower(F.trim(F.split_part(F.coalesce("content_type", F.lit("")), F.lit(";"), F.lit(1))))
+    plain, supported = kind == "application/json", kind.isin("application/json", "text/event-stream")
+    whole = F.coalesce("response", F.lit(""))
+    frames = F.split(F.regexp_replace(whole, "\r\n", "\n"), "\n\n+")
+    data = lambda frame: F.array_join(F.transform(F.filter(F.split(frame, "\n"), lambda line: line.startswith("data:")), lambda line: F.regexp_replace(line, "^data: ?", "")), "\n")
+    # What stands after the last blank line is a frame that did not end.
+    ended = F.transform(F.slice(frames, F.lit(1), F.size(frames) - 1), data)
+    texts = F.when(plain, F.array(whole)).when(supported, F.filter(ended, lambda d: ~d.isin("", "[DONE]"))).otherwise(F.expr("cast(array() as array<string>)"))
+    open_end = supported & ~plain & (F.element_at(frames, -1) != "")
+    rows = exchanges.withColumns({"_docs": F.transform(texts, lambda d: F.struct(d.alias("json"), is_json(d).alias("good"))), "_open": open_end, "_supported": supported})
+    object_ = lambda x: x["good"] & x["json"].rlike(r"^\s*\{")
+    rows = rows.withColumn("_usages", F.transform("_docs", lambda x: F.struct((~x["good"]).alias("bad"), F.when(object_(x), usage_of(x["json"])).alias("u"), F.when(object_(x), stop_reason_of(x["json"])).alias("stop"))))
+
+    of = lambda name: F.filter(F.transform("_usages", lambda x: x["u"][name]), lambda v: v.isNotNull())
+    first = lambda name: F.coalesce(F.get(F.filter(of(name), lambda v: v > 0), F.lit(0)), F.array_max(of(name)))
+    usage = F.struct(first("input_tokens").alias("input_tokens"), F.array_max(of("output_tokens")).alias("output_tokens"), first("cache_write").alias("cache_write"), first("cache_read").alias("cache_read"), first("cache_write_1h").alias("cache_write_1h"))
+    # The last frame that is bad or has counts says whether the counts are to be relied on.
+    telling = F.filter("_usages", lambda x: x["bad"] | x["u"]["input_tokens"].isNotNull() | x["u"]["output_tokens"].isNotNull())
+    broken = F.col("_open") | F.coalesce(F.get(telling, F.size(telling) - 1)["bad"], F.lit(False))
+    n_bad, n_good = F.size(F.filter("_usages", lambda x: x["bad"])), F.size(F.filter("_docs", object_))
+
+    def delta(x: Column) -> Column:
+        e = F.from_json(x["json"], _EVENT)
+        name = F.when(e["delta"]["type"] == "text_delta", "text").when(e["delta"]["type"] == "thinking_delta", "thinking").when(e["delta"]["type"] == "input_json_delta", "partial_json")
+        text = F.when(name == "text", e["delta"]["text"]).when(name == "thinking", e["delta"]["thinking"]).when(name == "partial_json", e["delta"]["partial_json"])
+        return F.struct(name.alias("kind"), e["index"].alias("index"), text.alias("text"))
+
+    deltas = F.filter(F.transform(F.filter("_docs", lambda x: object_(x) & F.contains(x["json"], F.lit("content_block_delta"))), delta), lambda d: F.coalesce(F.length(d["text"]) > 0, F.lit(False)))
+    rows = rows.withColumn("_deltas", deltas)
+
+    def bounded(before: Column) -> Column:
+        return F.zip_with("_deltas", before, lambda d, at: F.struct(d["kind"].alias("kind"), d["index"].alias("index"), F.substring(d["text"], F.lit(1), F.greatest(F.lit(most) - at, F.lit(0))).alias("text")))
+
+    kept = F.filter(let(running_sums(F.transform("_deltas", lambda d: F.length(d["text"]))), bounded), lambda d: d["text"] != "")
+    total = F.aggregate("_deltas", F.lit(0), lambda n, d: n + F.length(d["text"]))
+    rows = rows.withColumns({"_kept": kept, "_capped": total >= most})
+    places = F.array_distinct(F.transform("_kept", lambda d: F.struct(d["kind"].alias("kind"), d["index"].alias("index"))))
+    joined = lambda p: F.array_join(F.transform(F.filter("_kept", lambda d: (d["kind"] == p["kind"]) & d["index"].eqNullSafe(p["index"])), lambda d: d["text"]), "")
+    blocks = F.transform(places, lambda p: F.struct(p["kind"].alias("kind"), p["index"].alias("index"), joined(p).alias("text")))
+    unframed = F.col("_open") | (n_bad > 0)
+    response_status = F.when(~F.col("_supported"), "unavailable").when(unframed, F.when(n_good > 0, "partial").otherwise("unavailable")).when(F.col("_capped"), "partial").otherwise("known")
+    rows = rows.withColumns({"usage": usage, "response_status": response_status, "n_bad": n_bad, "blocks": blocks, "_broken": broken, "stop_reason": F.get(F.filter(F.transform("_usages", lambda x: x["stop"]), lambda s: s.isNotNull()), F.lit(0))})
+    both, any_ = F.col("usage.input_tokens").isNotNull() & F.col("usage.output_tokens").isNotNull(), F.col("usage.input_tokens").isNotNull() | F.col("usage.output_tokens").isNotNull()
+    usage_status = F.when(~any_, "unavailable").when(~both | F.col("_broken"), "partial").otherwise("known")
+    return rows.withColumn("usage_status", usage_status).drop("_docs", "_open", "_supported", "_usages", "_deltas", "_kept", "_capped", "_broken")
+
+
+def spend_basis(usage: DataFrame, keys: list[str]) -> DataFrame:
+    """By key: dollars of priced exchanges, whose account they went to, and the models without a price.
+
+    ``usage``: ``model, cost`` (null if unpriced) and ``auth_route``. The basis is that of all priced
+    exchanges if they have one (api-key or subscription), mixed for several, unknown where one
+    says nothing or none is priced.
+    """
+    routes = F.collect_set(F.when(F.col("cost").isNotNull(), F.coalesce("auth_route", F.lit(""))))
+    basis = F.when((F.size("_routes") == 1) & F.get("_routes", F.lit(0)).isin("api-key", "subscription"), F.get("_routes", F.lit(0))).when((F.size("_routes") == 0) | F.array_contains("_routes", ""), "unknown").otherwise("mixed")
+    unpriced = F.array_sort(F.collect_set(F.when(F.col("cost").isNull() & (F.col("model") != ""), F.col("model"))))
+    grouped = usage.groupBy(*keys).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"), F.count("cost").alias("n_priced"), unpriced.alias("unpriced"), routes.alias("_routes"))
+    return grouped.withColumn("basis", basis).drop("_routes")
