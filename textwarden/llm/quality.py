@@ -144,7 +144,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray) -> Model:
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """Fit on at most MOST_LABELLED labelled ids outside the held-out third."""
+    """Fit on at most MOST_LABELLED labelled ids outside the held-out third, one text an id."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     by_id = usable.groupBy("doc_id").agg((F.avg(label) >= 0.5).alias("good"))
     sample = by_id.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
@@ -155,7 +155,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Mo
             ids = [x.tobytes() for x in feature_sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("good"), pa.array(ids, pa.binary())], names=["doc_id", "good", "ids"])
 
-    found = chosen.mapInArrow(run, "doc_id long, good boolean, ids binary").toArrow()
+    # Of rows with one id one text is learned from, so no more than the sampled ids come to the driver.
+    made = chosen.mapInArrow(run, "doc_id long, good boolean, ids binary")
+    found = made.groupBy("doc_id").agg(F.first("good").alias("good"), F.min("ids").alias("ids")).toArrow()
     rows = sorted(zip(found.column("doc_id").to_pylist(), found.column("ids").to_pylist(), found.column("good").to_pylist(), strict=True))
     return fit([np.frombuffer(ids, np.int32) for _, ids, _ in rows], np.array([y for _, _, y in rows], dtype=bool))
 
