@@ -1,7 +1,10 @@
 """Events inspected in their rows, in batch and stream, and texts scanned once over runs."""
 
 import random
+import re
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from textwarden.functions.detectors import ScanConfig
@@ -96,3 +99,21 @@ def test_findings_of_a_run_that_broke_off_do_not_count(spark, tmp_path, monkeypa
 
     lost.withColumns({"config": F.lit(fingerprint(None)), "run": F.lit("broken")}).write.mode("append").partitionBy("config", "run").parquet(f"{store.path}/findings")
     assert {r.digest for r in store.findings().collect()} == {r.digest for r in store.scanned().collect()}
+
+
+def _picky(piece, config):
+    if "boom" in piece:
+        raise RuntimeError("boom")
+    return [("WORD", m.start(), m.end(), 1.0, None) for m in re.finditer("zz", piece)]
+
+
+def test_a_piece_that_fails_makes_its_text_partial(spark):
+    line = "x1 zz " * 20_000 + "\n"
+    rows = [(1, "a1 zz"), (2, "boom zz 1"), (3, line + "boom 1\n" + line), (4, None), (1, "a1 zz"), (5, "none 1")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    found, status = scan.scan_checked(df, "text", ["id"], None, _picky)
+    counts = {r.id: r["count"] for r in found.groupBy("id").count().collect()}
+    assert set(counts) == {1, 3} and counts[1] == 2 and 0 < counts[3] < 40_000
+    assert sorted((r.id, r.partial, r.n_failed > 0) for r in status.collect()) == [(1, False, False), (1, False, False), (2, True, True), (3, True, True), (4, False, False), (5, False, False)]
+    with pytest.raises(Exception, match="boom"):
+        scan._find(ScanConfig(), _picky)(iter([pa.RecordBatch.from_pydict({"k": ["a"], "at": [0], "t": ["boom"]})])).__next__()

@@ -12,6 +12,7 @@ from textwarden.functions.detectors import ScanConfig, bare_numbers
 from textwarden.functions.normalization import find_all
 from textwarden.operators.spans import dedupe_spans, merge_spans
 from textwarden.operators.sweep import touching_none
+from textwarden.sources.tables import scratch_path
 
 #: Longer texts are cut into pieces, at a line's end or else with an overlap.
 PIECE_CHARS, OVERLAP = 100_000, 4_096
@@ -58,7 +59,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(offsets, pa.int32()), pa.array(pieces, pa.string())], names=["key", "at", "piece"])
 
 
-def _find(config: ScanConfig):
+#: The entity of a row that says that a piece could not be read to its end.
+FAILED = "_FAILED"
+
+
+def _find(config: ScanConfig, find=find_all, keep_failures: bool = False):
+    def of_piece(key: str, at: int, piece: str) -> list[tuple]:
+        try:
+            return [(key, e, at + a, at + b, score, label) for e, a, b, score, label in find(piece, config)]
+        except Exception:
+            if not keep_failures:
+                raise
+            return [(key, FAILED, at, at + len(piece), 0.0, None)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
         for batch in batches:
@@ -67,7 +80,7 @@ def _find(config: ScanConfig):
                 # Copies of a text within a task are not scanned again: findings are joined back by digest.
                 if (key, at) not in seen:
                     seen.add((key, at))
-                    rows += [(key, e, at + a, at + b, score, label) for e, a, b, score, label in find_all(piece, config)]
+                    rows += of_piece(key, at, piece)
             if len(seen) > MOST_SEEN:
                 seen.clear()
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string())
@@ -76,26 +89,51 @@ def _find(config: ScanConfig):
     return run
 
 
-def scan(df: DataFrame, text: str, keys: list[str], config: ScanConfig | None = None) -> DataFrame:
-    """``keys, entity, start, end, score, label, value_start, value_end`` of all resolved findings.
-
-    Texts are scanned where they are read, copies within a task once, and only
-    findings are shuffled: they are resolved by digest and joined back. Long texts
-    are cut into pieces that are dealt over tasks. Null texts have no findings.
-    """
-    config = config or ScanConfig()
+def _hits(df: DataFrame, text: str, keys: list[str], gate: Column, find_in) -> tuple[DataFrame, DataFrame]:
+    """Rows with a text to scan, as ``keys, _digest``, and the hits by digest."""
     rows = df.select(*keys, F.col(text).alias("_text"))
     cores = df.sparkSession.sparkContext.defaultParallelism
     if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES * cores:
         # A small input may come in fewer partitions than there are cores.
         rows = rows.repartition(cores)
-    gated = rows.where(may_hold(F.col("_text"), config)).select(*keys, F.sha2("_text", 256).alias("_digest"), "_text")
+    gated = rows.where(gate).select(*keys, F.sha2("_text", 256).alias("_digest"), "_text")
     texts = gated.select("_digest", F.col("_text").alias("text"))
     short = texts.where(F.length("text") <= PIECE_CHARS).select(F.col("_digest").alias("key"), F.lit(0).alias("at"), "text")
     long_ = texts.where(F.length("text") > PIECE_CHARS).groupBy("_digest").agg(F.first("text").alias("text")).mapInArrow(_cut, "key string, at int, piece string")
-    hits = short.union(long_.repartition("key", "at")).mapInArrow(_find(config), HITS)
+    return gated.select(*keys, "_digest"), short.union(long_.repartition("key", "at")).mapInArrow(find_in, HITS)
+
+
+def scan(df: DataFrame, text: str, keys: list[str], config: ScanConfig | None = None) -> DataFrame:
+    """``keys, entity, start, end, score, label, value_start, value_end`` of all resolved findings.
+
+    Texts are scanned where they are read, copies within a task once, and only
+    findings are shuffled: they are resolved by digest and joined back. Long texts
+    are cut into pieces that are dealt over tasks. Null texts have no findings.
+    """
+    config = config or ScanConfig()
+    gated, hits = _hits(df, text, keys, may_hold(F.col("_text"), config), _find(config))
     resolved = merge_spans(dedupe_spans(hits, ["key"]), ["key"]).withColumnRenamed("key", "_key")
-    return gated.select(*keys, "_digest").join(resolved, F.col("_digest") == F.col("_key")).drop("_digest", "_key")
+    return gated.join(resolved, F.col("_digest") == F.col("_key")).drop("_digest", "_key")
+
+
+def scan_checked(df: DataFrame, text: str, keys: list[str], config: ScanConfig | None = None, find=find_all) -> tuple[DataFrame, DataFrame]:
+    """The findings as ``scan`` gives them, and ``keys, n_failed, partial`` of every row.
+
+    A piece that the detector ``find(piece, config)`` fails on does not fail the scan: what the other pieces of
+    its text hold is reported, and the row is partial. Texts are read once for both results.
+    """
+    config = config or ScanConfig()
+    # Another detector may find something in any text.
+    gate = may_hold(F.col("_text"), config) if find is find_all else F.col("_text").isNotNull()
+    gated, hits = _hits(df, text, keys, gate, _find(config, find, keep_failures=True))
+    path = scratch_path(df.sparkSession, "scan")
+    hits.write.parquet(path)
+    kept = df.sparkSession.read.schema(hits.schema).parquet(path)
+    resolved = merge_spans(dedupe_spans(kept.where(F.col("entity") != FAILED), ["key"]), ["key"]).withColumnRenamed("key", "_key")
+    failed = kept.where(F.col("entity") == FAILED).select("key", "start").distinct().groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n_failed"))
+    status = df.select(*keys, F.sha2(F.col(text), 256).alias("_digest")).join(failed, F.col("_digest") == F.col("_key"), "left")
+    status = status.select(*keys, F.coalesce("n_failed", F.lit(0)).alias("n_failed"), F.col("n_failed").isNotNull().alias("partial"))
+    return gated.join(resolved, F.col("_digest") == F.col("_key")).drop("_digest", "_key"), status
 
 
 def count_by_entity(findings: DataFrame, by: list[str]) -> DataFrame:
