@@ -17,14 +17,38 @@ MARKERS = (
 )
 
 
+#: Any match of a marker holds one of these; finding a word is far cheaper than trying a pattern at each place.
+NEEDLES = {
+    "instruction_override": ("ignore", "disregard", "forget", "onceki", "yukaridaki"),
+    "role_reassignment": ("you are no", "act as a", "act as the", "artik sen", "bundan sonra sen"),
+    "system_impersonation": ("system", "sistem"),
+    "secrecy_request": ("do not ", "don't ", "never ", "kullanici"),
+    "hidden_text": ("\u200b", "\u200c", "\u2060", "\ufeff", "display", "font-size"),
+}
+#: Characters that no needle stands for.
+TAGS = "[\U000e0020-\U000e007e]"
+
+
 def fold(text: Column) -> Column:
     """Lower case with Turkish letters as their plain forms."""
-    return F.translate(F.lower(F.translate(text, "İI", "iI")), "ışğüöç", "isguoc")
+    folded = F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
+    for letter, plain in zip("ışğüöç", "isguoc", strict=True):
+        folded = F.replace(folded, F.lit(letter), F.lit(plain))
+    return folded
+
+
+def _seen(folded: Column, name: str, pattern: str) -> Column:
+    may = F.lit(False)
+    for needle in NEEDLES[name]:
+        may |= F.contains(folded, F.lit(needle))
+    if name == "hidden_text":
+        may |= folded.rlike(TAGS)
+    return may & folded.rlike(pattern)
 
 
 def detect_injection(text: Column) -> Column:
     """The markers seen in a text, in their fixed order."""
     # Within the lambda the folded text is one value, whatever number of patterns looks at it.
-    look = lambda folded: F.array_compact(F.array(*[F.when(folded.rlike(pattern), name) for name, pattern in MARKERS]))
+    look = lambda folded: F.array_compact(F.array(*[F.when(_seen(folded, name, pattern), name) for name, pattern in MARKERS]))
     seen = F.element_at(F.transform(F.array(fold(text)), look), 1)
     return F.when(F.coalesce(F.length(text), F.lit(0)) >= LEAST_CHARS, seen).otherwise(F.expr("cast(array() as array<string>)"))

@@ -151,7 +151,10 @@ def session_findings(records: DataFrame) -> DataFrame:
         )
     )
     hits = with_no.withColumn("rule", F.explode(rules))
-    found = hits.groupBy("session_id", "rule").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("occurrences"), F.slice(F.sort_array(F.collect_list("ordinal")), 1, EVIDENCE).alias("evidence"))
+    # Only the first are gathered, however many a session has.
+    nth = F.row_number().over(Window.partitionBy("session_id", "rule").orderBy("ordinal"))
+    hits = hits.withColumn("_first", F.when(nth <= EVIDENCE, F.col("ordinal")))
+    found = hits.groupBy("session_id", "rule").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("occurrences"), F.sort_array(F.collect_list("_first")).alias("evidence"))
     return found.withColumn("finding_id", finding_id(F.col("rule"), F.lit("session"), session_key(F.col("session_id"))))
 
 
