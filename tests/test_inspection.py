@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textwarden.functions.detectors import ScanConfig
-from textwarden.operators import inspection, scan, spans
+from textwarden.operators import inspection, payload, scan, spans
 from textwarden.operators.scan_store import FindingStore
 from textwarden.streaming import jobs
 
@@ -117,3 +117,12 @@ def test_a_piece_that_fails_makes_its_text_partial(spark):
     assert sorted((r.id, r.partial, r.n_failed > 0) for r in status.collect()) == [(1, False, False), (1, False, False), (2, True, True), (3, True, True), (4, False, False), (5, False, False)]
     with pytest.raises(Exception, match="boom"):
         scan._find(ScanConfig(), _picky)(iter([pa.RecordBatch.from_pydict({"k": ["a"], "at": [0], "t": ["boom"]})])).__next__()
+
+
+def test_payloads_that_cannot_be_rebuilt_are_withheld(spark):
+    df = spark.createDataFrame([(1, '{"a": "x", "b": 1}'), (2, '{"a": 1, "b": 2}'), (3, "no json"), (4, "no json"), (5, None)], "id int, body string")
+    changes = spark.createDataFrame([(1, ["a"], "<X>"), (2, ["#", "a"], "b"), (3, ["a"], "<X>")], "id int, path array<string>, text string")
+    got = {r.id: (r.body, r.why) for r in payload.replace_leaves(df, "body", changes, ["id"], "why").collect()}
+    assert got[1] == ('{"a":"<X>","b":1}', None) and got[4] == ("no json", None) and got[5] == (None, None)
+    assert got[3][0] is None and got[3][1] and got[2] == (None, "two keys become 'b'")
+    assert payload.replace_leaves(df, "body", changes, ["id"]).columns == ["id", "body"]

@@ -9,6 +9,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 MOST_DEPTH, MOST_LEAVES, MOST_CHARS = 64, 50_000, 1_000_000
 
@@ -83,26 +84,30 @@ def replaced(value: Any, changes: dict[tuple, str], path: tuple = ()) -> Any:
     return changes.get(path, value)
 
 
-def replace_leaves(df: DataFrame, payload: str, changes: DataFrame, keys: list[str]) -> DataFrame:
+def replace_leaves(df: DataFrame, payload: str, changes: DataFrame, keys: list[str], errors: str | None = None) -> DataFrame:
     """``df`` with payloads in which the leaves of ``changes`` (``keys, path, text``) are other text, as compact JSON.
 
-    A path that starts with ``#`` renames a key. Payloads without changes, and
-    those that are not JSON or in which two keys would become one, stay as they are.
+    A path that starts with ``#`` renames a key. Payloads without changes stay as they are. One
+    that has changes but is not JSON, or in which two keys would become one, is withheld (null), never
+    passed on unchanged; the column ``errors`` says why, if asked for.
     """
     columns = df.columns
     pairs = changes.groupBy(*keys).agg(F.collect_list(F.struct("path", "text")).alias("_changes"))
 
-    def one(text: str | None, given: list[dict] | None) -> str | None:
+    def one(text: str | None, given: list[dict] | None) -> tuple[str | None, str | None]:
         if text is None or not given:
-            return text
+            return text, None
         try:
-            return json.dumps(replaced(json.loads(text), {tuple(c["path"]): c["text"] for c in given}), ensure_ascii=False, separators=(",", ":"))
-        except (ValueError, RecursionError):
-            return text
+            return json.dumps(replaced(json.loads(text), {tuple(c["path"]): c["text"] for c in given}), ensure_ascii=False, separators=(",", ":")), None
+        except (ValueError, RecursionError) as why:
+            return None, str(why)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [one(t, c) for t, c in zip(batch.column(payload).to_pylist(), batch.column("_changes").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == payload else batch.column(c) for c in columns], names=columns)
+            done = [one(t, c) for t, c in zip(batch.column(payload).to_pylist(), batch.column("_changes").to_pylist(), strict=True)]
+            values = [pa.array([t for t, _ in done], pa.string()) if c == payload else batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*values, pa.array([e for _, e in done], pa.string())], names=[*columns, "_error"])
 
-    return df.join(pairs, keys, "left").select(*columns, "_changes").mapInArrow(run, df.schema)
+    schema = StructType([*df.schema.fields, StructField("_error", StringType())])
+    out = df.join(pairs, keys, "left").select(*columns, "_changes").mapInArrow(run, schema)
+    return out.drop("_error") if errors is None else out.withColumnRenamed("_error", errors)
