@@ -3,8 +3,10 @@
 import collections
 import math
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.data import components, empty, odd_documents
@@ -238,3 +240,28 @@ def test_rare_links_are_audited(spark, monkeypatch, most_audited, probes):
     assert [got[i][0] for i in range(900)] == (near.sum(axis=1) - 1).tolist() and set(got) == set(range(900))
     assert got[899] == (1, 17)
     assert report[24]["recall"] >= 0.9 and report[24]["probes"] == probes and report[24]["true_pairs"] >= 1
+
+
+def test_blocks_of_vectors_are_compared_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(10_000, 17))
+    x[:, :-1] /= np.linalg.norm(x[:, :-1], axis=1)[:, None]
+    x[:, -1] = 0
+    rows = pa.table({"id": pa.array(np.arange(len(x))), "vector": pa.array([r.tobytes() for r in x], pa.binary())})
+    limit = -math.acos(0.6)
+
+    class Sent:
+        value = (np.arange(4096), x[:4096])
+
+    tracemalloc.start()
+    audit = pa.Table.from_batches(neighbours._true_links(Sent, limit)(rows.combine_chunks().to_batches()))
+    lists = neighbours._start(rows.slice(0, 4096))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6
+    near = x[:4096, :-1] @ x[:, :-1].T
+    np.fill_diagonal(near[:, :4096], -9)
+    got = sorted(zip(audit.column("id").to_pylist(), audit.column("other").to_pylist(), strict=True))
+    assert got == [(a, b) for a, b in np.argwhere(near >= 0.6).tolist()] and got
+    for i in range(0, 4096, 500):
+        assert set(np.frombuffer(lists.column("others")[i].as_py(), np.int64).tolist()) == set(np.argsort(-near[i, :4096])[: neighbours.NEIGHBOURS].tolist())

@@ -52,12 +52,27 @@ NEIGHBOURS, BUCKET_ROWS, MOST_ROWS, TABLES, MORE_TABLES = 10, 1000, 4096, 8, 4
 LEAST_ROUNDS, MOST_ROUNDS, MOST_STALLED, AUDITED, RECALL = 2, 6, 3, 256, 0.98
 #: Balls with a link that the audit needs; balls that it compares with all others at most, and probes that it plants where these have too few links.
 LEAST_LINKED, MOST_AUDITED, PROBES = 50, 4096, 200
+#: Angles that a task works out at a time, of all between two blocks, which bounds its memory.
+MOST_ANGLES = 1 << 21
 #: Angles are compared with this slack, far above the error of double arithmetic at these angles.
 SLACK = 1e-6
 
 
 def _vectors(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+    """The rows of a binary column of one length, without nulls, as they lie in its buffer."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0))
+    _, offsets, data = column.buffers()
+    first, last = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[[column.offset, column.offset + len(column)]]
+    return np.frombuffer(data, np.uint8)[first:last].copy().view(np.float64).reshape(len(column), -1)
+
+
+def _slices(n: int, width: int) -> list[slice]:
+    """Slices of ``n`` rows that meet ``width`` others each."""
+    step = max(1, MOST_ANGLES // max(1, width))
+    return [slice(at, at + step) for at in range(0, n, step)]
 
 
 def _nearness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -93,7 +108,9 @@ def _leaders(limit: float):
         order = np.argsort(ids)
         ids, x = ids[order], x[order]
         centre = np.full(len(ids), -1)
-        near = x @ x.T >= limit
+        near = np.empty((len(ids), len(ids)), dtype=bool)
+        for part in _slices(len(ids), len(ids)):
+            near[part] = x[part] @ x.T >= limit
         for i in range(len(ids)):
             if centre[i] < 0:
                 centre[near[i] & (centre < 0)] = i
@@ -152,12 +169,14 @@ def _lists(ids: np.ndarray, capacity: np.ndarray, owner: np.ndarray, other: np.n
 def _start(table: pa.Table) -> pa.Table:
     """Nearest neighbours within a bucket."""
     ids, x = table.column("id").to_numpy(), _vectors(table.column("vector"))
-    c = _nearness(x, x)
-    np.fill_diagonal(c, -9)
     k = min(NEIGHBOURS, len(ids) - 1)
-    best = np.argpartition(-c, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(ids), 0), np.int64)
-    owner = np.repeat(np.arange(len(ids)), k)
-    return _lists(ids, np.full(len(ids), NEIGHBOURS), owner, ids[best.ravel()], c[owner, best.ravel()])
+    best, value = np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k))
+    for part in _slices(len(ids), len(ids)) if k > 0 else []:
+        c = -_nearness(x[part], x)
+        c[np.arange(len(c)), np.arange(part.start, part.start + len(c))] = 9
+        best[part] = np.argpartition(c, k - 1, axis=1)[:, :k]
+        value[part] = -np.take_along_axis(c, best[part], axis=1)
+    return _lists(ids, np.full(len(ids), NEIGHBOURS), np.repeat(np.arange(len(ids)), k), ids[best.ravel()], value.ravel())
 
 
 def _merge(limits: float):
@@ -231,7 +250,7 @@ def nearest(points: DataFrame, n: int, limit: float, scratch: Scratch, report: d
     real = points
     if probes is not None:
         points = scratch.keep(points.select("id", "vector").union(probes.select("id", "vector")))
-    units = max(1, n // 4000)
+    units = max(1, n // 1000)
     unit = F.expr(f"pmod(xxhash64(id), {units})")
     merged = lambda rows: scratch.keep(rows.withColumn("unit", unit).groupBy("unit").applyInArrow(_merge(limit), LISTS))
     start = lambda tables: _bucketed(points, tables, n, scratch, 1).groupBy("bucket", "salt").applyInArrow(_start, LISTS)
@@ -325,10 +344,12 @@ def _true_links(sent, limit: float):
     def run(batches):
         ids, x = sent.value
         for batch in batches:
-            a, b = np.nonzero(_nearness(x, _vectors(batch.column("vector"))) >= limit)
-            pairs = ids[a], batch.column("id").to_numpy()[b]
-            other = pairs[0] != pairs[1]
-            yield pa.RecordBatch.from_arrays([pa.array(p[other], pa.int64()) for p in pairs], names=["id", "other"])
+            y, others = _vectors(batch.column("vector")), batch.column("id").to_numpy()
+            for part in _slices(len(y), len(x)):
+                b, a = np.nonzero(_nearness(y[part], x) >= limit)
+                pairs = ids[a], others[part][b]
+                other = pairs[0] != pairs[1]
+                yield pa.RecordBatch.from_arrays([pa.array(p[other], pa.int64()) for p in pairs], names=["id", "other"])
 
     return run
 
@@ -349,15 +370,20 @@ def _among(reach: float):
             x, y = (_vectors(t.column("vector")) for t in (left, right))
             size_a, size_b = (t.column("size").to_numpy() for t in (left, right))
             dense_b = np.asarray(right.column("dense"))
-            edge = -_nearness(x, y)
-            spread = x[:, -1:] + y[None, :, -1]
-            other = a[:, None] != b[None, :]
-            whole = other & (edge + 2 * spread < reach - SLACK)
-            some = other & ~whole & (edge <= reach + SLACK) & (~dense_b[None, :] | (a[:, None] < b[None, :]))
-            out.append((a, a, "more", whole @ size_b))
+            whole, some = (np.empty((len(a), len(b)), dtype=bool) for _ in range(2))
+            count_a, count_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+            for part in _slices(len(a), len(b)):
+                edge = -_nearness(x[part], y)
+                spread = x[part, -1:] + y[None, :, -1]
+                other = a[part, None] != b[None, :]
+                whole[part] = other & (edge + 2 * spread < reach - SLACK)
+                some[part] = other & ~whole[part] & (edge <= reach + SLACK) & (~dense_b[None, :] | (a[part, None] < b[None, :]))
+                count_a[part] = whole[part] @ size_b
+                count_b += size_a[part] @ whole[part]
+            out.append((a, a, "more", count_a))
             # Links of dense balls with each other are counted from both sides.
             plain = ~dense_b
-            out.append((b[plain], b[plain], "more", size_a @ whole[:, plain]))
+            out.append((b[plain], b[plain], "more", count_b[plain]))
             i, j = np.nonzero(some)
             out.append((a[i], b[j], "some", np.zeros(len(i), np.int64)))
             open_ = whole.any(axis=1)
@@ -374,9 +400,9 @@ def _among(reach: float):
                 linked = np.concatenate([a[rows], b[columns]])
                 out.append((np.full(len(linked), first), linked, "link", np.zeros(len(linked), np.int64)))
                 open_ &= ~rows
-        kinds = [np.full(len(o[0]), o[2]) for o in out]
+        kinds = pa.chunked_array([pa.repeat(pa.scalar(o[2], pa.string()), len(o[0])) for o in out], pa.string())
         join = lambda k: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64)
-        return pa.table({"one": pa.array(join(0), pa.int64()), "two": pa.array(join(1), pa.int64()), "kind": pa.array(np.concatenate(kinds).tolist() if kinds else [], pa.string()), "more": pa.array(join(3), pa.int64())})
+        return pa.table({"one": pa.array(join(0), pa.int64()), "two": pa.array(join(1), pa.int64()), "kind": kinds, "more": pa.array(join(3), pa.int64())})
 
     return run
 
@@ -399,8 +425,14 @@ def among_dense(points: DataFrame, dense: DataFrame, groups: DataFrame, reach: f
 def _compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Links between members of two balls, one block of each: how many each member has."""
     a, b = left.column("id").to_numpy(), right.column("id").to_numpy()
-    near = _vectors(left.column("vector")) @ _vectors(right.column("vector")).T >= THRESHOLD if len(a) and len(b) else np.zeros((len(a), len(b)), dtype=bool)
-    counts = np.concatenate([near.sum(axis=1), near.sum(axis=0)])
+    links = [np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)]
+    if len(a) and len(b):
+        x, y = _vectors(left.column("vector")), _vectors(right.column("vector"))
+        for part in _slices(len(a), len(b)):
+            near = x[part] @ y.T >= THRESHOLD
+            links[0][part] = near.sum(axis=1)
+            links[1] += near.sum(axis=0)
+    counts = np.concatenate(links)
     ids = np.concatenate([a, b])
     one, two = key[0].as_py(), key[1].as_py()
     keep = counts > 0
