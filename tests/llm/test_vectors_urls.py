@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -78,6 +79,26 @@ def test_bounds_never_rule_out_a_result():
         assert got == [(-s, j) for s, j in want]
 
 
+@pytest.mark.parametrize("width", [0.0, 3.0])
+def test_a_lot_of_queries_is_searched_in_tiles(width):
+    """All queries of a lot at once, in a fraction of the time that they take one by one, ties and thresholds included."""
+    rng = np.random.default_rng(6)
+    x = np.floor(64 * (rng.normal(size=(4096, 64)) + width * np.sign(np.arange(4096) % 7 - 3)[:, None]))
+    x[3000:3100] = x[3000]
+    ids = rng.permutation(4096) * 10
+    dist, norms = topk.pivot_distances(x, topk.choose_pivots(x[:500])), (x**2).sum(axis=1)
+    at = np.concatenate([np.arange(0, 4000, 20), [3000, 3050]])
+    least = np.where(np.arange(len(at)) % 3 == 0, -np.inf, np.sort(x[at] @ x.T, axis=1)[:, -10])
+    began = time.process_time()
+    query, row, score = topk.best_of_tiles(x[at], norms[at], dist[at], ids[at], least, 20, ids, x, dist, norms)
+    tiled = time.process_time() - began
+    got = list(zip(query.tolist(), score.tolist(), row.tolist(), strict=True))
+    began = time.process_time()
+    want = [(n, s, v) for n, i in enumerate(at) for s, v in topk.best_in_block(x[i], norms[i], dist[i], ids[i], least[n], 20, ids, x, dist, norms)]
+    assert got == want and tiled < (time.process_time() - began) / 2
+    assert all(len(v) == 0 for v in topk.best_of_tiles(x[:0], norms[:0], dist[:0], ids[:0], least[:0], 20, ids, x, dist, norms))
+
+
 @pytest.mark.parametrize("most_rows", [4096, 32])
 def test_near_duplicate_vectors(spark, monkeypatch, most_rows):
     monkeypatch.setattr(neighbours, "MOST_ROWS", most_rows)

@@ -4,7 +4,9 @@ Vectors are floored to integers, ``floor(64 * x)``. For each row the distances
 to the pivots are kept; by the triangle inequality the largest difference
 between a query's and a row's distance to a pivot bounds their distance from
 below, and with both norms their inner product from above. Candidates are
-evaluated in the order of that bound, until it falls below the k-th best score.
+evaluated in the order of that bound, until it falls below the k-th best score:
+in tiles of rows that lie at like distances to the pivots, each for all queries
+at once whose bound it reaches; one by one where scores may exceed doubles.
 
 Rows are packed in blocks by their length and nearest pivot. A query first finds
 its k best in its own block, which gives a threshold; then the queries of a
@@ -33,6 +35,8 @@ from textwarden.llm.vectors import usable_vectors
 PIVOTS, PIVOT_SAMPLE, BLOCK_ROWS = 24, 1024, 4096
 #: Candidates that are evaluated between two looks at the bound.
 STEP = 256
+#: Scores that are worked out at a time.
+MOST_SCORES = 1 << 20
 #: Blocks of rows that share a key of the join of summaries, blocks of queries that meet a block of rows in one task.
 CELL_BLOCKS, LOT_BLOCKS = 4096, 64
 LONG = np.iinfo(np.int64)
@@ -96,6 +100,43 @@ def best_in_block(q: np.ndarray, q_norm: float, q_dist: np.ndarray, q_id: int, l
     return [(-s, i) for s, i in sorted(found)[:k]]
 
 
+def best_of_tiles(q: np.ndarray, q_norms: np.ndarray, q_dist: np.ndarray, q_ids: np.ndarray, least: np.ndarray, k: int, ids: np.ndarray, x: np.ndarray, dist: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query, id, score)`` of up to k rows of a block for each query, by its index, best first; as ``best_in_block``, of small values."""
+    least = least.copy()
+    order = np.lexsort((ids, dist[:, 0]))
+    tiles = np.split(order, np.arange(STEP, len(order), STEP))
+    # The bound of each query for each tile, from the ends of the tile's distances.
+    bounds = np.empty((len(tiles), len(q)))
+    for bound, tile in zip(bounds, tiles, strict=True):
+        lo, hi, norm = dist[tile].min(axis=0), dist[tile].max(axis=0), norms[tile].max()
+        apart = np.maximum(np.maximum(q_dist - hi, lo - q_dist), 0).max(axis=1)
+        bound[:] = (q_norms + norm - apart**2) / 2 + slack(q_norms + norm)
+    found = [np.zeros((3, 0), np.int64)]
+
+    def best() -> np.ndarray:
+        query, row, score = rows = np.concatenate(found, axis=1)
+        rows = rows[:, np.lexsort((row, -score, query))]
+        first = np.searchsorted(rows[0], np.arange(len(q)))
+        rows = rows[:, np.arange(rows.shape[1]) - first[rows[0]] < k]
+        full = np.bincount(rows[0], minlength=len(q)) == k
+        last = np.cumsum(np.bincount(rows[0], minlength=len(q)))[full] - 1
+        least[full] = np.maximum(least[full], rows[2, last])
+        return rows
+
+    held = 0
+    for t in np.argsort(-bounds.max(axis=1, initial=-np.inf), kind="stable"):
+        open_ = np.flatnonzero(bounds[t] >= least)
+        tile = tiles[t]
+        for part in np.split(open_, np.arange(MOST_SCORES // STEP, len(open_), MOST_SCORES // STEP)):
+            scores = q[part] @ x[tile].T
+            a, b = np.nonzero((scores >= least[part, None]) & (q_ids[part, None] != ids[None, tile]))
+            found.append(np.stack([part[a], ids[tile[b]], scores[a, b].astype(np.int64)]))
+            held += len(a)
+        if held > 2 * k * len(q):
+            found, held = [best()], 0
+    return tuple(best())
+
+
 def _is_small(x: np.ndarray) -> bool:
     """Whether products and their sums are exact in doubles, which are faster than integers."""
     top = float(np.abs(x.astype(float)).max(initial=0))
@@ -116,9 +157,15 @@ def _pack(pivots: np.ndarray, k: int, every: int):
         dist, norms = pivot_distances(x.astype(float), pivots), (x.astype(float) ** 2).sum(axis=1)
         q = ids % every == 0
         values, least = x.astype(np.float64) if _is_small(x) else x, []
-        for i in np.flatnonzero(q):
-            best = best_in_block(values[i], norms[i], dist[i], ids[i], -np.inf, k, ids, values, dist, norms)
-            least.append(_below(best[-1][0]) if len(best) == k else -np.inf)
+        if values is x:
+            for i in np.flatnonzero(q):
+                best = best_in_block(values[i], norms[i], dist[i], ids[i], -np.inf, k, ids, values, dist, norms)
+                least.append(_below(best[-1][0]) if len(best) == k else -np.inf)
+        else:
+            query, _, score = best_of_tiles(values[q], norms[q], dist[q], ids[q], np.full(q.sum(), -np.inf), k, ids, values, dist, norms)
+            n = np.bincount(query, minlength=q.sum())
+            least = np.full(len(n), -np.inf)
+            least[n == k] = score[np.cumsum(n)[n == k] - 1]
         ends = lambda d: ([None], [None]) if not len(d) else ([d.min(axis=0).tolist()], [d.max(axis=0).tolist()])
         (lo, hi), (q_lo, q_hi) = ends(dist), ends(dist[q])
         least = np.array(least, float)
@@ -133,7 +180,7 @@ def _pack(pivots: np.ndarray, k: int, every: int):
 
 def _search(k: int, n_pivots: int):
     def run(lots: pa.Table, block: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        out: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
         for r in block.to_pylist()[: 1 if lots.num_rows else 0]:
             ids = np.frombuffer(r["ids"], np.int64)
             x = np.frombuffer(r["vectors"], np.int64).reshape(len(ids), -1)
@@ -146,9 +193,14 @@ def _search(k: int, n_pivots: int):
                 # Both sides are small enough together if each is: the product of two is at most the larger's square.
                 values, q = (doubles, q.astype(np.float64)) if small and _is_small(q) else (x, q)
                 q_dist, q_norms, least = np.frombuffer(row["q_distances"], float).reshape(-1, n_pivots), np.frombuffer(row["q_norms"], float), np.frombuffer(row["q_least"], float)
-                for i, q_id in enumerate(q_ids.tolist()):
-                    out += [(q_id, v, s) for s, v in best_in_block(q[i], q_norms[i], q_dist[i], q_id, least[i], k, ids, values, dist, norms)]
-        return pa.table([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
+                if values is x:
+                    for i, q_id in enumerate(q_ids.tolist()):
+                        best = best_in_block(q[i], q_norms[i], q_dist[i], q_id, least[i], k, ids, values, dist, norms)
+                        out.append(np.array([(q_id, v, s) for s, v in best], np.int64).reshape(-1, 3).T)
+                else:
+                    query, row_id, score = best_of_tiles(q, q_norms, q_dist, q_ids, least, k, ids, values, dist, norms)
+                    out.append(np.stack([q_ids[query], row_id, score]))
+        return pa.table(list(np.concatenate(out, axis=1)), names=["query_id", "vec_id", "score"])
 
     return run
 
