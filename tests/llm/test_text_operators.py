@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.data import components, empty, odd_documents
 from textwarden.llm import mixing, ngram_join, packing, paragraphs, pii, quality, repeats
+from textwarden.llm import components as component_module
 from textwarden.llm.components import connected_components
 from textwarden.llm.scratch import Scratch
 from textwarden.llm.wordhash import ngram_sets
@@ -466,6 +467,21 @@ def test_connected_components(spark):
     assert got == {x: nodes[comp[i]] for i, x in enumerate(nodes)}
 
 
+@pytest.mark.parametrize("most_edges", [1, 5, 40, 1_000_000])
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch, most_edges):
+    """One task finishes what it can hold, and larger tables give the same by rounds."""
+    monkeypatch.setattr(component_module, "MOST_EDGES", most_edges)
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-60, 60, (60, 2))] + [(1000 - i, 1001 - i) for i in range(120)]
+    scratch = Scratch(spark, "t")
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(8), scratch).collect()}
+    nodes = sorted({x for e in edges if e[0] != e[1] for x in e})
+    at = {x: i for i, x in enumerate(nodes)}
+    comp = components(len(nodes), [(at[a], at[b]) for a, b in edges if a != b])
+    assert got == {x: nodes[comp[i]] for i, x in enumerate(nodes)}
+    assert (scratch.count == 2) == (most_edges > 1000)
+
+
 def test_paragraphs_link_through_rows_without_id(spark):
     words = [f"v{i}" for i in range(60)]
     cut = lambda i: " ".join(words[3 * i :] + [f"n{i}x{k}" for k in range(3 * i)]) + "."
