@@ -488,3 +488,34 @@ def test_paragraphs_link_through_rows_without_id(spark):
     rows = [(5, cut(0)), (None, cut(1)), (6, cut(2)), (7, " ".join(f"z{i}" for i in range(60)) + ".")]
     got = [r for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_words == 60]
     assert sorted((r.doc_id or 0, r.n_occurrences, r.first_doc_id) for r in got) == [(0, 3, 5), (5, 3, 5), (6, 3, 5)]
+
+
+def test_paragraphs_are_cut_where_documents_are_read(spark, monkeypatch):
+    """No text is dealt over tasks to be cut, and of repeated rows, with an id or not, a task hands on one text a paragraph."""
+    line = [f"v{i}" for i in range(60)]
+    texts = [" ".join(["\u00e9", *line[:k], "changed", *line[k + 1 :]]) + ".\nshort \u00fc line\n" + " ".join(f"{k}z{i}" for i in range(40)) for k in range(4)]
+    rows = [(7, texts[0])] * 20 + [(None, texts[1])] * 20 + [(8, texts[2]), (8, texts[3]), (9, None), (10, "")]
+    given, base = {}, paragraphs.verified_components
+
+    def verified(candidates, texts, *rest):
+        given.update(keys={r.key for r in candidates.collect()}, texts=texts.collect(), plan=texts._jdf.queryExecution().toString())
+        return base(candidates, texts, *rest)
+
+    monkeypatch.setattr(paragraphs, "verified_components", verified)
+    got = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    near = [r for r in got if r.n_words == 61]
+    assert len(near) == 42 and {(r.n_occurrences, r.first_doc_id) for r in near} == {(42, 7)} and sum(not r.removed for r in near) == 20
+    assert "Exchange" not in given["plan"]
+    assert len(given["keys"]) == 4 and sorted(r.key for r in given["texts"] if r.key in given["keys"]) == sorted(given["keys"])
+    assert {r.text for r in given["texts"] if r.key in given["keys"]} == {t.split("\n")[0] for t in texts}
+
+
+def test_passages_are_dealt_once_by_place(spark):
+    """Stretches are joined and grouped where they were dealt to, and covered words are summed where the document's rows are."""
+    from textwarden.llm.passages import repeated_passages
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i, 60))) for i in range(4)], "doc_id long, text string")
+    plan = repeated_passages(docs, Scratch(spark, "t"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
+    plan = paragraphs.repeated_paragraphs(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(row_id" not in plan
