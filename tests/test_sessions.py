@@ -156,6 +156,23 @@ def test_refusals_in_batch_and_stream(stateful, tmp_path):
     assert sorted(map(tuple, got), key=repr) == want
 
 
+def test_different_events_of_one_number_all_count(stateful, tmp_path):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    rows = [("a", at(0), 7, "issue", "EMAIL", low, low + 4) for low in (10, 20, 30)]
+    rows += [("a", at(0), 7, "issue", entity, 1, 1) for entity in ("PHONE", "SSN")]
+    rows += [("a", at(1), 8 + i, "write", e, n, None) for i, (e, n) in enumerate([("EMAIL", 12), ("EMAIL", 22), ("EMAIL", 32), ("EMAIL", 1), ("PHONE", 1), ("SSN", 1)])]
+    # A run that can't be read, beside one that can, and a write beside an issue.
+    rows += [("b", at(0), 1, "issue", "EMAIL", 5, 5), ("b", at(0), 1, "issue", None, None, 5), ("b", at(1), 2, "write", "EMAIL", 5, None), ("c", at(0), 1, "write", "EMAIL", 5, None), ("c", at(0), 1, "issue", "EMAIL", 5, 5)]
+    rows += rows[:2]
+    want = sorted([("a", 8 + i, at(1), e, n, v) for i, (e, n, v) in enumerate([("EMAIL", 12, "refused"), ("EMAIL", 22, "refused"), ("EMAIL", 32, "refused"), ("EMAIL", 1, "free"), ("PHONE", 1, "refused"), ("SSN", 1, "refused")])] + [("b", 2, at(1), "EMAIL", 5, "unchecked"), ("c", 1, at(0), "EMAIL", 5, "refused")], key=repr)
+    assert sorted(map(tuple, policy.refusals(stateful.createDataFrame(rows, RUNS)).collect()), key=repr) == want
+    n = len(rows)
+    stream = _files(stateful, tmp_path, [*rows, ("z", FAR, 999, "issue", "EMAIL", 1, 1)], RUNS, [range(0, n, 2), range(1, n, 2), [n]])
+    got = []
+    jobs.run_once(sessions.stream_refusals(stream), "", sink=lambda b, _: got.extend(b.collect()), checkpoint=str(tmp_path / "c")).awaitTermination()
+    assert sorted(map(tuple, got), key=repr) == want
+
+
 def test_runs_are_merged():
     rng = random.Random(8)
     borders, numbers = [], set()

@@ -97,12 +97,13 @@ def refusals(events: DataFrame, idle_minutes: int = 24 * 60) -> DataFrame:
     ``events``: ``session_id, ts, seq, kind`` (issue, write, session_end),
     ``entity, first, last``; a write has its number in ``first``. After a run that can't be
     read (a null, or an end before its start) the writes of the session are unchecked.
-    A session's end, or a pause longer than ``idle_minutes``, forgets its runs.
+    A session's end, or a pause longer than ``idle_minutes``, forgets its runs. Different events may share
+    ``ts`` and ``seq``: all count, in the order of kind, entity, first and last; only equal ones are one.
 
     Runs become blocks of aligned numbers, at most 30 a level, each with the moment that
     first covered it; a write looks its number up at each level. No join is on a range.
     """
-    lives = session_lives(events, idle_minutes).select("session_id", "life", "_pos", "ts", "seq", "kind", "entity", "first", "last")
+    lives = session_lives(events, idle_minutes, ("kind", "entity", "first", "last")).select("session_id", "life", "_pos", "ts", "seq", "kind", "entity", "first", "last")
     issues = lives.where("kind = 'issue'")
     readable = F.coalesce(F.col("entity").isNotNull() & (F.col("first") <= F.col("last")), F.lit(False))
     place = F.flatten(F.array(*[F.transform(_blocks_of_run(level), _at_level(level)) for level in range(LEVELS)]))

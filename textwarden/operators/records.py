@@ -32,14 +32,15 @@ def session_summary(records: DataFrame) -> DataFrame:
     return rows.groupBy("session_id", "done", "model_output", "entity").agg(F.sum("n").alias("n"))
 
 
-def session_lives(events: DataFrame, idle_minutes: int) -> DataFrame:
+def session_lives(events: DataFrame, idle_minutes: int, same: tuple[str, ...] = ()) -> DataFrame:
     """``events`` (``session_id, ts, seq, kind``) with ``life``: a session's events up to its end, or up to a pause longer than ``idle_minutes``.
 
     ``_pos`` is the place in the session, ``_end`` tells an end, ``_over`` the last event before a pause or the
-    end of the data. An event that is repeated (same ``ts`` and ``seq``) counts once, one without session or time not at all.
+    end of the data. An event that is repeated (same ``ts``, ``seq`` and columns ``same``) counts once, one without session or time not at all.
+    Different events of one ``ts`` and ``seq`` come in the order of those columns, nulls first.
     """
-    once = events.where("session_id is not null and ts is not null").withColumn("seq", F.coalesce("seq", F.lit(0))).dropDuplicates(["session_id", "ts", "seq"])
-    by = Window.partitionBy("session_id").orderBy("ts", "seq")
+    once = events.where("session_id is not null and ts is not null").withColumn("seq", F.coalesce("seq", F.lit(0))).dropDuplicates(["session_id", "ts", "seq", *same])
+    by = Window.partitionBy("session_id").orderBy("ts", "seq", *same)
     pause = F.expr(f"interval {idle_minutes} minutes")
     kept = once.withColumns(
         {

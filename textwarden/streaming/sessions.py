@@ -36,15 +36,17 @@ def use_state_store(spark: SparkSession) -> None:
 class InOrder(StatefulProcessor):
     """Hands the events of a key on in the order of ``(ts, seq)``, once the watermark has passed them.
 
-    Moments are microseconds. A repeated event (same ``ts`` and ``seq``) counts once.
+    Moments are microseconds. A repeated event (same ``ts``, ``seq`` and columns ``SAME``) counts once;
+    different ones of one ``ts`` and ``seq`` come in the order of those columns, nulls first.
     """
 
-    #: Columns of a waiting event besides its moment and sequence number.
-    WAITING = ""
+    #: Columns of a waiting event besides its moment and sequence number, and of those the first few that tell events apart.
+    WAITING, SAME = "", 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint, seq bigint", self.WAITING)
+        columns = ["at bigint", "seq bigint", *self.WAITING.split(", ")[: self.SAME]]
+        self.waiting = handle.getMapState("waiting", ", ".join(columns), self.WAITING)
         self.timer = handle.getValueState("timer", "wake bigint")
 
     def start(self) -> None:
@@ -71,7 +73,8 @@ class InOrder(StatefulProcessor):
             at = row.micros
             if at is None:
                 continue
-            self.waiting.updateValue((at, row.seq or 0), self.packed(row))
+            value = self.packed(row)
+            self.waiting.updateValue((at, row.seq or 0, *value[: self.SAME]), value)
             earliest = at if earliest is None else min(earliest, at)
         if earliest is not None:
             self._wake(earliest)
@@ -93,15 +96,16 @@ class InOrder(StatefulProcessor):
         ready, later = [], None
         for moment, value in self.waiting.iterator():
             if moment[0] <= watermark:
-                ready.append((moment[0], moment[1], tuple(value)))
+                ready.append((tuple(moment), tuple(value)))
             else:
                 later = moment[0] if later is None else min(later, moment[0])
-        for at, seq, value in sorted(ready, key=lambda e: e[:2]):
+        for moment, value in sorted(ready, key=lambda e: [(x is not None, x) for x in e[0]]):
+            at, seq = moment[:2]
             over = self.quiet_from()
             if over is not None and at > over:
                 yield from self.quiet(key)
             yield from self.event(key, at, seq, value)
-            self.waiting.removeKey((at, seq))
+            self.waiting.removeKey(moment)
         over = self.quiet_from()
         if over is not None and over <= watermark and (later is None or later > over):
             yield from self.quiet(key)
@@ -188,7 +192,7 @@ def stream_summaries(events: DataFrame, idle_minutes: int = 30, late: str = LATE
 class Issued(InOrder):
     """State of ``stream_refusals``: blocks of numbers, each with its runs merged, and whether a run could not be read."""
 
-    WAITING = "kind string, entity string, first bigint, last bigint"
+    WAITING, SAME = "kind string, entity string, first bigint, last bigint", 4
 
     def __init__(self, idle_micros: int):
         self.idle = idle_micros
@@ -263,7 +267,8 @@ def stream_refusals(events: DataFrame, idle_minutes: int = 24 * 60, late: str =
     ``events``: ``session_id, ts, seq, kind`` (issue, write, session_end),
     ``entity, first, last``; a write has its number in ``first``. After a run that can't be
     read (a null, or an end before its start) the session's writes are unchecked,
-    which a caller refuses too. Rows as ``policy.refusals`` gives them.
+    which a caller refuses too. Different events of one ``ts`` and ``seq`` all count. Rows as
+    ``policy.refusals`` gives them.
     """
     processor = Issued(idle_minutes * 60 * 1_000_000)
     return _per_session(events, processor, REFUSAL, late)
