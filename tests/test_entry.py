@@ -47,6 +47,21 @@ def test_query(spark, sql, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
 
 
+#: Orders whose MD5 has digits only (6637317 and 1518375), and keys of more than six digits.
+LARGE_KEYS = [6637317, 1518375, 5, 6, 7, 8, 999998, 999999, 1000000, 1000001, 1234566, 10000000]
+
+
+@pytest.mark.parametrize("name", ["detect_attribute_secret"])
+def test_large_keys(spark, sql, tmp_path, name):
+    columns = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    rows = [(k, k % 97, "F", 1.0, dt.datetime(2024, 1, 1), "5-LOW") for k in LARGE_KEYS]
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {tuple(r) for r in catalogue.queries()[name](spark, str(tmp_path)).select("o_orderkey", "entity", "value").collect()}
+    con = sql.cursor()
+    con.sql(f"create temp view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == set(con.sql(catalogue.oracle_sql()[name]).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
