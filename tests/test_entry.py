@@ -51,7 +51,7 @@ def test_query(spark, sql, name):
 LARGE_KEYS = [6637317, 1518375, 5, 6, 7, 8, 999998, 999999, 1000000, 1000001, 1234566, 10000000]
 
 
-@pytest.mark.parametrize("name", ["detect_attribute_secret", "detect_env_fallback", "skip_own_placeholders"])
+@pytest.mark.parametrize("name", ["detect_attribute_secret", "detect_env_fallback", "skip_own_placeholders", "detect_custom"])
 def test_large_keys(spark, sql, tmp_path, name):
     columns = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
     rows = [(k, k % 97, "F", 1.0, dt.datetime(2024, 1, 1), "5-LOW") for k in LARGE_KEYS]

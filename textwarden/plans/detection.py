@@ -52,7 +52,7 @@ CASES = {
     "detect_db_uri": ("DB_URI", f"'dsn postgres://app:' || {HASH} || '@db.internal:5432/x'", f"'app:' || {HASH}", "true"),
     "detect_encoded_secret": ("SECRET", f"'blob ' || base64('token=\"' || substr({HASH}, 1, 24) || '\"') || ' end'", f"base64('token=\"' || substr({HASH}, 1, 24) || '\"')", f"length(translate(substr({HASH}, 1, 24), '0123456789', '')) > 0"),
     "detect_basic_auth": ("SECRET", f"'_auth = ' || base64('user:' || substr({HASH}, 1, 13))", f"base64('user:' || substr({HASH}, 1, 13))", "true"),
-    "detect_custom": ("CUSTOM", "'see TCK-' || lpad(cast(o_orderkey as string), 6 + cast(o_orderkey % 2 as int), '0') || ' and more'", "'TCK-' || lpad(cast(o_orderkey as string), 6, '0')", "o_orderkey % 2 = 0 and o_orderkey < 1000000"),
+    "detect_custom": ("CUSTOM", "'see TCK-' || lpad(cast(o_orderkey as string), greatest(6 + cast(o_orderkey % 2 as int), length(cast(o_orderkey as string))), '0') || ' and more'", "'TCK-' || lpad(cast(o_orderkey as string), 6, '0')", "o_orderkey % 2 = 0 and o_orderkey < 1000000"),
     "detect_written_email": ("EMAIL", "'mail john' || cast(o_orderkey as string) || ' [at] example.com today'", "'john' || cast(o_orderkey as string) || ' [at] example.com'", "true"),
     "detect_ipv6": ("IP_ADDRESS", f"'via 2001:db8::' || substr({HASH}, 1, 4) || ' out'", f"'2001:db8::' || substr({HASH}, 1, 4)", "true"),
     "skip_own_placeholders": ("SECRET", f"case o_orderkey % 2 when 0 then 'password = \"<SECRET_' || cast(o_orderkey % 9 + 1 as string) || '>\"' else 'password = \"' || {HASH} || '\"' end", HASH, "o_orderkey % 2 = 1"),
