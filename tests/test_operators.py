@@ -188,3 +188,31 @@ def test_only_whole_tokens_are_counted(spark, tmp_path):
     assert rows(queries["secret_assignments"](spark, str(tmp_path)), "doc_id", "n") == [(0, 2), (4, 1)]
     found = queries["audit_rollup"](spark, str(tmp_path)).where("project is not null")
     assert rows(found, "project", "entity", "n") == [("src0", "SECRET", 2), ("src4", "SECRET", 1)]
+
+
+def test_small_tables_are_dealt_over_all_cores(spark, tmp_path):
+    """One file of orders is one partition, whose responses one core used to fold."""
+    from textwarden.plans import catalogue
+
+    orders = [(i, i * 7, "F", 1.0, dt.datetime(2024, 1, 1), "5-LOW") for i in range(60)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    folded = catalogue.queries()["folded_responses"](spark, str(tmp_path))
+    assert folded.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and folded.count() == 60
+
+
+def test_folding_reads_each_place_of_counts(spark):
+    frames = [
+        {"usage": "none", "message": {"usage": {"prompt_tokens": "7", "input_tokens": -1, "prompt_tokens_details": {"cached_tokens": 2}}}},
+        {"usage": {"output_tokens": 3, "cache_creation": {"ephemeral_1h_input_tokens": 9}, "cache_creation_input_tokens": 4}, "response": {"usage": {"output_tokens": 99}, "incomplete_details": {"reason": "length"}}},
+        {"choices": [{"finish_reason": ""}, 5], "type": "content_block_delta", "index": 1, "delta": {"type": "text_delta", "text": "abc", "stop_reason": None}},
+        {"choices": 1, "type": "content_block_delta", "index": 1, "delta": {"type": "text_delta", "text": "de"}},
+        [{"usage": {"output_tokens": 1000}}],
+    ]
+    stream = "".join(f"data: {json.dumps(f)}\n\n" for f in frames)
+    df = spark.createDataFrame([(1, stream, "text/event-stream"), (2, json.dumps(frames[1]), "application/json"), (3, None, "text/event-stream")], "id int, response string, content_type string")
+    for most, text, status in ((9, "abcde", "known"), (5, "abcde", "partial"), (4, "abcd", "partial")):
+        got = {r.id: r for r in traffic.fold_responses(df, most).collect()}
+        assert tuple(got[1].usage) == (5, 3, 4, 2, 4) and got[1].usage_status == "known" and got[1].stop_reason == "length"
+        assert [tuple(b) for b in got[1].blocks] == [("text", "1", text)] and (got[1].response_status, got[1].n_bad) == (status, 0)
+        assert tuple(got[2].usage) == (None, 3, 4, None, 4) and got[2].usage_status == "partial" and got[2].stop_reason == "length"
+        assert tuple(got[3].usage) == (None,) * 5 and got[3].usage_status == "unavailable" and got[3].blocks == []

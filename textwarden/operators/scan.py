@@ -12,12 +12,10 @@ from textwarden.functions.detectors import ScanConfig, bare_numbers
 from textwarden.functions.normalization import find_all
 from textwarden.operators.spans import dedupe_spans, merge_spans
 from textwarden.operators.sweep import touching_none
-from textwarden.sources.tables import scratch_path
+from textwarden.sources.tables import over_cores, scratch_path
 
 #: Longer texts are cut into pieces, at a line's end or else with an overlap.
 PIECE_CHARS, OVERLAP = 100_000, 4_096
-#: Bytes for each core below which an input is dealt over all cores first.
-SMALL_BYTES = 16_000_000
 #: Digests of texts that a task remembers.
 MOST_SEEN = 200_000
 
@@ -91,11 +89,7 @@ def _find(config: ScanConfig, find=find_all, keep_failures: bool = False):
 
 def _hits(df: DataFrame, text: str, keys: list[str], gate: Column, find_in) -> tuple[DataFrame, DataFrame]:
     """Rows with a text to scan, as ``keys, _digest``, and the hits by digest."""
-    rows = df.select(*keys, F.col(text).alias("_text"))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES * cores:
-        # A small input may come in fewer partitions than there are cores.
-        rows = rows.repartition(cores)
+    rows = over_cores(df.select(*keys, F.col(text).alias("_text")), df)
     gated = rows.where(gate).select(*keys, F.sha2("_text", 256).alias("_digest"), "_text")
     texts = gated.select("_digest", F.col("_text").alias("text"))
     short = texts.where(F.length("text") <= PIECE_CHARS).select(F.col("_digest").alias("key"), F.lit(0).alias("at"), "text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,31 +21,49 @@ def model_exchanges(exchanges: DataFrame) -> DataFrame:
     return exchanges.where(F.col("path").rlike(MODEL_PATH))
 
 
-def _count(json: Column, *paths: str) -> Column:
-    """The first non-negative integer at one of the paths."""
-    texts = [F.get_json_object(json, p) for p in paths]
-    return F.coalesce(*[F.when(t.rlike("^[0-9]{1,18}$"), t.cast("bigint")) for t in texts])
+#: Where counts of tokens stand: at the top, in ``message`` or in ``response``.
+ROOTS = ("", "message.", "response.")
 
 
-def usage_of(json: Column) -> Column:
-    """Token counts of a response or event: two naming schemes, at the top, in ``message`` or in ``response``."""
+def _counts(read: Callable[[str], Column]) -> dict[str, Column]:
+    """What one object of counts says, by name: the first non-negative integer of those that mean the same."""
+
+    def first(*names: str) -> Column:
+        return F.coalesce(*[F.when(t.rlike("^[0-9]{1,18}$"), t.cast("bigint")) for t in map(read, names)])
+
+    return {
+        "inputs": first("input_tokens", "prompt_tokens"),
+        "outputs": first("output_tokens", "completion_tokens"),
+        "write": first("cache_creation_input_tokens"),
+        "hour": first("cache_creation.ephemeral_1h_input_tokens"),
+        "read": first("cache_read_input_tokens"),
+        "cached": first("input_tokens_details.cached_tokens", "prompt_tokens_details.cached_tokens"),
+    }
 
-    def at(*names: str) -> Column:
-        return _count(json, *[f"$.{root}usage.{n}" for root in ("", "message.", "response.") for n in names])
 
-    cached = at("input_tokens_details.cached_tokens", "prompt_tokens_details.cached_tokens")
-    inputs = at("input_tokens", "prompt_tokens") - F.coalesce(cached, F.lit(0))
-    write = at("cache_creation_input_tokens")
-    hour = at("cache_creation.ephemeral_1h_input_tokens")
+def _usage(of: Callable[[str], Column]) -> Column:
     return F.struct(
-        inputs.alias("input_tokens"),
-        at("output_tokens", "completion_tokens").alias("output_tokens"),
-        write.alias("cache_write"),
-        F.coalesce(at("cache_read_input_tokens"), cached).alias("cache_read"),
-        F.least(hour, write).alias("cache_write_1h"),
+        (of("inputs") - F.coalesce(of("cached"), F.lit(0))).alias("input_tokens"),
+        of("outputs").alias("output_tokens"),
+        of("write").alias("cache_write"),
+        F.coalesce(of("read"), of("cached")).alias("cache_read"),
+        F.least(of("hour"), of("write")).alias("cache_write_1h"),
     )
 
 
+def usage_of(json: Column) -> Column:
+    """Token counts of a response or event: two naming schemes, at the top, in ``message`` or in ``response``."""
+    counts = [_counts(lambda name, root=root: F.get_json_object(json, f"$.{root}usage.{name}")) for root in ROOTS]
+    return _usage(lambda name: F.coalesce(*[c[name] for c in counts]))
+
+
+def _field(value: Column, path: str) -> Column:
+    """A field of a parsed value by its path; ``[0]`` behind a name is the first element."""
+    for step in path.split("."):
+        value = F.get(value[step.removesuffix("[0]")], F.lit(0)) if step.endswith("[0]") else value[step]
+    return value
+
+
 def sse_events(exchanges: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, seq, json``: the events of streamed responses; ``json`` is null where a frame is not JSON."""
     frames = F.split(F.regexp_replace("response", "\r\n", "\n"), "\n\n")
@@ -68,11 +88,16 @@ def usage_totals(usage: DataFrame, keys: list[str]) -> DataFrame:
     return usage.groupBy(*keys).agg(*sums, F.round(F.sum("cache_read") / F.sum(prompt), 6).alias("read_share"))
 
 
+REASONS = ("stop_reason", "delta.stop_reason", "choices[0].finish_reason", "response.incomplete_details.reason", "message.stop_reason")
+
+
+def _stop_reason(found: Column) -> Column:
+    return F.when((F.length(found) > 40) | found.rlike(r"[^\x20-\x7E]"), "unknown").otherwise(found)
+
+
 def stop_reason_of(json: Column) -> Column:
     """The first reason of five places that is not empty; long or unprintable ones are unknown."""
-    places = ("$.stop_reason", "$.delta.stop_reason", "$.choices[0].finish_reason", "$.response.incomplete_details.reason", "$.message.stop_reason")
-    found = F.coalesce(*[F.nullif(F.get_json_object(json, p), F.lit("")) for p in places])
-    return F.when((F.length(found) > 40) | found.rlike(r"[^\x20-\x7E]"), "unknown").otherwise(found)
+    return _stop_reason(F.coalesce(*[F.nullif(F.get_json_object(json, f"$.{p}"), F.lit("")) for p in REASONS]))
 
 
 def model_id(model: Column) -> Column:
@@ -211,7 +236,15 @@ def sse_texts(events: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*keys, "block", "kind", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text"))
 
 
-_EVENT = "struct<type:string,index:string,delta:struct<type:string,text:string,thinking:string,partial_json:string>>"
+_COUNTS = (
+    "struct<input_tokens:string,prompt_tokens:string,output_tokens:string,completion_tokens:string,cache_creation_input_tokens:string,cache_read_input_tokens:string,"
+    "input_tokens_details:struct<cached_tokens:string>,prompt_tokens_details:struct<cached_tokens:string>,cache_creation:struct<ephemeral_1h_input_tokens:string>>"
+)
+#: All that is read of an event or response.
+_EVENT = (
+    f"struct<type:string,index:string,delta:struct<type:string,text:string,thinking:string,partial_json:string,stop_reason:string>,usage:{_COUNTS},stop_reason:string,"
+    f"choices:array<struct<finish_reason:string>>,message:struct<usage:{_COUNTS},stop_reason:string>,response:struct<usage:{_COUNTS},incomplete_details:struct<reason:string>>>"
+)
 
 
 def fold_responses(exchanges: DataFrame, most: int = MOST_CHARACTERS) -> DataFrame:
@@ -222,53 +255,71 @@ def fold_responses(exchanges: DataFrame, most: int = MOST_CHARACTERS) -> DataFra
     of the stream. ``response_status`` is unavailable for other content or without a good frame, partial
     with a bad frame, one that does not end, or texts that were cut, else known. ``usage_status`` is known with
     input and output counts, partial with one of them, or if a frame was bad after the last
-    counts, else unavailable. A null response has no frames.
+    counts, else unavailable. A null response has no frames. Each frame is parsed once; of a key
+    that it repeats the last counts.
     """
     kind = F.lower(F.trim(F.split_part(F.coalesce("content_type", F.lit("")), F.lit(";"), F.lit(1))))
     plain, supported = kind == "application/json", kind.isin("application/json", "text/event-stream")
-    whole = F.coalesce("response", F.lit(""))
-    frames = F.split(F.regexp_replace(whole, "\r\n", "\n"), "\n\n+")
+    whole, frames = F.coalesce("response", F.lit("")), F.col("_frames")
+    exchanges = exchanges.withColumn("_frames", F.split(F.regexp_replace(whole, "\r\n", "\n"), "\n\n+"))
     data = lambda frame: F.array_join(F.transform(F.filter(F.split(frame, "\n"), lambda line: line.startswith("data:")), lambda line: F.regexp_replace(line, "^data: ?", "")), "\n")
     # What stands after the last blank line is a frame that did not end.
     ended = F.transform(F.slice(frames, F.lit(1), F.size(frames) - 1), data)
     texts = F.when(plain, F.array(whole)).when(supported, F.filter(ended, lambda d: ~d.isin("", "[DONE]"))).otherwise(F.expr("cast(array() as array<string>)"))
     open_end = supported & ~plain & (F.element_at(frames, -1) != "")
-    rows = exchanges.withColumns({"_docs": F.transform(texts, lambda d: F.struct(d.alias("json"), is_json(d).alias("good"))), "_open": open_end, "_supported": supported})
-    object_ = lambda x: x["good"] & x["json"].rlike(r"^\s*\{")
-    rows = rows.withColumn("_usages", F.transform("_docs", lambda x: F.struct((~x["good"]).alias("bad"), F.when(object_(x), usage_of(x["json"])).alias("u"), F.when(object_(x), stop_reason_of(x["json"])).alias("stop"))))
-
-    of = lambda name: F.filter(F.transform("_usages", lambda x: x["u"][name]), lambda v: v.isNotNull())
+    judged = F.transform(texts, lambda d: F.struct(d.alias("json"), is_json(d).alias("good")))
+    told = F.transform(judged, lambda x: F.struct(x["json"].alias("json"), x["good"].alias("good"), (x["good"] & x["json"].rlike(r"^\s*\{")).alias("object")))
+    # A frame is parsed once; the steps after it each take from the one before, so that nothing is evaluated twice.
+    parsed = F.transform(told, lambda x: F.struct(x["good"].alias("good"), x["object"].alias("object"), F.contains(x["json"], F.lit("content_block_delta")).alias("said"), F.when(x["object"], F.from_json(x["json"], _EVENT)).alias("e")))
+
+    def read(x: Column) -> Column:
+        e = x["e"]
+        usages = F.filter(F.array(*[_field(e, f"{root}usage") for root in ROOTS]), lambda u: u.isNotNull())
+        reasons = F.filter(F.array(*[_field(e, p) for p in REASONS]), lambda r: r != "")
+        return F.struct(
+            x["good"].alias("good"), x["object"].alias("object"), F.get(reasons, F.lit(0)).alias("reason"), F.when(x["said"], e["delta"]).alias("delta"), e["index"].alias("index"),
+            F.transform(usages, lambda u: F.struct(*[c.alias(name) for name, c in _counts(lambda p: _field(u, p)).items()])).alias("counts"),
+        )
+
+    def said(x: Column) -> Column:
+        at = lambda name: F.coalesce(*[F.get(x["counts"], F.lit(i))[name] for i in range(len(ROOTS))])
+        u = F.when(F.size(x["counts"]) > 0, _usage(at))
+        d = x["delta"]
+        name = F.when(d["type"] == "text_delta", "text").when(d["type"] == "thinking_delta", "thinking").when(d["type"] == "input_json_delta", "partial_json")
+        text = F.when(d["type"] == "text_delta", d["text"]).when(d["type"] == "thinking_delta", d["thinking"]).when(d["type"] == "input_json_delta", d["partial_json"])
+        return F.struct((~x["good"]).alias("bad"), x["object"].alias("object"), u.alias("u"), _stop_reason(x["reason"]).alias("stop"), name.alias("kind"), x["index"].alias("index"), text.alias("text"))
+
+    rows = exchanges.withColumns({"_said": F.transform(F.transform(parsed, read), said), "_open": open_end, "_supported": supported})
+
+    rows = rows.withColumn("_counted", F.transform(F.filter("_said", lambda x: x["u"].isNotNull()), lambda x: x["u"]))
+    of = lambda name: F.filter(F.transform("_counted", lambda u: u[name]), lambda v: v.isNotNull())
     first = lambda name: F.coalesce(F.get(F.filter(of(name), lambda v: v > 0), F.lit(0)), F.array_max(of(name)))
     usage = F.struct(first("input_tokens").alias("input_tokens"), F.array_max(of("output_tokens")).alias("output_tokens"), first("cache_write").alias("cache_write"), first("cache_read").alias("cache_read"), first("cache_write_1h").alias("cache_write_1h"))
     # The last frame that is bad or has counts says whether the counts are to be relied on.
-    telling = F.filter("_usages", lambda x: x["bad"] | x["u"]["input_tokens"].isNotNull() | x["u"]["output_tokens"].isNotNull())
+    telling = F.filter("_said", lambda x: x["bad"] | x["u"]["input_tokens"].isNotNull() | x["u"]["output_tokens"].isNotNull())
     broken = F.col("_open") | F.coalesce(F.get(telling, F.size(telling) - 1)["bad"], F.lit(False))
-    n_bad, n_good = F.size(F.filter("_usages", lambda x: x["bad"])), F.size(F.filter("_docs", object_))
-
-    def delta(x: Column) -> Column:
-        e = F.from_json(x["json"], _EVENT)
-        name = F.when(e["delta"]["type"] == "text_delta", "text").when(e["delta"]["type"] == "thinking_delta", "thinking").when(e["delta"]["type"] == "input_json_delta", "partial_json")
-        text = F.when(name == "text", e["delta"]["text"]).when(name == "thinking", e["delta"]["thinking"]).when(name == "partial_json", e["delta"]["partial_json"])
-        return F.struct(name.alias("kind"), e["index"].alias("index"), text.alias("text"))
+    n_bad, n_good = F.size(F.filter("_said", lambda x: x["bad"])), F.size(F.filter("_said", lambda x: x["object"]))
 
-    deltas = F.filter(F.transform(F.filter("_docs", lambda x: object_(x) & F.contains(x["json"], F.lit("content_block_delta"))), delta), lambda d: F.coalesce(F.length(d["text"]) > 0, F.lit(False)))
+    deltas = F.transform(F.filter("_said", lambda x: F.coalesce(F.length(x["text"]) > 0, F.lit(False))), lambda x: F.struct(x["kind"].alias("kind"), x["index"].alias("index"), x["text"].alias("text")))
     rows = rows.withColumn("_deltas", deltas)
 
     def bounded(before: Column) -> Column:
         return F.zip_with("_deltas", before, lambda d, at: F.struct(d["kind"].alias("kind"), d["index"].alias("index"), F.substring(d["text"], F.lit(1), F.greatest(F.lit(most) - at, F.lit(0))).alias("text")))
 
-    kept = F.filter(let(running_sums(F.transform("_deltas", lambda d: F.length(d["text"]))), bounded), lambda d: d["text"] != "")
     total = F.aggregate("_deltas", F.lit(0), lambda n, d: n + F.length(d["text"]))
-    rows = rows.withColumns({"_kept": kept, "_capped": total >= most})
+    rows = rows.withColumn("_total", total)
+    cut = F.filter(let(running_sums(F.transform("_deltas", lambda d: F.length(d["text"]))), bounded), lambda d: d["text"] != "")
+    # Running sums are only needed where something is cut.
+    rows = rows.withColumns({"_kept": F.when(F.col("_total") > most, cut).otherwise(F.col("_deltas")), "_capped": F.col("_total") >= most})
     places = F.array_distinct(F.transform("_kept", lambda d: F.struct(d["kind"].alias("kind"), d["index"].alias("index"))))
     joined = lambda p: F.array_join(F.transform(F.filter("_kept", lambda d: (d["kind"] == p["kind"]) & d["index"].eqNullSafe(p["index"])), lambda d: d["text"]), "")
     blocks = F.transform(places, lambda p: F.struct(p["kind"].alias("kind"), p["index"].alias("index"), joined(p).alias("text")))
     unframed = F.col("_open") | (n_bad > 0)
     response_status = F.when(~F.col("_supported"), "unavailable").when(unframed, F.when(n_good > 0, "partial").otherwise("unavailable")).when(F.col("_capped"), "partial").otherwise("known")
-    rows = rows.withColumns({"usage": usage, "response_status": response_status, "n_bad": n_bad, "blocks": blocks, "_broken": broken, "stop_reason": F.get(F.filter(F.transform("_usages", lambda x: x["stop"]), lambda s: s.isNotNull()), F.lit(0))})
+    rows = rows.withColumns({"usage": usage, "response_status": response_status, "n_bad": n_bad, "blocks": blocks, "_broken": broken, "stop_reason": F.get(F.filter(F.transform("_said", lambda x: x["stop"]), lambda s: s.isNotNull()), F.lit(0))})
     both, any_ = F.col("usage.input_tokens").isNotNull() & F.col("usage.output_tokens").isNotNull(), F.col("usage.input_tokens").isNotNull() | F.col("usage.output_tokens").isNotNull()
     usage_status = F.when(~any_, "unavailable").when(~both | F.col("_broken"), "partial").otherwise("known")
-    return rows.withColumn("usage_status", usage_status).drop("_docs", "_open", "_supported", "_usages", "_deltas", "_kept", "_capped", "_broken")
+    return rows.withColumn("usage_status", usage_status).drop("_frames", "_open", "_supported", "_said", "_counted", "_deltas", "_kept", "_total", "_capped", "_broken")
 
 
 def spend_basis(usage: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textwarden.operators import traffic
 from textwarden.plans.registry import query
-from textwarden.sources.tables import read_table
+from textwarden.sources.tables import over_cores, read_table
 
 
 @query("""
@@ -21,7 +21,9 @@ from o
 """)
 def folded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams that are good, hold a bad frame before or after the last counts, break off, are too long, or no stream."""
-    orders = read_table(spark, sf_dir, "orders")
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    # An order becomes a response of many times its size, so few partitions of orders are much work each.
+    orders = over_cores(orders, orders)
     kind = F.col("o_orderkey") % 6
     said = lambda index, type_, name, text: F.concat(F.lit(f'data: {{"type":"content_block_delta","index":{index},"delta":{{"type":"{type_}","{name}":"'), text, F.lit('"}}\n\n'))
     counts = F.concat(F.lit('data: {"delta":{"stop_reason":"end_turn"},"usage":{"output_tokens":'), (F.col("o_custkey") % 300 + 2).cast("string"), F.lit("}}"))

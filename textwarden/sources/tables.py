@@ -13,6 +13,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes for each core below which an input is dealt over all cores first.
+SMALL_BYTES = 16_000_000
+
+
+def over_cores(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """``rows`` of a small ``source``, which may come in fewer partitions than there are cores, dealt over all cores; of a large one as they come."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    small = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES * cores
+    return rows.repartition(cores) if small else rows
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A new folder below the one that the whole cluster shares, ``spark.checkpoint.dir``; one of our own only in a local session."""
     conf = spark.sparkContext.getConf()
